@@ -79,7 +79,7 @@ def _units_of(block: textcore.Block, min_words: int, max_words: int) -> tuple[np
 
 
 def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
-    """(digest, doc_id, start, end, again): units of every text; ``again`` marks a later, disjoint one of the same text."""
+    """(digest, doc_id, start, end, again): units of every text; ``again`` marks later, disjoint ones of the same text, merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +94,16 @@ def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
                 lead[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1])
                 first = np.maximum.accumulate(np.where(lead, np.arange(len(row)), 0))
                 again = ~lead & (start >= end[first])
-                use = lead | again
+                # later occurrences go whatever others hold: merged here, under digests that meet nothing
+                later = np.flatnonzero(again)[np.lexsort((start[again], row[again]))]
+                reach = np.maximum.accumulate(row[later] * (1 << 40) + end[later])
+                head = np.ones(len(later), bool)
+                head[1:] = row[later][1:] * (1 << 40) + start[later][1:] > reach[:-1] + 1
+                if len(later):
+                    end[later[head]] = np.maximum.reduceat(end[later], np.flatnonzero(head))
+                    digest[later] = textcore.mix(ids[block.first + row[later]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start[later].astype(np.uint64))
+                use = lead
+                use[later[head]] = True
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(digest[use].astype(np.int64)), pa.array(ids[block.first + row[use]]), pa.array(start[use].astype(np.int32)), pa.array(end[use].astype(np.int32)), pa.array(again[use])],
                     names=["digest", "doc_id", "start", "end", "again"],
@@ -108,8 +117,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wor
     """(doc_id, start, end, first_doc_ids): merged spans to remove, and the documents that keep their first occurrences."""
     found = units(docs, doc_id, text, min_words, max_words)
     # least and greatest holder: enough to tell a digest that repeats, and summed up before the shuffle
-    firsts = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("more")).where("first <> last or more").select("digest", "first")
-    spans = found.join(firsts, "digest").where("again or doc_id > first").select("doc_id", "start", "end", "first").distinct()
+    firsts = found.where("not again").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("digest", "first")
+    joined = found.join(firsts, "digest", "left").where("again or doc_id > first")
+    spans = joined.select("doc_id", "start", "end", F.when(F.col("again"), F.col("doc_id")).otherwise(F.col("first")).alias("first")).distinct()
     before = Window.partitionBy("doc_id").orderBy("start", "end", "first").rowsBetween(Window.unboundedPreceding, -1)
     running = Window.partitionBy("doc_id").orderBy("start", "end", "first").rowsBetween(Window.unboundedPreceding, 0)
     marked = spans.withColumn("gap", (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1)) + 1).cast("int"))

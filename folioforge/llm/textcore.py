@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; a longer text is handled alone.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -88,8 +88,6 @@ def string_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
 def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cut a string column into blocks of about ``size`` bytes at row ends."""
     texts = string_array(column)
-    if lower:
-        texts = pc.utf8_lower(texts)
     n = len(texts)
     if not n:
         return
@@ -100,7 +98,11 @@ def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int =
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         last = min(last, n)
-        yield Block(first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        if lower:  # a block at a time: no copy of the whole batch
+            (part,) = blocks(pc.utf8_lower(texts.slice(first, last - first)), size=1 << 62)
+            yield Block(first, last, part.data, part.offsets)
+        else:
+            yield Block(first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
 
 

@@ -43,7 +43,8 @@ def normalise(text: str) -> str:
 
 def _grams(codes: np.ndarray) -> np.ndarray:
     """Hash of the Q code points from each place on (Q is 8: three doublings)."""
-    h = textcore.mix(codes.astype(np.uint64) + np.uint64(1))
+    h = codes.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(32)
     for step, odd in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0xD6E8FEB86659FD93)):
         if len(h) <= step:
             return np.zeros(0, np.uint64)
@@ -128,13 +129,15 @@ def _find(index: Index, text: str, shift: np.ndarray, base: int, hits: tuple[np.
         half = index.edits[item] + 1
         diagonal = at - place + index.longest
         band = diagonal // half
-        key = np.concatenate([item << 34 | band, item << 34 | np.maximum(band - 1, 0)])
-        bands, counts = np.unique(key, return_counts=True)
-        which = bands >> 34
-        for b, k in zip(bands[counts >= index.need[which]] & ((1 << 34) - 1), which[counts >= index.need[which]], strict=True):
+        bands = int(band.max()) + 1
+        # each place of an item counts once a band, so that a text's own repeats don't add up
+        places = np.unique(np.concatenate([(item * bands + b) * (index.longest + 1) + place for b in (band, np.maximum(band - 1, 0))]))
+        keys, counts = np.unique(places // (index.longest + 1), return_counts=True)
+        keys = keys[counts >= index.need[keys // bands]]
+        for k, b in zip((keys // bands).tolist(), (keys % bands).tolist(), strict=True):
             m, e = len(index.codes[k]), int(index.edits[k])
-            low = max(0, int(b) * (e + 1) - index.longest - e)
-            high = min(len(text), (int(b) + 2) * (e + 1) - index.longest + m + e)
+            low = max(0, b * (e + 1) - index.longest - e)
+            high = min(len(text), (b + 2) * (e + 1) - index.longest + m + e)
             if any(low <= s and t <= high and d == 0 for d, s, t in found.get(k, ())):
                 continue
             exact = text.find(index.items[k][1], low, high)
@@ -160,10 +163,7 @@ def _find(index: Index, text: str, shift: np.ndarray, base: int, hits: tuple[np.
 def _normalised(block: textcore.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """Normalised bytes' code points, the original character of each, each row's first code point, and the rows' texts."""
     starts, ends, row_words = block.words()
-    keep = np.zeros(len(block.data) + 1, np.int32)
-    np.add.at(keep, starts, 1)
-    np.add.at(keep, ends, -1)
-    inside = np.cumsum(keep[:-1]) > 0
+    inside = ~textcore._SPACE[block.data]
     last = np.zeros(len(starts), bool)
     closing = row_words[1:][np.diff(row_words) > 0] - 1
     last[closing] = True

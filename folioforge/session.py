@@ -43,6 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send long texts to Python in batches of at most ``rows`` rows, unless the session sets a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:  # Spark's default, made for short rows
+        spark.conf.set(key, rows)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

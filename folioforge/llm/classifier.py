@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.llm import textcore
+from folioforge.session import bound_batches
 
 #: Bound of the fit: about this many labelled rows are drawn.
 MAX_LABELLED = 20_000
@@ -176,6 +177,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality") -> Forest:
     """Train on about MAX_LABELLED of the labelled rows where ``usable`` (over doc_id) holds."""
+    bound_batches(docs.sparkSession)
     marked = labels.where(usable & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
     n = marked.count()
     space = 1 << 31
@@ -190,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
 
 def score(docs: DataFrame, model: Forest, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """``docs`` (or its columns ``keep``) with the score of each text."""
+    bound_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
     held, passed = docs.sparkSession.sparkContext.broadcast(model), len(keep)

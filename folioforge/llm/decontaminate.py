@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import textcore
+from folioforge.session import bound_batches
 
 Q, EDIT_SHARE, PART_CHARS = 8, 0.1, 4_000_000
 _TABLE_BITS = 21
@@ -201,6 +202,7 @@ def _parts(items: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE) -> DataFrame:
     """(doc_id, item_id, distance, start, end): every item's places in every text, offsets in characters."""
     spark = docs.sparkSession
+    bound_batches(spark)
     items = sorted((r[0], r[1]) for r in benchmark.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint"), item_text).toLocalIterator())
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     out = None

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioforge.session import bound_batches
+
 #: Bound of the fit: documents drawn per language, characters taken of each, bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1500, 96 << 10
 #: A text is compressed in chunks of about this many bytes, so that margins don't shrink with its length.
@@ -115,6 +117,7 @@ def identify(docs: DataFrame, models: dict[str, bytes], text: str = "text", keep
 
     ``rejected`` is true for ``und`` and for a margin under ``min_margin``.
     """
+    bound_batches(docs.sparkSession)
     added = ("lang_pred", "score", "rejected")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     schema = T.StructType([f for f in docs.select(*keep).schema.fields] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

@@ -30,7 +30,7 @@ WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 #: Phrases of page furniture.
 BOILERPLATE = (
-    "(?i)(cookie policy|uses cookies|privacy policy|terms of use|terms of service|all rights reserved|enable javascript|"
+    "(?i)\\b(cookie policy|uses cookies|privacy policy|terms of use|terms of service|all rights reserved|enable javascript|"
     "sign up for|subscribe to our|click here|read more|log in to|skip to content|back to top|share this|lorem ipsum|"
     "tous droits réservés|alle rechte vorbehalten|todos los derechos reservados|politique de confidentialité|datenschutzerklärung|política de privacidad)"
 )
@@ -46,8 +46,8 @@ def _line_fails() -> str:
         l rlike {q(NAVIGATION)}
         or l rlike {q(BOILERPLATE)}
         or 100 * (length(l) - length(regexp_replace(l, {q(SYMBOLS)}, ''))) > {SYMBOL_PERCENT} * {visible}
-        or (length(regexp_replace(l, '[^A-Za-z]', '')) >= {CAPITAL_LETTERS}
-            and 100 * length(regexp_replace(l, '[^A-Z]', '')) > {CAPITAL_PERCENT} * length(regexp_replace(l, '[^A-Za-z]', '')))
+        or (length(regexp_replace(l, '[^A-Za-z]+', '')) >= {CAPITAL_LETTERS}
+            and 100 * length(regexp_replace(l, '[^A-Z]+', '')) > {CAPITAL_PERCENT} * length(regexp_replace(l, '[^A-Za-z]+', '')))
         or (size(split(l, {q(SPACE)})) >= {UNPUNCTUATED_WORDS} and not l rlike '[.,;:!?]'))"""
 
 
@@ -55,14 +55,11 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     whole = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_words", F.array_remove(F.split(whole, SPACE), ""))
-    # the window hashes, each with its position in the low bits, in order
-    out = out.withColumn("_bits", F.expr("length(bin(size(_words)))")).withColumn(
-        "_sorted",
-        F.expr(
-            "if(size(_words) < 3, cast(array() as array<bigint>), sort_array(transform(sequence(0, size(_words) - 3), "
-            "i -> shiftleft(xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2)), _bits) | cast(i as bigint))))"
-        ),
-    )
+    hashes = "transform(sequence(0, size(_words) - 3), i -> xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2)))"
+    out = out.withColumn("_hashes", F.expr(f"if(size(_words) < 3, cast(array() as array<bigint>), {hashes})")).withColumn("_bits", F.expr("length(bin(size(_words)))"))
+    # where windows repeat: their hashes, each with its position in the low bits, in order
+    packed = "sort_array(transform(_hashes, (h, i) -> shiftleft(h, _bits) | cast(i as bigint)))"
+    out = out.withColumn("_sorted", F.expr(f"if(size(array_distinct(_hashes)) = size(_hashes), cast(array() as array<bigint>), {packed})"))
     out = out.withColumn(
         "_at",
         F.expr(
@@ -82,7 +79,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
                 "n_repeat_words": F.expr("aggregate(transform(_at, (p, j) -> least(3L, coalesce(get(_at, j + 1), p + 3) - p)), 0L, (a, b) -> a + b)"),
             }
         )
-        .drop("_words", "_bits", "_sorted", "_at")
+        .drop("_words", "_hashes", "_bits", "_sorted", "_at")
     )
 
 
@@ -114,8 +111,8 @@ def oracle(path: str = "documents") -> str:
     fails = f"""(
         regexp_matches(l, {q(NAVIGATION)}) or regexp_matches(l, {q(BOILERPLATE)})
         or 100 * (length(l) - length(regexp_replace(l, {q(SYMBOLS)}, '', 'g'))) > {SYMBOL_PERCENT} * {visible}
-        or (length(regexp_replace(l, '[^A-Za-z]', '', 'g')) >= {CAPITAL_LETTERS}
-            and 100 * length(regexp_replace(l, '[^A-Z]', '', 'g')) > {CAPITAL_PERCENT} * length(regexp_replace(l, '[^A-Za-z]', '', 'g')))
+        or (length(regexp_replace(l, '[^A-Za-z]+', '', 'g')) >= {CAPITAL_LETTERS}
+            and 100 * length(regexp_replace(l, '[^A-Z]+', '', 'g')) > {CAPITAL_PERCENT} * length(regexp_replace(l, '[^A-Za-z]+', '', 'g')))
         or (len(regexp_split_to_array(l, {q(SPACE)})) >= {UNPUNCTUATED_WORDS} and not regexp_matches(l, '[.,;:!?]')))"""
     return f"""
     with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from {path}),

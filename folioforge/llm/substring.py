@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm import textcore
+from folioforge.session import bound_batches
 
 MIN_WORDS, MAX_WORDS, MARK_EVERY = 25, 50, 32
 _LAST = (1 << 63) - 1
@@ -109,6 +110,7 @@ def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
                     names=["digest", "doc_id", "start", "end", "again"],
                 )
 
+    bound_batches(docs.sparkSession)
     rank = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST))
     return docs.select(rank.alias("doc_id"), text).mapInArrow(run, "digest bigint, doc_id bigint, start int, end int, again boolean")
 

@@ -104,6 +104,8 @@ def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int =
         else:
             yield Block(first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
+    if size == BLOCK_BYTES:
+        pa.default_memory_pool().release_unused()
 
 
 def shingles(words: np.ndarray, row_words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from folioforge.plans import evaluation, library, lifecycle, relational, retrieval, text  # noqa: F401
+from folioforge.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -177,7 +177,8 @@ def passages(text: str) -> list[tuple[int, str, int, int, int]]:
             else:
                 packed.append([a, b, size])
         if len(packed) > 1 and packed[-1][1] > packed[-2][1] and count_tokens(text[packed[-2][1] : packed[-1][1]]) < MIN_TOKENS:
-            packed[-2][1] = packed.pop()[1]
+            runt = packed.pop()
+            packed[-1][1] = runt[1]
         out += [(number, path, a, b, count_tokens(text[a:b])) for a, b, _ in packed]
     return out
 

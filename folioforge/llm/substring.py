@@ -3,8 +3,8 @@
 Plain lines miss passages that sit inside longer lines, so the units here are
 cut at local marks: line ends, sentence ends, the first capital of a run, and
 words whose hash is divisible by ``MARK_EVERY``.  From each mark a unit of at
-least ``MIN_WORDS`` words runs to the next mark (``MAX_WORDS`` at most).  Equal
-passages hold equal marks wherever they stand, so their units get equal digests
+least ``MIN_WORDS`` words runs to the next mark (``MAX_WORDS`` at most), and one
+runs back from each line's end.  Equal passages hold equal marks wherever they stand, so their units get equal digests
 (64 bits over words in ASCII lower case; white space doesn't count).
 
 Digests are grouped globally.  The earliest occurrence stays, by doc_id and
@@ -38,8 +38,8 @@ _END = np.zeros(256, bool)
 _END[[0x2E, 0x21, 0x3F]] = True
 
 
-def _marks(block: textcore.Block, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, row_words: np.ndarray) -> np.ndarray:
-    """Indices of the words at which a unit may begin, and of each row's end."""
+def _marks(block: textcore.Block, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, row_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the words at which a unit may begin, each row's end among them; and of those at which a line does."""
     data, n = block.data, len(starts)
     follow = data[np.minimum(starts + 1, len(data) - 1)]
     head = data[starts]
@@ -50,9 +50,10 @@ def _marks(block: textcore.Block, starts: np.ndarray, ends: np.ndarray, hashes:
     mark[1:n] &= ~capital[1:] | ~capital[:-1] | (hashes[1:] % np.uint64(MARK_EVERY) == 0)
     mark[1:n] |= _END[data[ends[:-1] - 1]]
     lines = np.concatenate([[0], np.cumsum(data == 10)])
-    mark[1:n] |= lines[starts[1:]] > lines[ends[:-1]]
-    mark[row_words] = True
-    return np.flatnonzero(mark)
+    line = np.zeros(n + 1, bool)
+    line[1:n] = lines[starts[1:]] > lines[ends[:-1]]
+    line[row_words] = True
+    return np.flatnonzero(mark | line), np.flatnonzero(line)
 
 
 def _units_of(block: textcore.Block, min_words: int, max_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,13 +64,19 @@ def _units_of(block: textcore.Block, min_words: int, max_words: int) -> tuple[np
         return none, none.astype(np.uint64), none, none
     lowered = textcore.Block(block.first, block.last, _LOWER[block.data], block.offsets)
     hashes = lowered.hashes(starts, ends)
-    marks = _marks(block, starts, ends, hashes, row_words)
+    marks, lines = _marks(block, starts, ends, hashes, row_words)
     begin = marks[marks < len(starts)]
     row = np.searchsorted(row_words, begin, "right") - 1
     stop = marks[np.minimum(np.searchsorted(marks, begin + min_words), len(marks) - 1)]
     stop = np.minimum(stop, np.minimum(begin + max_words, row_words[row + 1]))
+    # the units that end a line, back to the last mark that gives them enough words
+    close = lines[lines >= min_words]
+    last_row = np.searchsorted(row_words, close - 1, "right") - 1
+    back = np.maximum(marks[np.searchsorted(marks, close - min_words, "right") - 1], close - max_words)
+    begin, stop, row = np.concatenate([begin, np.maximum(back, row_words[last_row])]), np.concatenate([stop, close]), np.concatenate([row, last_row])
     fits = stop - begin >= min_words
-    begin, stop, row = begin[fits], stop[fits], row[fits]
+    _, once = np.unique(begin[fits] * (len(starts) + 1) + stop[fits], return_index=True)
+    begin, stop, row = begin[fits][once], stop[fits][once], row[fits][once]
     forward, back = textcore._power_tables(len(hashes))
     prefix = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * forward[: len(hashes)], out=prefix[1:])

@@ -203,4 +203,4 @@ def score(docs: DataFrame, model: Forest, keep: list[str] | None = None, text: s
                 part = batch.slice(block.first, block.last - block.first)
                 yield pa.RecordBatch.from_arrays([*part.columns[:passed], pa.array(held.value.score(statistics(block)))], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("_" + "_".join(keep))).mapInArrow(run, schema)

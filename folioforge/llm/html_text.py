@@ -52,15 +52,17 @@ _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 _PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd"}
 _SPACES = re.compile(r"\s+")
 _MIN_POINTS_CHARS = 25
+#: Elements nested deeper than this are read as text of the last one that isn't.
+MAX_DEPTH = 200
 
 
 class Node:
     """An element: kids are nodes and texts in page order."""
 
-    __slots__ = ("tag", "parent", "kids", "score", "names", "drop")
+    __slots__ = ("tag", "parent", "kids", "score", "names", "drop", "depth")
 
     def __init__(self, tag: str, parent: Node | None, names: frozenset = frozenset(), drop: bool = False):
-        self.tag, self.parent, self.kids, self.score, self.names, self.drop = tag, parent, [], 0.0, names, drop
+        self.tag, self.parent, self.kids, self.score, self.names, self.drop, self.depth = tag, parent, [], 0.0, names, drop, 0
 
 
 def _named(raw: str) -> tuple[frozenset, bool]:
@@ -83,7 +85,7 @@ def _named(raw: str) -> tuple[frozenset, bool]:
 def parse(page: str) -> Node:
     """The page's element tree, without raw elements, comments and declarations."""
     root = Node("html", None)
-    node, at = root, 0
+    node, at, beyond = root, 0, 0
 
     def text(piece: str) -> None:
         if piece:
@@ -98,6 +100,10 @@ def parse(page: str) -> Node:
                 text(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
+        if beyond and tag not in _VOID and tag not in _RAW:  # too deep: the text stays, in the last element that fits
+            beyond += -1 if closing else 1
+            node.kids.append(" ")
+            continue
         if closing:
             up = node
             while up.parent is not None and up.tag != tag:
@@ -128,6 +134,10 @@ def parse(page: str) -> Node:
                 up = up.parent
         names, drop = _named(raw) if raw else (frozenset(), False)
         fresh = Node(tag, node, names, drop)
+        fresh.depth = node.depth + 1
+        if fresh.depth > MAX_DEPTH and tag not in _VOID:
+            beyond = 1
+            continue
         node.kids.append(fresh)
         if tag not in _VOID and not raw.endswith("/"):
             node = fresh
@@ -277,4 +287,4 @@ def main_text(pages: DataFrame, html: str = "html", keep: list[str] | None = Non
                 texts = [extract(h.as_py()) for h in part.column(passed)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:passed], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return pages.select(*keep, F.col(html).alias("_html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.col(html).alias("_" + "_".join(keep))).mapInArrow(run, schema)

@@ -130,4 +130,4 @@ def identify(docs: DataFrame, models: dict[str, bytes], text: str = "text", keep
             columns = [*batch.columns[:passed], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *added])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("_" + "_".join(keep))).mapInArrow(run, schema)

@@ -26,14 +26,14 @@ def titles(pages: DataFrame) -> DataFrame:
 
 def without_site(title: Column) -> Column:
     """A title without the site's name: its longest part between marks."""
-    parts = F.transform(F.split(title, r"\s+[:|–—-]\s+"), F.trim)
+    parts = F.transform(F.split(title, r"\s+[:|–—-]\s+"), lambda x: F.trim(x))
     return F.element_at(F.array_sort(parts, lambda a, b: F.length(b) - F.length(a)), 1)
 
 
 def authors(html: Column) -> Column:
     """Distinct authors of a page's byline in order, eight at most."""
     found = F.regexp_extract_all(html, F.lit(r"""(?is)<[^>]*class\s*=\s*["'][^"']*\b(?:author|editor)\b[^"']*["'][^>]*>\s*(?:<[^>]*>\s*)*([^<]+)<"""), F.lit(1))
-    return F.slice(F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != "")), 1, 8)
+    return F.slice(F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")), 1, 8)
 
 
 def tidy(markdown: Column) -> Column:

@@ -108,3 +108,21 @@ def test_record_sources(spark):
     assert [tuple(r) for r in records.csv_rows(csv, "c", ["host", "os"]).select("host", "os").collect()] == [("a", "linux"), ("b", "bsd")]
     xml = spark.createDataFrame([("<channel><item><title>T</title></item><item><title>U</title></item></channel>",), ("<!DOCTYPE x><channel><item/></channel>",)], "x string")
     assert [r["title"] for r in records.xml_rows(xml, "x", "item", ["title"]).collect()] == ["T", "U"]
+
+
+def test_stems():
+    from folioforge.functions.stem import lexemes, stem
+
+    pairs = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "happy": "happi", "relational": "relat", "triplicate": "triplic", "hopeful": "hope", "revival": "reviv", "adoption": "adopt", "probate": "probat", "rate": "rate", "controll": "control"}
+    assert {w: stem(w) for w in pairs} == pairs
+    assert lexemes("The cats, and the hopping") == ["cat", "hop"]
+
+
+def test_guards(spark):
+    from folioforge.functions import guards
+
+    rows = spark.createDataFrame([("So [1, 4] and [9], see [2].",), ("none",), (None,)], "t string")
+    assert [r[0] for r in rows.select(guards.valid_citations(F.col("t"), 3)).collect()] == ["So [1] and, see [2].", "none", ""]
+    parts = spark.createDataFrame([(["aa", "bb", "c" * 9, "dd"],)], "p array<string>").select(guards.parts(F.col("p"), 6)).head()[0]
+    assert parts == ["aa\n\nbb", "c" * 6, "dd"]
+    assert spark.range(1).select(guards.echoes(F.lit("what each side claims and why they cannot both hold"), F.lit("Say What each side claims and why they cannot both hold."))).head()[0] is True

@@ -46,6 +46,9 @@ _FURNITURE = set(
     "comment comments commentlist disqus respond reply replies discussion footer foot masthead nav navbar navigation menu menus breadcrumb breadcrumbs "
     "pagination pager toolbar skip search searchbox searchform header topbar tagcloud shoutbox outbrain taboola disclaimer legal copyright".split()
 )
+#: Those that also name parts of an article, and parts of longer names that mark furniture.
+_DOUBTFUL = {"header", "banner", "banners", "legal", "disclaimer", "discussion", "reply", "notice", "notices", "aside", "widget", "promo", "skip", "search"}
+_PARTS = ("comment", "sidebar", "advert", "cookie", "newsletter", "breadcrumb", "navbar", "navigation", "pagination", "footer")
 _ARTICLE = set("article content entry post story main body text hentry page column".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}}
@@ -154,7 +157,11 @@ def _is_furniture(node: Node, inside: bool) -> bool:
         return True
     if node.tag in ("article", "main"):
         return bool(node.names & {"comment", "comments", "reply", "ad", "advert", "sponsored", "related"})
-    return bool(node.names & _FURNITURE) and not node.names & {"article", "entry", "story"}
+    found = node.names & _FURNITURE
+    # the doubtful words mean nothing in a name like article-header
+    if found and found <= _DOUBTFUL and node.names & {"article", "entry", "story", "post"}:
+        return False
+    return bool(found) or any(part in name for name in node.names for part in _PARTS)
 
 
 def prune(node: Node, inside: bool = False) -> None:

@@ -23,6 +23,7 @@ def page(body, head="<title>Site - Page</title>"):
         (page(f"<article><p><b>{LONG}<br><p>Next, {LONG}</p></article>"), f"{LONG}\nNext, {LONG}"),
         (page(f"<article><p>One <!-- <p>hidden</p> --> two, {LONG}</p><div hidden><p>{LONG}</p></div><pre>a\n  b</pre></article>"), f"One two, {LONG}\na b"),
         (page(f"<div><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div><ul><li><a href=x>{LONG}</a></li></ul>"), f"{LONG}\n{LONG}\n{LONG}"),
+        (page(f"<div class='article-header'><p>{LONG}</p></div><div class=article-body><p>{LONG}</p><div class='entry-footer'>{LONG}</div></div><section id=usercomments><p>{LONG}</p></section><div class=article-comments><p>{LONG}</p></div>"), f"{LONG}\n{LONG}"),
         (page("<article><h1>T</h1><p>To.</p></article>"), "T\nTo."),
         (page(f"<article><p>{LONG}</article><div class=ad><p>{LONG}"), LONG),
     ],

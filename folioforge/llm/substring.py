@@ -4,8 +4,14 @@ Plain lines miss passages that sit inside longer lines, so the units here are
 cut at local marks: line ends, sentence ends, the first capital of a run, and
 words whose hash is divisible by ``MARK_EVERY``.  From each mark a unit of at
 least ``MIN_WORDS`` words runs to the next mark (``MAX_WORDS`` at most), and one
-runs back from each line's end.  Equal passages hold equal marks wherever they stand, so their units get equal digests
-(64 bits over words in ASCII lower case; white space doesn't count).
+runs back from each line's end.  Those marks are sparse in texts without capitals
+and sentence ends, and differ where lines are wrapped otherwise.  So a second
+kind of units runs between marks of their own: the words that have the least
+hash of some window of ``WINDOW`` words.  A passage's windows choose alike wherever it
+stands: one of ``MIN_WORDS + 2 * WINDOW - 1`` words (50) or more is sure to hold such
+a unit, whatever its script, case and line breaks and the text around it.
+
+Equal units get equal digests (64 bits over words in ASCII lower case; white space doesn't count).
 
 Digests are grouped globally.  The earliest occurrence stays, by doc_id and
 then by offset; every other one is removed unless it overlaps the first
@@ -31,6 +37,8 @@ from folioforge.llm import textcore
 from folioforge.session import bound_batches
 
 MIN_WORDS, MAX_WORDS, MARK_EVERY = 25, 50, 32
+#: Words of a window that is sure to hold a mark.
+WINDOW = 13
 _LAST = (1 << 63) - 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -56,6 +64,27 @@ def _marks(block: textcore.Block, starts: np.ndarray, ends: np.ndarray, hashes:
     return np.flatnonzero(mark | line), np.flatnonzero(line)
 
 
+def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` over every ``size`` consecutive values."""
+    out, held = values, 1
+    while held < size:
+        step = min(held, size - held)
+        out = pick(out[: len(out) - step], out[step:])
+        held += step
+    return out
+
+
+def _window_marks(hashes: np.ndarray, row_words: np.ndarray, size: int) -> np.ndarray:
+    """Indices of the words that have the least hash of some window of ``size`` words of their row."""
+    if len(hashes) < size:
+        return np.zeros(0, np.int64)
+    least = _sliding(hashes, size, np.minimum)
+    row = np.repeat(np.arange(len(row_words) - 1), np.diff(row_words))
+    least[row[: len(least)] != row[size - 1 :]] = 0
+    none = np.zeros(size - 1, np.uint64)
+    return np.flatnonzero((_sliding(np.concatenate([none, least, none]), size, np.maximum) == hashes) & (hashes > 0))
+
+
 def _units_of(block: textcore.Block, min_words: int, max_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, digest, start and end character of each unit of a block."""
     starts, ends, row_words = block.words()
@@ -73,7 +102,15 @@ def _units_of(block: textcore.Block, min_words: int, max_words: int) -> tuple[np
     close = lines[lines >= min_words]
     last_row = np.searchsorted(row_words, close - 1, "right") - 1
     back = np.maximum(marks[np.searchsorted(marks, close - min_words, "right") - 1], close - max_words)
-    begin, stop, row = np.concatenate([begin, np.maximum(back, row_words[last_row])]), np.concatenate([stop, close]), np.concatenate([row, last_row])
+    # the units between least words, which line ends and capitals don't touch
+    chosen = _window_marks(hashes, row_words, WINDOW)
+    whole = np.append(chosen, 1 << 62)[np.searchsorted(chosen, chosen + min_words)]
+    whole = np.minimum(whole, chosen + max_words)
+    chosen_row = np.searchsorted(row_words, chosen, "right") - 1
+    ends_inside = whole < row_words[chosen_row + 1]
+    chosen, whole, chosen_row = chosen[ends_inside], whole[ends_inside], chosen_row[ends_inside]
+    begin = np.concatenate([begin, np.maximum(back, row_words[last_row]), chosen])
+    stop, row = np.concatenate([stop, close, whole]), np.concatenate([row, last_row, chosen_row])
     fits = stop - begin >= min_words
     _, once = np.unique(begin[fits] * (len(starts) + 1) + stop[fits], return_index=True)
     begin, stop, row = begin[fits][once], stop[fits][once], row[fits][once]

@@ -13,14 +13,15 @@ a unit, whatever its script, case and line breaks and the text around it.
 
 Equal units get equal digests (64 bits over words in ASCII lower case; white space doesn't count).
 
-Digests are grouped globally.  The earliest occurrence stays, by doc_id and
-then by offset; every other one is removed unless it overlaps the first
+Digests are grouped globally.  The earliest occurrence stays, by doc_id, then
+by the text's hash and then by offset; every other one is removed unless it overlaps the first
 occurrence in the same text.  Removed units that touch are merged, and their
 character offsets in the original text are kept.
 
 Defined results: null, empty and short texts have no unit and stay as they are;
 rows that repeat a doc_id and its text are one document and keep the same
-parts; a null doc_id ranks last; other columns, whatever their names, pass
+parts; different texts under one doc_id are documents of their own, told apart
+by ``text_hash``; a null doc_id ranks last; other columns, whatever their names, pass
 through.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm import textcore
-from folioforge.session import bound_batches
+from folioforge.session import bound_batches, materialise
 
 MIN_WORDS, MAX_WORDS, MARK_EVERY = 25, 50, 32
 #: Words of a window that is sure to hold a mark.
@@ -123,13 +124,16 @@ def _units_of(block: textcore.Block, min_words: int, max_words: int) -> tuple[np
     return row, digest, chars[starts[begin]] - base, chars[ends[stop - 1]] - base
 
 
-def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
-    """(digest, doc_id, start, end, again): units of every text; ``again`` marks later, disjoint ones of the same text, merged."""
+def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_words: int = MAX_WORDS, known: DataFrame | None = None) -> DataFrame:
+    """(digest, doc_id, text_hash, start, end, again): units of every text; ``again`` marks later, disjoint ones of the same text, merged.
+
+    ``text_hash`` is 0 where one text alone has the doc_id (``known``: see ``_texts_by_rank``), so that it takes no room there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for block in textcore.blocks(batch.column(1)):
+            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for block in textcore.blocks(batch.column(2)):
                 row, digest, start, end = _units_of(block, min_words, max_words)
                 if not len(row):
                     continue
@@ -146,47 +150,61 @@ def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
                 head[1:] = row[later][1:] * (1 << 40) + start[later][1:] > reach[:-1] + 1
                 if len(later):
                     end[later[head]] = np.maximum.reduceat(end[later], np.flatnonzero(head))
-                    digest[later] = textcore.mix(ids[block.first + row[later]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start[later].astype(np.uint64))
+                    digest[later] = textcore.mix((ids ^ hashes)[block.first + row[later]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start[later].astype(np.uint64))
                 use = lead
                 use[later[head]] = True
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest[use].astype(np.int64)), pa.array(ids[block.first + row[use]]), pa.array(start[use].astype(np.int32)), pa.array(end[use].astype(np.int32)), pa.array(again[use])],
-                    names=["digest", "doc_id", "start", "end", "again"],
+                    [pa.array(digest[use].astype(np.int64)), *(pa.array(x[block.first + row[use]]) for x in (ids, hashes)), pa.array(start[use].astype(np.int32)), pa.array(end[use].astype(np.int32)), pa.array(again[use])],
+                    names=["digest", "doc_id", "text_hash", "start", "end", "again"],
                 )
 
     bound_batches(docs.sparkSession)
     rank = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST))
-    return docs.select(rank.alias("doc_id"), text).mapInArrow(run, "digest bigint, doc_id bigint, start int, end int, again boolean")
+    own = F.xxhash64(text)
+    rows = docs.select(rank.alias("doc_id"), F.when(rank == _LAST, own).otherwise(F.lit(0)).alias("text_hash"), F.col(text).alias("text"))
+    known = _texts_by_rank(docs, doc_id, text) if known is None else known
+    shared = known.where(f"hash <> other and doc_id <> {_LAST}")
+    if shared.limit(1).count():
+        rows = rows.join(shared.select("doc_id", "hash"), "doc_id", "left").select("doc_id", F.when(F.col("hash").isNotNull(), F.xxhash64("text")).otherwise(F.col("text_hash")).alias("text_hash"), "text")
+    return rows.mapInArrow(run, "digest bigint, doc_id bigint, text_hash bigint, start int, end int, again boolean")
+
+
+def _texts_by_rank(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, hash, other): least and greatest hash of the texts under each doc_id."""
+    rank = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST))
+    hashed = docs.select(rank.alias("doc_id"), F.xxhash64(text).alias("h"))
+    return hashed.groupBy("doc_id").agg(F.min("h").alias("hash"), F.max("h").alias("other"))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
-    """(doc_id, start, end, first_doc_ids): merged spans to remove, and the documents that keep their first occurrences."""
-    found = units(docs, doc_id, text, min_words, max_words)
+    """(doc_id, start, end, first_doc_ids, text_hash): merged spans to remove, and the documents that keep their first occurrences."""
+    known = materialise(_texts_by_rank(docs, doc_id, text), "ranks")
+    found = units(docs, doc_id, text, min_words, max_words, known)
     # least and greatest holder: enough to tell a digest that repeats, and summed up before the shuffle
-    firsts = found.where("not again").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("digest", "first")
-    joined = found.join(firsts, "digest", "left").where("again or doc_id > first")
-    spans = joined.select("doc_id", "start", "end", F.when(F.col("again"), F.col("doc_id")).otherwise(F.col("first")).alias("first")).distinct()
-    before = Window.partitionBy("doc_id").orderBy("start", "end", "first").rowsBetween(Window.unboundedPreceding, -1)
-    running = Window.partitionBy("doc_id").orderBy("start", "end", "first").rowsBetween(Window.unboundedPreceding, 0)
+    holder = F.struct("doc_id", "text_hash")
+    firsts = found.where("not again").groupBy("digest").agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where("first <> last").select("digest", "first")
+    joined = found.join(firsts, "digest", "left").where(F.col("again") | (holder > F.col("first")))
+    spans = joined.select("doc_id", "text_hash", "start", "end", F.when(F.col("again"), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("first")).distinct()
+    ordered = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end", "first")
+    before, running = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(Window.unboundedPreceding, 0)
     marked = spans.withColumn("gap", (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1)) + 1).cast("int"))
     numbered = marked.withColumn("span", F.sum("gap").over(running))
-    return (
-        numbered.groupBy("doc_id", "span")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("first")).alias("first_doc_ids"))
-        .select("doc_id", "start", "end", "first_doc_ids")
-    )
+    merged = numbered.groupBy("doc_id", "text_hash", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("first")).alias("first_doc_ids"))
+    single = known.where("hash = other").select("doc_id", "hash")
+    own = F.when(F.col("text_hash") == 0, F.coalesce("hash", "text_hash")).otherwise(F.col("text_hash"))
+    return merged.join(single, "doc_id", "left").select("doc_id", "start", "end", "first_doc_ids", own.alias("text_hash"))
 
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` without the spans; text, and n_chars where there is one, follow; a removed part leaves one line end at most."""
-    lists = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut")).withColumnRenamed("doc_id", "_rank")
+    lists = spans.groupBy(F.col("doc_id").alias("_rank"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
     rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
     pieces = F.expr(
         "concat_ws('', transform(sequence(0, size(_cut)), i -> "
         "substring(text, if(i = 0, 0, get(_cut, i - 1).end) + 1, if(i = size(_cut), length(text), get(_cut, i).start) - if(i = 0, 0, get(_cut, i - 1).end))))"
     )
     cleaned = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.trim(F.regexp_replace(pieces, r"[ \t]*\n\s*\n*", "\n"), F.lit(" \n")))
-    out = docs.withColumn("_rank", rank).join(lists, "_rank", "left").withColumn("text", cleaned)
+    out = docs.withColumns({"_rank": rank, "_hash": F.xxhash64("text")}).join(lists, ["_rank", "_hash"], "left").withColumn("text", cleaned)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
     return out.select(*docs.columns)

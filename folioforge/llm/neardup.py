@@ -14,12 +14,16 @@ x and y are alike but neither is like leader b, most of what x adds to b, y
 adds too.  So each verified member x keeps the least ``NOVEL`` hashes of
 ``x - b``, and the members that share one of the least ``KEYS`` form the next
 round's buckets; what their leaders hold is no longer novel.  Rounds end when
-no two members share novelty, or none that isn't linked is left.  Members that
-are linked to nothing by then were verified against ``MORE_LEADERS`` of their
-largest bucket besides; a link just above the threshold to none of these, from
-a text that is itself just below it to all of them, is the one kind that this
-misses.  Verified links are joined to classes.  No bucket is ever
-collected or paired with itself, and none is capped.
+no two members share novelty, or none that isn't linked is left.
+
+What the rounds leave is settled exactly.  A bucket of the bands whose members
+lie in several components of the links so far goes on: members outside its
+largest component become leaders, ``BLOCK`` of them at first and four times as many each
+further time, and are verified against every member of another component,
+unless the two were before or their sizes rule a link out.  A leader then
+leaves its bucket.  This ends when each bucket's remaining members are of one
+component, so two texts that share a bucket are in one class or were verified.
+Verified links are joined to classes.  No bucket is ever collected, and none is capped.
 
 Weights: ``tf * (1 + ln((1 + N) / (1 + df)))``, rounded to steps of a quarter
 in the logarithm.  Document frequencies come from a count sketch of a fixed
@@ -40,6 +44,7 @@ id.  Texts are told apart by a 64-bit hash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +62,8 @@ NOVEL, KEYS = 64, 12
 LEADERS = 6
 #: The same in the largest bucket of a member that is like none, from the second round on.
 MORE_LEADERS = 24
+#: Leaders of an unsettled bucket the first time; four times as many each further time.
+BLOCK = 16
 #: Cells of the document-frequency sketch, and of the table that holds each hash function's variates.
 SKETCH_BITS, VARIATE_BITS = 20, 14
 #: Cells of the sketch that travel as one row.
@@ -319,6 +326,30 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.drop("any_open"), "key")
 
 
+def text_sizes(texts: DataFrame, levels: np.ndarray, k: int = SHINGLE_WORDS) -> DataFrame:
+    """(tid, shingles, weight) of ``texts`` (tid, text)."""
+    held = texts.sparkSession.sparkContext.broadcast(levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(held.value)
+        for batch in batches:
+            for block in textcore.blocks(batch.column(1), lower=True):
+                found, counts, first = _row_sets(block, k)
+                total = np.concatenate([[0.0], np.cumsum(np.exp(weights.level(found, counts) / 4))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.last - block.first), pa.array(np.diff(first).astype(np.int64)), pa.array(np.diff(total[first]))], names=["tid", "shingles", "weight"])
+
+    return texts.select("tid", "text").mapInArrow(run, "tid bigint, shingles bigint, weight double")
+
+
+def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, tid, c, place, largest): members of buckets that lie in several components of ``found``, those of small components first."""
+    placed = members.join(components(found).withColumnRenamed("v", "tid"), "tid", "left").select("key", "tid", F.coalesce("c", "tid").alias("c"))
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
+    several = parts.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    order = Window.partitionBy("key").orderBy(F.col("c") == F.col("largest"), "n", "c", "tid")
+    return placed.join(several, "key").join(parts, ["key", "c"]).withColumn("place", F.row_number().over(order)).select("key", "tid", "c", "place", "largest")
+
+
 def links(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Verified links (a, b) between texts of ``docs`` (tid, text), each text given by its tid."""
     bound_batches(docs.sparkSession)
@@ -328,12 +359,13 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WORDS,
     rest = materialise(_crowded(drawn.withColumns({"open": F.lit(True), "novel": F.lit(None).cast("array<bigint>")})), "rest")
     # the texts that share a bucket; equal ones are made one before the shuffle (a semi-join would move below that)
     texts = materialise(docs.dropDuplicates(["tid"]).join(rest.select("tid").distinct(), "tid"), "texts")
-    found = []
+    found, judged = [], []
 
     def verified_of(pairs: DataFrame) -> DataFrame:
         single = pairs.where("tid <> b").groupBy(F.col("tid").alias("a"), "b").agg(F.min("novel").alias("novel"))
         out = materialise(verify(_with_texts(materialise(single, "pairs"), texts), levels, threshold, k), "verified")
         found.append(out.where("linked").select("a", "b"))
+        judged.append(out.select("a", "b"))
         release(docs.sparkSession)
         return out
 
@@ -357,10 +389,27 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WORDS,
         rest = materialise(_crowded(fresh.join(still_open(verified), "a").select("key", F.col("a").alias("tid"), "open", "novel")), "rest")
     if not found:
         return docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.distinct()
+
+    def all_of(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.union, parts)
+
+    low_high = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest, block, sizes = drawn, BLOCK, None
+    while True:
+        rest = materialise(_unsettled(rest.select("key", "tid"), all_of(found)), "unsettled")
+        if not rest.limit(1).count():
+            break
+        if sizes is None:
+            sizes = materialise(text_sizes(texts.join(rest.select("tid").distinct(), "tid"), levels, k), "sizes")
+        leaders = rest.where((F.col("place") <= block) & (F.col("c") != F.col("largest"))).select("key", F.col("tid").alias("b"), F.col("c").alias("c_b"))
+        met = rest.join(leaders, "key").where("c <> c_b").select(F.col("tid").alias("a"), "b").select(*low_high).distinct()
+        near = lambda x: F.least(f"{x}_a", f"{x}_b") >= (threshold - 1e-6) * F.greatest(f"{x}_a", f"{x}_b")
+        sized = met.join(sizes.toDF("a", "shingles_a", "weight_a"), "a").join(sizes.toDF("b", "shingles_b", "weight_b"), "b").where(near("shingles") | near("weight"))
+        fresh = sized.select("a", "b").join(all_of(judged).select(*low_high), ["a", "b"], "left_anti")
+        verified_of(fresh.select(F.col("a").alias("tid"), "b", F.lit(None).cast("array<bigint>").alias("novel")))
+        rest = rest.where((F.col("place") > block) | (F.col("c") == F.col("largest")))
+        block *= 4
+    return all_of(found).distinct()
 
 
 def with_text_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

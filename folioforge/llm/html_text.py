@@ -2,8 +2,11 @@
 
 Paragraphs give points for their length and commas to their ancestors, fewer
 the farther; an element's score is discounted by the share of its text within
-links.  The element with the best score is the container; it is kept together
-with those of its siblings that score or read like part of the article.  Menus,
+links.  The element with the best score is the container; where it lies in an
+article or main element, the nearest of these is.  It is kept together with
+those of its siblings that score or read like part of the article, and with
+headings, lists, tables, short paragraphs and bare text between or beside these, unless
+much of them is links.  Menus,
 page headers and footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments are cut out of the tree beforehand, by element, role or the
 words of class and id.
@@ -248,6 +251,32 @@ def _blocks(node: Node, out: list[str], line: list[str]) -> None:
         flush()
 
 
+#: Siblings that belong to the kept ones they stand between or beside, however short.
+_MINOR = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "header", "ul", "ol", "dl", "table", "p", "blockquote", "pre", "figure"}
+
+
+def _minor(sibling: Node) -> bool:
+    chars, linked = _density(sibling)
+    return sibling.tag in _MINOR and chars > 0 and linked < 0.25 * chars
+
+
+def _with_minor(kids: list, kept: list[bool]) -> list[bool]:
+    """Adds to the kept ones of ``kids`` the minor elements next to them, one after another, and what else is no block between two of them."""
+    kept = list(kept)
+    for order in (range(len(kids)), range(len(kids) - 1, -1, -1)):
+        beside = False
+        for i in order:
+            if isinstance(kids[i], str) and not kids[i].strip() or not isinstance(kids[i], str) and kids[i].tag in ("br", "hr", "img"):
+                continue
+            kept[i] = kept[i] or beside and not isinstance(kids[i], str) and _minor(kids[i])
+            beside = kept[i]
+    found = [i for i, k in enumerate(kept) if k]
+    for i in range(found[0], found[-1]) if found else ():
+        k = kids[i]
+        kept[i] = kept[i] or isinstance(k, str) or _minor(k) or k.tag not in _BLOCK
+    return kept
+
+
 def _keeps(sibling: Node, best: Node) -> bool:
     if sibling.score >= max(10.0, 0.2 * best.score) and sibling.tag not in ("ul", "ol", "dl", "table"):
         return True
@@ -268,13 +297,22 @@ def extract(page: str | None) -> str:
     if best.score <= 0:
         named = [n for n in _all(root) if n.tag in ("article", "main")]
         best = named[0] if named else root
-    kept = [best]
+    strongest = best
+    up: Node | None = best
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    best = best if up is None else up
+    kept: list[Node | str] = [best]
     if best.parent is not None:
-        kept = [k for k in best.parent.kids if not isinstance(k, str) and (k is best or _keeps(k, best))]
+        kids = best.parent.kids
+        kept = [k for k, stays in zip(kids, _with_minor(kids, [not isinstance(k, str) and (k is best or _keeps(k, strongest)) for k in kids]), strict=True) if stays]
     out: list[str] = []
     line: list[str] = []
     for n in kept:
-        _blocks(n, out, line)
+        if isinstance(n, str):
+            line.append(n)
+        else:
+            _blocks(n, out, line)
     if line and (joined := _SPACES.sub(" ", "".join(line)).strip()):
         out.append(joined)
     return "\n".join(out)

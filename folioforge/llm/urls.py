@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from folioforge.session import materialise
 
 DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.1
+#: Mass under way, over all hosts, at which propagation ends: no host's can change by more than six times that.
+TOLERANCE = 1e-9
 #: (verdict, host, path) of the driver's contract.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -57,19 +59,23 @@ def host_links(pages: DataFrame) -> DataFrame:
     return found.select("src", dst.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, mass): PageRank mass from the seeds (host) along edges (src, dst, n), a host's mass split by n."""
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, mass): PageRank mass from the seeds (host) along edges (src, dst, n), a host's mass split by n; ``rounds`` None goes on until it has converged."""
     start = materialise(seeds.select("host", F.lit(1.0).alias("mass")), "seeds")
     total = edges.groupBy("src").agg(F.sum("n").alias("total"))
     flow = materialise(edges.join(total, "src").select("src", "dst", (damping * F.col("n") / F.col("total")).alias("share")), "flow")
     if not flow.limit(1).count():
         return start
-    mass = start
-    for k in range(rounds):
-        moved = mass.join(flow, mass["host"] == flow["src"]).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share")).alias("mass"))
-        mass = start.unionByName(moved).groupBy("host").agg(F.sum("mass").alias("mass"))
-        if k % 3 == 2:
-            mass = materialise(mass, "mass")
+    mass = moving = start
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
+        # each round moves on what the last one brought
+        sent = moving.join(flow, moving["host"] == flow["src"]).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share")).alias("mass"))
+        moving = materialise(sent.groupBy("host").agg(F.sum("mass").alias("mass")), "moving")
+        mass = materialise(mass.unionByName(moving).groupBy("host").agg(F.sum("mass").alias("mass")), "mass")
+        if (moving.agg(F.sum("mass")).first()[0] or 0.0) <= tolerance:
+            break
     return mass
 
 
@@ -79,9 +85,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold
     counts = urls.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     counts = materialise(counts, "hosts")
     edges = materialise(host_links(pages), "edges")
-    trust = propagate(edges, counts.where("2 * allowed > n")).withColumnRenamed("mass", "trust")
+    trust = propagate(edges, counts.where("2 * allowed > n"), None).withColumnRenamed("mass", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(back, counts.where("2 * blocked > n")).withColumnRenamed("mass", "distrust")
+    distrust = propagate(back, counts.where("2 * blocked > n"), None).withColumnRenamed("mass", "distrust")
     scores = materialise(trust.join(distrust, "host", "full_outer").select("host", *(F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in ("trust", "distrust"))), "scores")
     unruled = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) >= threshold, "block").otherwise("allow")
     return urls.join(scores, "host", "left").select(

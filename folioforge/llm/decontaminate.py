@@ -200,10 +200,13 @@ def _parts(items: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE) -> DataFrame:
-    """(doc_id, item_id, distance, start, end): every item's places in every text, offsets in characters."""
+    """(doc_id, item_id, distance, start, end): every item's places in every text, offsets in characters; a text that no item with an id has is found under a null item_id."""
     spark = docs.sparkSession
     bound_batches(spark)
-    items = sorted((r[0], r[1]) for r in benchmark.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint"), item_text).toLocalIterator())
+    held = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint"), item_text)
+    given = [(r[0], r[1]) for r in held.toLocalIterator()]
+    named = {t for i, t in given if i is not None}
+    items = sorted([x for x in given if x[0] is not None] + [(None, t) for t in {t for i, t in given if i is None} - named], key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for part in _parts(items):

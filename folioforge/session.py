@@ -33,13 +33,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (a local test session) a temporary
-    folder of this machine is set.
+    Only where a local session names none a temporary folder of this machine is
+    set; on a cluster it would be no shared one, so there it is an error.
     """
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    named = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="folioforge-")
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        named = tempfile.mkdtemp(prefix="folioforge-")
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -66,4 +70,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of materialised frames that nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,75 +4,71 @@ Texts are sets of five-word shingles weighted by tf * idf.  Improved consistent
 weighted sampling draws, per hash function, the shingle with the least
 ``ln a = ln c - r * (t - beta) - r`` (``t = floor(ln S / r + beta)`` for weight
 ``S``); two texts draw alike with the probability of their weighted Jaccard
-similarity.  Samples are banded, and the members of a band's bucket are
-verified against a leader, the one that meets most others in all its buckets:
-the text that the others were copied from, as a rule.  Members that aren't like
-it are verified against the next of the bucket's ``LEADERS`` too.
-
-A bucket's links that don't run by way of its leaders are found by novelty.  If
-x and y are alike but neither is like leader b, most of what x adds to b, y
-adds too.  So each verified member x keeps the least ``NOVEL`` hashes of
-``x - b``, and the members that share one of the least ``KEYS`` form the next
-round's buckets; what their leaders hold is no longer novel.  Rounds end when
-no two members share novelty, or none that isn't linked is left.
-
-What the rounds leave is settled exactly.  A bucket of the bands whose members
-lie in several components of the links so far goes on: members outside its
-largest component become leaders, ``BLOCK`` of them at first and four times as many each
-further time, and are verified against every member of another component,
-unless the two were before or their sizes rule a link out.  A leader then
-leaves its bucket.  This ends when each bucket's remaining members are of one
-component, so two texts that share a bucket are in one class or were verified.
-Verified links are joined to classes.  No bucket is ever collected, and none is capped.
-
-Weights: ``tf * (1 + ln((1 + N) / (1 + df)))``, rounded to steps of a quarter
-in the logarithm.  Document frequencies come from a count sketch of a fixed
-size over all documents; it errs upwards by about the mean load of its cells, a
-constant share of N at every corpus size, and so leaves the rare shingles with
-one common weight.
-
-A link needs a weighted Jaccard similarity of at least ``threshold``, or the
-plain one of the same shingles.
+similarity.  Samples are banded: texts that agree in all draws of a band share
+a bucket.  Links are verified by weighted Jaccard similarity over all shingles.
+
+1. A bucket's members are verified against its leader, the member that meets
+   most others in all its buckets.  The links give components.
+2. A bucket whose members lie in several components isn't settled: every pair of
+   its members from two components is judged, in blocks of about ``BLOCK``
+   members.  A block pair is one task's group, so no group grows with a bucket.
+   Members of a bucket's largest component are held against all others, but
+   not against each other.  A pair that shares several buckets is judged in the
+   first, one that agrees in fewer than ``AGREE`` of all draws isn't a candidate
+   (a text of similarity 0.8 does once in some 6,000 times), and two members
+   that links of the block have joined meanwhile needn't be judged any more.
+
+So every candidate pair was verified or its members are in one class.  No
+bucket is capped, and none is collected: beyond the first components, the work
+is in proportion to the members outside the largest one times the members.
+
+Weights: ``tf * idf ** IDF_POWER``, ``idf = 1 + ln((1 + N) / (1 + df))``,
+rounded to steps of a quarter in the logarithm.  The power keeps what a large
+group of near copies shares from weighing much less than what tells them apart.
+Document frequencies come from a count sketch of a fixed size over all
+documents; it errs upwards by about the mean load of its cells, a constant
+share of N at every corpus size, and so leaves the rare shingles with one
+common weight.
 
 Defined results: a text without words (null, empty, blank) is in no group: its
-class is its own doc_id.  A text of one to four words has one shingle, all of
-it.  Words compare in lower case, white space doesn't count.  Equal texts share
-a class, repeated rows too.  A null doc_id sorts after all others as a class
-id.  Texts are told apart by a 64-bit hash.
+class is its own doc_id, its class_key null.  A text of one to four words has
+one shingle, all of it.  Words compare in lower case, white space doesn't
+count.  Equal texts share a class, repeated rows too.  A class's first document
+is the one with the least doc_id, null last, then the least text hash; rows that
+repeat both are marked alike, and ``keep_first`` keeps one of them.  Texts under
+one doc_id, or under none, are documents of their own: classes are told apart by
+class_key, class_id is the first document's doc_id (null where no document of the class has
+one).  Texts are told apart by 64-bit hashes, two texts' shingles by 32 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import textcore
-from folioforge.session import bound_batches, materialise, release
+from folioforge.session import bound_batches, discard, materialise, release
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS = 14, 3
-#: Hashes kept of what a text adds to its leaders, and how many of them are keys.
-NOVEL, KEYS = 64, 12
-#: Leaders of a bucket; those after the first are for members that aren't like it.
-LEADERS = 6
-#: The same in the largest bucket of a member that is like none, from the second round on.
-MORE_LEADERS = 24
-#: Leaders of an unsettled bucket the first time; four times as many each further time.
-BLOCK = 16
+BANDS, ROWS = 14, 4
+#: Draws in which two texts agree at least, of all BANDS * ROWS.
+AGREE = 34
+#: Members and shingles of a block of an unsettled bucket, about.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
+#: Power of the idf in a weight.
+IDF_POWER = 0.25
 #: Cells of the document-frequency sketch, and of the table that holds each hash function's variates.
 SKETCH_BITS, VARIATE_BITS = 20, 14
 #: Cells of the sketch that travel as one row.
 SLICE = 1 << 12
-#: Members that one copy of a bucket leader's text serves.
-SALT_ROWS = 256
 _WORDS = r"[^\x20\x09-\x0D]"
 #: Stands for a null doc_id, after all others.
 _LAST = (1 << 63) - 1
+_WEIGHT = np.exp(np.arange(256) / 4)
 
 
 def _row_sets(block: textcore.Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,9 +127,9 @@ def frequency_sketch(docs: DataFrame, text: str = "text", k: int = SHINGLE_WORDS
 
 
 def idf_levels(sketch: np.ndarray, n: int) -> np.ndarray:
-    """ln(idf) of each cell in quarter steps."""
+    """Logarithm of idf ** IDF_POWER of each cell in quarter steps."""
     idf = 1 + np.log((1 + n) / (1 + np.minimum(sketch.astype(float), n)))
-    return np.round(np.log(idf) * 4).astype(np.int8)
+    return np.round(np.log(idf) * IDF_POWER * 4).astype(np.int8)
 
 
 class Weights:
@@ -210,8 +206,8 @@ def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def band_rows(docs: DataFrame, levels: np.ndarray, tid: str = "tid", text: str = "text", k: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """A row (key, tid) for each text with words and each band."""
+def sketches(docs: DataFrame, levels: np.ndarray, tid: str = "tid", text: str = "text", k: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(tid, keys, sample) of each text with words: a key for each band, and 16 bits of each draw."""
     held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,78 +223,70 @@ def band_rows(docs: DataFrame, levels: np.ndarray, tid: str = "tid", text: str =
                 if not len(some):
                     continue
                 first = np.append(first[some], len(found))
-                keys = band_keys(sampler.draw(found, weights.level(found, counts), first), bands, rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.reshape(-1).astype(np.int64)), pa.array(np.repeat(ids[block.first : block.last][some], bands))], names=["key", "tid"]
-                )
+                draws = sampler.draw(found, weights.level(found, counts), first)
+                keys = band_keys(draws, bands, rows).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
+                sample = [x.tobytes() for x in (draws >> np.uint64(48)).astype("<u2")]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[block.first : block.last][some]), lists, pa.array(sample, pa.binary())], names=["tid", "keys", "sample"])
 
-    return docs.select(tid, text).mapInArrow(run, "key bigint, tid bigint")
+    return docs.select(tid, text).mapInArrow(run, "tid bigint, keys array<bigint>, sample binary").dropDuplicates(["tid"])
 
 
-def verify(pairs: DataFrame, levels: np.ndarray, threshold: float, k: int = SHINGLE_WORDS) -> DataFrame:
-    """(a, b, linked, keys, novel) of ``pairs`` (a, b, novel, text_a, text_b); novel is what of a no leader so far held, null before the first."""
-    held = pairs.sparkSession.sparkContext.broadcast(levels)
+def shingle_sets(texts: DataFrame, levels: np.ndarray, k: int = SHINGLE_WORDS) -> DataFrame:
+    """(tid, shingles, hashes, levels) of ``texts`` (tid, text): the upper 32 bits of each shingle's hash in order, and its weight's level in a byte."""
+    held = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(held.value)
-        kept: dict[int, tuple] = {}
-
-        def features(column, ids) -> dict:
-            out, missing, at = {}, [], []
-            for i, x in enumerate(ids):
-                if x in kept:
-                    out[x] = kept[x]
-                elif x not in out:
-                    out[x] = ()
-                    missing.append(x)
-                    at.append(i)
-            if missing:
-                for block in textcore.blocks(column.take(pa.array(at)), lower=True):
-                    found, counts, first = _row_sets(block, k)
-                    value = np.exp(weights.level(found, counts) / 4)
-                    for r in range(block.last - block.first):
-                        s = slice(first[r], first[r + 1])
-                        out[missing[block.first + r]] = (found[s], value[s], float(value[s].sum()))
-            return out
+        for batch in batches:
+            for block in textcore.blocks(batch.column(1), lower=True):
+                found, counts, first = _row_sets(block, k)
+                hashes, level = (found >> np.uint64(32)).astype("<u4"), np.minimum(weights.level(found, counts), 255).astype(np.uint8)
+                cut = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(block.first, block.last - block.first),
+                        pa.array(np.diff(first).astype(np.int64)),
+                        pa.array([hashes[a:b].tobytes() for a, b in cut], pa.binary()),
+                        pa.array([level[a:b].tobytes() for a, b in cut], pa.binary()),
+                    ],
+                    names=["tid", "shingles", "hashes", "levels"],
+                )
 
+    return texts.select("tid", "text").mapInArrow(run, "tid bigint, shingles bigint, hashes binary, levels binary")
+
+
+class Sets:
+    """Texts' shingle hashes (ascending) and weights, read from two binary columns."""
+
+    def __init__(self, hashes: pa.Array, levels: pa.Array):
+        self.hashes = [np.frombuffer(x.as_buffer(), "<u4") for x in hashes]
+        self.weights = [_WEIGHT[np.frombuffer(x.as_buffer(), np.uint8)] for x in levels]
+
+    def like(self, one: int, others: list[int], threshold: float) -> np.ndarray:
+        """For each of ``others``, whether its weighted Jaccard similarity with ``one`` reaches the threshold."""
+        mine, weight = self.hashes[one], self.weights[one]
+        lengths = [len(self.hashes[o]) for o in others]
+        theirs, their_weight = (np.concatenate([part[o] for o in others]) for part in (self.hashes, self.weights))
+        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        least = np.where(mine[at] == theirs, np.minimum(weight[at], their_weight), 0.0)
+        begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        shared, total = np.add.reduceat(least, begin), np.add.reduceat(their_weight, begin)
+        return shared >= (threshold - 1e-9) * (weight.sum() + total - shared)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The linked ones (a, b) of ``pairs`` (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-                left = features(part.column("text_a"), a)
-                right = features(part.column("text_b"), b)
-                kept = dict(list(right.items())[-8:])  # a leader's pairs often come together
-                linked, keys, novel = [], [], []
-                before = part.column("novel").to_pylist()
-                for x, y, held_back in zip(a, b, before, strict=True):
-                    (fa, wa, sa), (fb, wb, sb) = left[x], right[y]
-                    _, ia, ib = np.intersect1d(fa, fb, True, True)
-                    shared = float(np.minimum(wa[ia], wb[ib]).sum())
-                    linked.append(len(ia) >= threshold * (len(fa) + len(fb) - len(ia)) or shared >= threshold * (sa + sb - shared))
-                    if held_back is None:
-                        fresh = np.delete(fa, ia)[:NOVEL]
-                        lost = len(fb) - len(ib)
-                        # little was added: what was left out tells instead, for one round
-                        side = fresh if 3 * (len(fa) - len(ia)) >= lost else np.delete(fb, ib)
-                    else:
-                        fresh = np.setdiff1d(np.array(held_back, np.int64).view(np.uint64), fb, True)
-                        side = fresh
-                    lineage = np.uint64((y if held_back is None else 0) & (1 << 64) - 1)
-                    keys.append(textcore.mix(side[:KEYS] ^ textcore.mix(lineage.reshape(1))).view(np.int64))
-                    novel.append(fresh.view(np.int64))
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32)), pa.array(np.concatenate(c))) for c in (keys, novel)]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_()), *lists], names=["a", "b", "linked", "keys", "novel"])
-
-    return pairs.mapInArrow(run, "a bigint, b bigint, linked boolean, keys array<bigint>, novel array<bigint>")
-
-
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Attach both texts; a leader ``b`` with many pairs gets several copies of its text, each for some of them."""
-    fan = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    salted = pairs.join(fan, "b").withColumn("salt", F.pmod(F.hash("a"), F.col("salts")).cast("int")).drop("salts")
-    leaders = texts.withColumnRenamed("tid", "b").join(fan, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("text_b"))
-    members = texts.withColumnRenamed("tid", "a").join(salted, "a").select("a", "b", "salt", "novel", F.col("text").alias("text_a"))
-    return members.join(leaders, ["b", "salt"]).select("a", "b", "novel", "text_a", "text_b")
+            n = batch.num_rows
+            both = Sets(pa.concat_arrays([batch.column("hashes_a"), batch.column("hashes_b")]), pa.concat_arrays([batch.column("levels_a"), batch.column("levels_b")]))
+            linked = pa.array([bool(both.like(i, [n + i], threshold)[0]) for i in range(n)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(linked)
+
+    named = [sets.select(F.col("tid").alias(x), F.col("hashes").alias(f"hashes_{x}"), F.col("levels").alias(f"levels_{x}")) for x in "ab"]
+    return pairs.join(named[0], "a").join(named[1], "b").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -313,103 +301,129 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         moves = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).where("m < c")
         hop = materialise(moves, "moves")
-        labels = materialise(labels.join(hop, "c", "left").select("v", F.coalesce("m", "c").alias("c")), "labels")
+        moved = materialise(labels.join(hop, "c", "left").select("v", F.coalesce("m", "c").alias("c")), "labels")
         at_a = edges.join(hop.withColumnsRenamed({"c": "a", "m": "ma"}), "a", "left").select(F.coalesce("ma", "a").alias("a"), "b")
         at_b = at_a.join(hop.withColumnsRenamed({"c": "b", "m": "mb"}), "b", "left").select("a", F.coalesce("mb", "b").alias("b"))
-        edges = materialise(at_b.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        left = materialise(at_b.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        discard(hop, labels, edges)
+        labels, edges = moved, left
+    discard(edges)
     return labels
 
 
-def _crowded(rows: DataFrame) -> DataFrame:
-    """The rows (key, tid, open, ...) of buckets of two or more with an open member, one like no leader; adds n."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any_open")).where("n > 1 and any_open")
-    return rows.join(sizes.drop("any_open"), "key")
-
+def _dealt(crowded: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, band, x, y, own, tid, c): members of unsettled buckets, a row for each pair of blocks x <= y that they take part in.
 
-def text_sizes(texts: DataFrame, levels: np.ndarray, k: int = SHINGLE_WORDS) -> DataFrame:
-    """(tid, shingles, weight) of ``texts`` (tid, text)."""
-    held = texts.sparkSession.sparkContext.broadcast(levels)
+    Members outside a bucket's largest component are dealt into blocks of their
+    own, each to be held against all of these and against the blocks of the
+    largest component, whose own members are linked already.
+    """
+    sized = crowded.join(sets.select("tid", "shingles"), "tid").join(labels.withColumnRenamed("v", "tid"), "tid", "left")
+    placed = sized.select("key", "band", "tid", "shingles", F.coalesce("c", "tid").alias("c"))
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
+    top = F.max(F.struct("n", "s", "c"))
+    whole = parts.groupBy("key").agg(top.alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("top.n < n")
+
+    def blocks(n: str, s: str):
+        return F.greatest(F.ceil(F.expr(n) / BLOCK), F.ceil(F.expr(s) / BLOCK_SHINGLES)).cast("int")
+
+    one = (F.col("n") <= BLOCK) & (F.col("s") <= BLOCK_SHINGLES)
+    plan = whole.select("key", F.col("top.c").alias("largest"), F.when(one, 1).otherwise(blocks("n - top.n", "s - top.s")).alias("p"), F.when(one, 0).otherwise(blocks("top.n", "top.s")).alias("q"))
+    inner = (F.col("c") != F.col("largest")) | (F.col("q") == 0)
+    own = F.when(inner, F.pmod(F.hash("tid"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.hash("tid"), F.greatest("q", F.lit(1))))
+    met = F.explode(F.sequence(F.lit(0), F.when(inner, F.col("p") + F.col("q")).otherwise(F.col("p")) - 1))
+    dealt = placed.join(plan, "key").select("key", "band", "tid", "c", own.alias("own"), met.alias("other"))
+    return dealt.select("key", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "tid", "c")
+
+
+class Members:
+    """The members of one or more groups, decoded from Arrow."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        column = batch.column
+        self.group = np.column_stack([column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "x", "y")])
+        self.band, self.own, self.tid, self.c = (column(c).to_numpy(zero_copy_only=False) for c in ("band", "own", "tid", "c"))
+        self.sample = np.frombuffer(b"".join(x.as_py() for x in column("sample")), "<u2").reshape(batch.num_rows, -1)
+        self.sets = Sets(column("hashes"), column("levels"))
+
+
+def _compare(group: pa.RecordBatch, threshold: float, rows: int, agree: int) -> list[tuple[int, int]]:
+    """Links that join the components of a group's members, each pair judged in the first band whose bucket it shares."""
+    m = Members(group)
+    n, (x, y), band = len(m.tid), m.group[0, 1:], int(m.band[0])
+    c, places = m.c.copy(), np.arange(n)
+    links = []
+    for i in np.flatnonzero(m.own == x).tolist():
+        others = places[i + 1 :] if x == y else np.flatnonzero(m.own == y)
+        others = others[c[others] != c[i]]
+        if not len(others):
+            continue
+        same = m.sample[others] == m.sample[i]
+        count = same.sum(1)
+        open_ = count >= agree
+        if band:
+            open_ &= ~same[:, : band * rows].reshape(len(others), band, rows).all(2).any(1)
+        others = others[open_][np.argsort(-count[open_], kind="stable")]
+        while len(others):
+            part, others = others[:64], others[64:]
+            for o in part[m.sets.like(i, part.tolist(), threshold)].tolist():
+                if c[i] != c[o]:
+                    c[c == max(c[i], c[o])] = min(c[i], c[o])
+                    links.append((int(m.tid[i]), int(m.tid[o])))
+            others = others[c[others] != c[i]]
+    return links
+
+
+def settle(crowded: DataFrame, labels: DataFrame, sets: DataFrame, samples: DataFrame, threshold: float, rows: int = ROWS, agree: int = AGREE) -> DataFrame:
+    """Links (a, b) that join components: every pair of members of a bucket that lie in two components is judged, block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(held.value)
-        for batch in batches:
-            for block in textcore.blocks(batch.column(1), lower=True):
-                found, counts, first = _row_sets(block, k)
-                total = np.concatenate([[0.0], np.cumsum(np.exp(weights.level(found, counts) / 4))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.last - block.first), pa.array(np.diff(first).astype(np.int64)), pa.array(np.diff(total[first]))], names=["tid", "shingles", "weight"])
-
-    return texts.select("tid", "text").mapInArrow(run, "tid bigint, shingles bigint, weight double")
-
-
-def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, tid, c, place, largest): members of buckets that lie in several components of ``found``, those of small components first."""
-    placed = members.join(components(found).withColumnRenamed("v", "tid"), "tid", "left").select("key", "tid", F.coalesce("c", "tid").alias("c"))
-    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    several = parts.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    order = Window.partitionBy("key").orderBy(F.col("c") == F.col("largest"), "n", "c", "tid")
-    return placed.join(several, "key").join(parts, ["key", "c"]).withColumn("place", F.row_number().over(order)).select("key", "tid", "c", "place", "largest")
-
-
-def links(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Verified links (a, b) between texts of ``docs`` (tid, text), each text given by its tid."""
-    bound_batches(docs.sparkSession)
-    sketch, n = frequency_sketch(docs, k=k)
-    levels = idf_levels(sketch, n)
-    drawn = materialise(band_rows(docs, levels, k=k, bands=bands, rows=rows).distinct(), "bands")
-    rest = materialise(_crowded(drawn.withColumns({"open": F.lit(True), "novel": F.lit(None).cast("array<bigint>")})), "rest")
-    # the texts that share a bucket; equal ones are made one before the shuffle (a semi-join would move below that)
-    texts = materialise(docs.dropDuplicates(["tid"]).join(rest.select("tid").distinct(), "tid"), "texts")
-    found, judged = [], []
-
-    def verified_of(pairs: DataFrame) -> DataFrame:
-        single = pairs.where("tid <> b").groupBy(F.col("tid").alias("a"), "b").agg(F.min("novel").alias("novel"))
-        out = materialise(verify(_with_texts(materialise(single, "pairs"), texts), levels, threshold, k), "verified")
-        found.append(out.where("linked").select("a", "b"))
-        judged.append(out.select("a", "b"))
-        release(docs.sparkSession)
-        return out
+        held: list[pa.RecordBatch] = []
+        last = None
 
-    def still_open(verified: DataFrame) -> DataFrame:
-        return verified.groupBy("a").agg(F.min(~F.col("linked")).alias("open"))
-
-    while rest.limit(1).count():
-        central = rest.groupBy("tid").agg(F.sum("n").alias("c"))
-        first = Window.partitionBy("key").orderBy(F.desc("c"), "tid")
-        placed = rest.select("key", "tid").join(central, "tid").withColumn("place", F.row_number().over(first))
-        leaders = placed.where(F.col("place") <= (MORE_LEADERS if found else LEADERS)).select("key", F.col("tid").alias("b"), "place")
-        if found:
-            widest = rest.where("open").groupBy("tid").agg(F.max(F.struct("n", "key"))["key"].alias("widest"))
-            room = F.when(F.col("open") & (F.col("key") == F.col("widest")), MORE_LEADERS).otherwise(F.when(F.col("open"), 2).otherwise(1))
-            verified = verified_of(rest.join(widest, "tid", "left").join(leaders, "key").where(F.col("place") <= room))
-        else:
-            verified = verified_of(rest.join(leaders.where("place = 1"), "key"))
-            alone = still_open(verified).where("open").select(F.col("a").alias("tid"))
-            verified = verified.unionByName(verified_of(rest.join(alone, "tid", "left_semi").join(leaders.where("place > 1"), "key")))
-        fresh = verified.select("a", F.explode("keys").alias("key"), "novel").groupBy("a", "key").agg(F.min("novel").alias("novel"))
-        rest = materialise(_crowded(fresh.join(still_open(verified), "a").select("key", F.col("a").alias("tid"), "open", "novel")), "rest")
-    if not found:
-        return docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-
-    def all_of(parts: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.union, parts)
-
-    low_high = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest, block, sizes = drawn, BLOCK, None
-    while True:
-        rest = materialise(_unsettled(rest.select("key", "tid"), all_of(found)), "unsettled")
-        if not rest.limit(1).count():
-            break
-        if sizes is None:
-            sizes = materialise(text_sizes(texts.join(rest.select("tid").distinct(), "tid"), levels, k), "sizes")
-        leaders = rest.where((F.col("place") <= block) & (F.col("c") != F.col("largest"))).select("key", F.col("tid").alias("b"), F.col("c").alias("c_b"))
-        met = rest.join(leaders, "key").where("c <> c_b").select(F.col("tid").alias("a"), "b").select(*low_high).distinct()
-        near = lambda x: F.least(f"{x}_a", f"{x}_b") >= (threshold - 1e-6) * F.greatest(f"{x}_a", f"{x}_b")
-        sized = met.join(sizes.toDF("a", "shingles_a", "weight_a"), "a").join(sizes.toDF("b", "shingles_b", "weight_b"), "b").where(near("shingles") | near("weight"))
-        fresh = sized.select("a", "b").join(all_of(judged).select(*low_high), ["a", "b"], "left_anti")
-        verified_of(fresh.select(F.col("a").alias("tid"), "b", F.lit(None).cast("array<bigint>").alias("novel")))
-        rest = rest.where((F.col("place") > block) | (F.col("c") == F.col("largest")))
-        block *= 4
-    return all_of(found).distinct()
+        def judged() -> pa.RecordBatch:
+            links = _compare(pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0], threshold, rows, agree)
+            return pa.RecordBatch.from_arrays([pa.array([p[s] for p in links], pa.int64()) for s in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            group = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "x", "y")])
+            cuts = np.append(np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(1))), len(group)) if len(group) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tuple(group[a]) != last:
+                    yield judged()
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(group[a])
+        if held:
+            yield judged()
+
+    carried = sets.select("tid", "hashes", "levels").join(samples.select("tid", "sample"), "tid")
+    grouped = _dealt(crowded, labels, sets).join(carried, "tid").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return grouped.mapInArrow(run, "a bigint, b bigint")
+
+
+def links(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, agree: int | None = None) -> DataFrame:
+    """Verified links (a, b) between texts of ``docs`` (tid, text), each text given by its tid: enough to join every class."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    agree = bands * rows * AGREE // (BANDS * ROWS) if agree is None else agree
+    levels = idf_levels(*frequency_sketch(docs, k=k))
+    drawn = materialise(sketches(docs, levels, k=k, bands=bands, rows=rows), "sketches")
+    members = drawn.select("tid", F.posexplode("keys").alias("band", "key"))
+    crowded = materialise(members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "crowded")
+    # equal texts are made one before the shuffle
+    needed = docs.dropDuplicates(["tid"]).join(crowded.select("tid").distinct(), "tid")
+    sets = materialise(shingle_sets(needed, levels, k), "sets")
+    release(spark)
+    # a bucket's leader is the member that meets most others in all its buckets: the text that the others were copied from, as a rule
+    central = crowded.groupBy("tid").agg(F.sum("n").alias("met"))
+    leaders = crowded.select("key", "tid").join(central, "tid").groupBy("key").agg(F.max(F.struct("met", F.col("tid").alias("b")))["b"].alias("b"))
+    stars = crowded.select("key", "tid").join(leaders, "key").where("tid <> b").select(F.least("tid", "b").alias("a"), F.greatest("tid", "b").alias("b")).distinct()
+    first = materialise(verify(materialise(stars, "stars"), sets, threshold), "links")
+    labels = components(first)
+    second = materialise(settle(crowded, labels, sets, drawn, threshold, rows, agree), "links")
+    discard(crowded, sets, drawn, labels)
+    return first.union(second)
 
 
 def with_text_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -418,41 +432,43 @@ def with_text_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(tid, class_id, class_size, n_links): one row per text with words; class_id is the class's least doc_id."""
+    """(tid, class_key, first_rank, first_tid, class_size): one row per text with words.
+
+    class_key is the least text hash of the class; first_rank and first_tid name
+    the class's first document: the least doc_id, null last, then the least text hash.
+    """
     rows = with_text_id(docs, doc_id, text).where("tid is not null")
-    found = materialise(links(rows.select("tid", "text"), threshold), "found")
-    degree = found.select(F.col("a").alias("tid")).union(found.select("b")).groupBy("tid").agg(F.count("*").alias("n_links"))
+    found = components(links(rows.select("tid", "text"), threshold))
     copies = rows.groupBy("tid").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("least"), F.count("*").alias("n"))
-    member = copies.join(components(found).withColumnRenamed("v", "tid"), "tid", "left").withColumn("c", F.coalesce("c", "tid"))
-    member = materialise(member.join(degree, "tid", "left").select("tid", "c", "least", "n", F.coalesce("n_links", F.lit(0)).alias("n_links")), "member")
-    whole = member.groupBy("c").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    return member.join(whole, "c").select("tid", "class_id", "class_size", "n_links")
+    member = copies.join(found.withColumnRenamed("v", "tid"), "tid", "left").withColumn("c", F.coalesce("c", "tid"))
+    member = materialise(member.select("tid", "c", "least", "n"), "member")
+    whole = member.groupBy("c").agg(F.min(F.struct("least", "tid")).alias("first"), F.sum("n").alias("class_size"))
+    discard(found)
+    return member.join(whole, "c").select("tid", F.col("c").alias("class_key"), F.col("first.least").alias("first_rank"), F.col("first.tid").alias("first_tid"), "class_size")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, class_size, n_links, kept (the first of its class)."""
+    """One row per row of ``docs``: doc_id, class_id, class_key, class_size, kept."""
     found = classes(docs, doc_id, text, threshold)
+    alone = F.col("tid").isNull()
+    rank = F.coalesce("doc_id", F.lit(_LAST))
     return (
         with_text_id(docs, doc_id, text)
         .select("doc_id", "tid")
         .join(found, "tid", "left")
         .select(
             "doc_id",
-            F.when(F.col("tid").isNull(), F.col("doc_id")).otherwise(F.nullif("class_id", F.lit(_LAST))).alias("class_id"),
+            F.when(alone, F.col("doc_id")).otherwise(F.nullif("first_rank", F.lit(_LAST))).alias("class_id"),
+            "class_key",
             F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
-            F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-            F.when(F.col("tid").isNull(), True).otherwise(F.coalesce("doc_id", F.lit(_LAST)) == F.col("class_id")).alias("kept"),
+            (alone | (rank == F.col("first_rank")) & (F.col("tid") == F.col("first_tid"))).alias("kept"),
         )
     )
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class; rows whose text has no words all stay."""
-    found = classes(docs, threshold=threshold)
-    rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
-    keyed = docs.withColumns({"_tid": F.when(F.col("text").rlike(_WORDS), F.xxhash64("text")), "_rank": rank})
-    first = (
-        with_text_id(docs).select(rank.alias("_rank"), "tid").join(found, "tid").where("_rank = class_id").groupBy("_rank").agg(F.min("tid").alias("_tid"))
-    )
-    worded = keyed.where("_tid is not null").join(first, ["_rank", "_tid"], "left_semi").dropDuplicates(["_rank", "_tid"])
+    firsts = classes(docs, threshold=threshold).where("tid = first_tid").select(F.col("first_rank").alias("_rank"), F.col("tid").alias("_tid"))
+    keyed = docs.withColumns({"_tid": F.when(F.col("text").rlike(_WORDS), F.xxhash64("text")), "_rank": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))})
+    worded = keyed.where("_tid is not null").dropDuplicates(["_rank", "_tid"]).join(firsts, ["_rank", "_tid"], "left_semi")
     return worded.unionByName(keyed.where("_tid is null")).select(*docs.columns)

@@ -63,6 +63,8 @@ BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 IDF_POWER = 0.25
 #: Cells of the document-frequency sketch, and of the table that holds each hash function's variates.
 SKETCH_BITS, VARIATE_BITS = 20, 14
+#: Weight levels whose variates are tabulated; those above are worked out one by one.
+TABLED = 12
 #: Cells of the sketch that travel as one row.
 SLICE = 1 << 12
 _WORDS = r"[^\x20\x09-\x0D]"
@@ -157,34 +159,29 @@ class Sampler:
         self.log_c = np.log(rng.gamma(2.0, 1.0, size)).astype(np.float32)
         self.beta = rng.random(size, np.float32)
         self.odd = rng.integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.low, self.table = 0, np.zeros((hashes, 0), np.float32)
+        # ln a of every variate cell for the first weight levels, level by level in a row
+        self.table = np.empty((hashes, TABLED << bits), np.float32)
+        for x in range(TABLED):
+            self.table[:, x << bits : (x + 1) << bits] = self._log_a(x / 4, self.log_c, self.r, self.beta)
 
-    def prepare(self, low: int, high: int) -> None:
-        """Tabulate ln a of every variate cell for the weight levels low..high, level by level in a row."""
-        held = self.table.shape[1] >> self.bits
-        if held and self.low <= low and high < self.low + held:
-            return
-        if held:
-            low, high = min(low, self.low), max(high, self.low + held - 1)
-        self.low = low
-        cells = 1 << self.bits
-        self.table = np.empty((self.hashes, (high + 1 - low) * cells), np.float32)
-        for j in range(self.hashes):
-            r, beta = self.r[j], self.beta[j]
-            for x in range(low, high + 1):
-                self.table[j, (x - low) * cells : (x - low + 1) * cells] = self.log_c[j] - r * (np.floor(np.float32(x / 4) / r + beta) - beta) - r
+    @staticmethod
+    def _log_a(log_weight, log_c: np.ndarray, r: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        return log_c - r * (np.floor(np.float32(log_weight) / r + beta) - beta) - r
 
     def draw(self, found: np.ndarray, level: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Sample of every row (all rows have a shingle) by every hash function, as a 64-bit value."""
-        self.prepare(int(level.min()), int(level.max()))
         out = np.empty((len(first) - 1, self.hashes), np.uint64)
         lengths = np.diff(first)
         rows = np.repeat(np.arange(len(lengths)), lengths)
-        shift, base = np.uint64(64 - self.bits), (level - self.low) << self.bits
+        shift, base = np.uint64(64 - self.bits), np.minimum(level, TABLED - 1) << self.bits
+        above = np.flatnonzero(level >= TABLED)
         for j in range(self.hashes):
             product = found * self.odd[j]
             cell = (product >> shift).view(np.int64)
             value = self.table[j].take(cell + base)
+            if len(above):
+                high = cell[above]
+                value[above] = self._log_a((level[above] / 4).astype(np.float32), self.log_c[j][high], self.r[j][high], self.beta[j][high])
             at = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, first[:-1]), lengths))
             # two shingles in one cell: the one with the lesser product is drawn
             if len(at) > len(lengths):

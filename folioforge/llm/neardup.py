@@ -316,7 +316,7 @@ def _dealt(crowded: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     largest component, whose own members are linked already.
     """
     sized = crowded.join(sets.select("tid", "shingles"), "tid").join(labels.withColumnRenamed("v", "tid"), "tid", "left")
-    placed = sized.select("key", "band", "tid", "shingles", F.coalesce("c", "tid").alias("c"))
+    placed = materialise(sized.select("key", "band", "tid", "shingles", F.coalesce("c", "tid").alias("c")), "placed")
     parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
     top = F.max(F.struct("n", "s", "c"))
     whole = parts.groupBy("key").agg(top.alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("top.n < n")
@@ -326,6 +326,7 @@ def _dealt(crowded: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
 
     one = (F.col("n") <= BLOCK) & (F.col("s") <= BLOCK_SHINGLES)
     plan = whole.select("key", F.col("top.c").alias("largest"), F.when(one, 1).otherwise(blocks("n - top.n", "s - top.s")).alias("p"), F.when(one, 0).otherwise(blocks("top.n", "top.s")).alias("q"))
+    plan = materialise(plan, "plan")
     inner = (F.col("c") != F.col("largest")) | (F.col("q") == 0)
     own = F.when(inner, F.pmod(F.hash("tid"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.hash("tid"), F.greatest("q", F.lit(1))))
     met = F.explode(F.sequence(F.lit(0), F.when(inner, F.col("p") + F.col("q")).otherwise(F.col("p")) - 1))
@@ -407,19 +408,21 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WORDS,
     levels = idf_levels(*frequency_sketch(docs, k=k))
     drawn = materialise(sketches(docs, levels, k=k, bands=bands, rows=rows), "sketches")
     members = drawn.select("tid", F.posexplode("keys").alias("band", "key"))
-    crowded = materialise(members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "crowded")
+    # what is aggregated by key is written before it is joined: only then can Spark split a hot key of the join
+    counts = materialise(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    crowded = materialise(members.join(counts, "key"), "crowded")
     # equal texts are made one before the shuffle
     needed = docs.dropDuplicates(["tid"]).join(crowded.select("tid").distinct(), "tid")
     sets = materialise(shingle_sets(needed, levels, k), "sets")
     release(spark)
     # a bucket's leader is the member that meets most others in all its buckets: the text that the others were copied from, as a rule
     central = crowded.groupBy("tid").agg(F.sum("n").alias("met"))
-    leaders = crowded.select("key", "tid").join(central, "tid").groupBy("key").agg(F.max(F.struct("met", F.col("tid").alias("b")))["b"].alias("b"))
+    leaders = materialise(crowded.select("key", "tid").join(central, "tid").groupBy("key").agg(F.max(F.struct("met", F.col("tid").alias("b")))["b"].alias("b")), "leaders")
     stars = crowded.select("key", "tid").join(leaders, "key").where("tid <> b").select(F.least("tid", "b").alias("a"), F.greatest("tid", "b").alias("b")).distinct()
     first = materialise(verify(materialise(stars, "stars"), sets, threshold), "links")
     labels = components(first)
     second = materialise(settle(crowded, labels, sets, drawn, threshold, rows, agree), "links")
-    discard(crowded, sets, drawn, labels)
+    discard(counts, crowded, leaders, sets, drawn, labels)
     return first.union(second)
 
 

@@ -1,19 +1,23 @@
-"""Repeated-passage removal by hashing normalised units of text.
-
-Plain lines miss passages that sit inside longer lines, so the units here are
-cut at local marks: line ends, sentence ends, the first capital of a run, and
-words whose hash is divisible by ``MARK_EVERY``.  From each mark a unit of at
-least ``MIN_WORDS`` words runs to the next mark (``MAX_WORDS`` at most), and one
-runs back from each line's end.  Those marks are sparse in texts without capitals
-and sentence ends, and differ where lines are wrapped otherwise.  So a second
-kind of units runs between marks of their own: the words that have the least
-hash of some window of ``WINDOW`` words.  A passage's windows choose alike wherever it
-stands: one of ``MIN_WORDS + 2 * WINDOW - 1`` words (50) or more is sure to hold such
-a unit, whatever its script, case and line breaks and the text around it.
+"""Repeated-passage removal by hashing lines, and the parts of lines.
+
+Every line of ``LINE_WORDS`` words or more is a unit.  Whole lines miss passages
+that sit inside longer lines, so lines of ``MIN_WORDS`` or more are hashed in
+parts that cover them, cut at local marks: line ends, sentence ends, the first
+capital of a run, and words whose hash is divisible by ``MARK_EVERY``.  From each
+mark a unit of at least ``MIN_WORDS`` words runs to the next mark (``MAX_WORDS``
+at most), and one runs back from each line's end.  Those marks are sparse in
+texts without capitals and sentence ends, and differ where lines are wrapped
+otherwise.  So a second kind of parts runs between marks of their own: the words
+that have the least hash of some window of ``WINDOW`` words.  A passage's windows
+choose alike wherever it stands: one of ``MIN_WORDS + 2 * WINDOW - 1`` words (50)
+or more is sure to hold such a unit, whatever its script, case and line breaks
+and the text around it.
 
 Equal units get equal digests (64 bits over words in ASCII lower case; white space doesn't count).
 
-Digests are grouped globally.  The earliest occurrence stays, by doc_id, then
+Digests are grouped globally, pre-aggregated to their first and last holder; a
+digest that many rows hold is split where the units meet its holder (a skewed
+join whose other side has one row a digest).  The earliest occurrence stays, by doc_id, then
 by the text's hash and then by offset; every other one is removed unless it overlaps the first
 occurrence in the same text.  Removed units that touch are merged, and their
 character offsets in the original text are kept.
@@ -21,7 +25,8 @@ character offsets in the original text are kept.
 Defined results: null, empty and short texts have no unit and stay as they are;
 rows that repeat a doc_id and its text are one document and keep the same
 parts; different texts under one doc_id are documents of their own, told apart
-by ``text_hash``; a null doc_id ranks last; other columns, whatever their names, pass
+by ``text_hash``; a null doc_id ranks last and is reported as null; all text
+outside the spans stays as it was; other columns, whatever their names, pass
 through.
 """
 
@@ -38,6 +43,8 @@ from folioforge.llm import textcore
 from folioforge.session import bound_batches, materialise
 
 MIN_WORDS, MAX_WORDS, MARK_EVERY = 25, 50, 32
+#: Words of the shortest line that is a unit as a whole.
+LINE_WORDS = 25
 #: Words of a window that is sure to hold a mark.
 WINDOW = 13
 _LAST = (1 << 63) - 1
@@ -86,11 +93,11 @@ def _window_marks(hashes: np.ndarray, row_words: np.ndarray, size: int) -> np.nd
     return np.flatnonzero((_sliding(np.concatenate([none, least, none]), size, np.maximum) == hashes) & (hashes > 0))
 
 
-def _units_of(block: textcore.Block, min_words: int, max_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _units_of(block: textcore.Block, min_words: int, max_words: int, line_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, digest, start and end character of each unit of a block."""
     starts, ends, row_words = block.words()
     none = np.zeros(0, np.int64)
-    if len(starts) < min_words:
+    if len(starts) < min(min_words, line_words):
         return none, none.astype(np.uint64), none, none
     lowered = textcore.Block(block.first, block.last, _LOWER[block.data], block.offsets)
     hashes = lowered.hashes(starts, ends)
@@ -113,6 +120,11 @@ def _units_of(block: textcore.Block, min_words: int, max_words: int) -> tuple[np
     begin = np.concatenate([begin, np.maximum(back, row_words[last_row]), chosen])
     stop, row = np.concatenate([stop, close, whole]), np.concatenate([row, last_row, chosen_row])
     fits = stop - begin >= min_words
+    # whole lines; longer ones are covered by the units above
+    length = np.diff(lines)
+    short = np.flatnonzero((length >= line_words) & (length < min_words))
+    begin, stop, fits = np.concatenate([begin, lines[short]]), np.concatenate([stop, lines[short + 1]]), np.concatenate([fits, np.ones(len(short), bool)])
+    row = np.concatenate([row, np.searchsorted(row_words, lines[short], "right") - 1])
     _, once = np.unique(begin[fits] * (len(starts) + 1) + stop[fits], return_index=True)
     begin, stop, row = begin[fits][once], stop[fits][once], row[fits][once]
     forward, back = textcore._power_tables(len(hashes))
@@ -124,7 +136,7 @@ def _units_of(block: textcore.Block, min_words: int, max_words: int) -> tuple[np
     return row, digest, chars[starts[begin]] - base, chars[ends[stop - 1]] - base
 
 
-def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_words: int = MAX_WORDS, known: DataFrame | None = None) -> DataFrame:
+def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_words: int = MAX_WORDS, line_words: int = LINE_WORDS, known: DataFrame | None = None) -> DataFrame:
     """(digest, doc_id, text_hash, start, end, again): units of every text; ``again`` marks later, disjoint ones of the same text, merged.
 
     ``text_hash`` is 0 where one text alone has the doc_id (``known``: see ``_texts_by_rank``), so that it takes no room there.
@@ -134,7 +146,7 @@ def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
         for batch in batches:
             ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for block in textcore.blocks(batch.column(2)):
-                row, digest, start, end = _units_of(block, min_words, max_words)
+                row, digest, start, end = _units_of(block, min_words, max_words, line_words)
                 if not len(row):
                     continue
                 order = np.lexsort((start, digest, row))
@@ -176,13 +188,14 @@ def _texts_by_rank(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return hashed.groupBy("doc_id").agg(F.min("h").alias("hash"), F.max("h").alias("other"))
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_words: int = MAX_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """(doc_id, start, end, first_doc_ids, text_hash): merged spans to remove, and the documents that keep their first occurrences."""
     known = materialise(_texts_by_rank(docs, doc_id, text), "ranks")
-    found = units(docs, doc_id, text, min_words, max_words, known)
+    found = units(docs, doc_id, text, min_words, max_words, line_words, known)
     # least and greatest holder: enough to tell a digest that repeats, and summed up before the shuffle
     holder = F.struct("doc_id", "text_hash")
     firsts = found.where("not again").groupBy("digest").agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where("first <> last").select("digest", "first")
+    firsts = materialise(firsts, "firsts")
     joined = found.join(firsts, "digest", "left").where(F.col("again") | (holder > F.col("first")))
     spans = joined.select("doc_id", "text_hash", "start", "end", F.when(F.col("again"), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("first")).distinct()
     ordered = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end", "first")
@@ -192,19 +205,19 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wor
     merged = numbered.groupBy("doc_id", "text_hash", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("first")).alias("first_doc_ids"))
     single = known.where("hash = other").select("doc_id", "hash")
     own = F.when(F.col("text_hash") == 0, F.coalesce("hash", "text_hash")).otherwise(F.col("text_hash"))
-    return merged.join(single, "doc_id", "left").select("doc_id", "start", "end", "first_doc_ids", own.alias("text_hash"))
+    no_id = lambda x: F.nullif(x, F.lit(_LAST))
+    return merged.join(single, "doc_id", "left").select(no_id("doc_id").alias("doc_id"), "start", "end", F.transform("first_doc_ids", no_id).alias("first_doc_ids"), own.alias("text_hash"))
 
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` without the spans; text, and n_chars where there is one, follow; a removed part leaves one line end at most."""
-    lists = spans.groupBy(F.col("doc_id").alias("_rank"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
+    """``docs`` without the spans; text, and n_chars where there is one, follow; what lies outside the spans stays character by character."""
     rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
+    lists = spans.groupBy(rank.alias("_rank"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
     pieces = F.expr(
         "concat_ws('', transform(sequence(0, size(_cut)), i -> "
         "substring(text, if(i = 0, 0, get(_cut, i - 1).end) + 1, if(i = size(_cut), length(text), get(_cut, i).start) - if(i = 0, 0, get(_cut, i - 1).end))))"
     )
-    cleaned = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.trim(F.regexp_replace(pieces, r"[ \t]*\n\s*\n*", "\n"), F.lit(" \n")))
-    out = docs.withColumns({"_rank": rank, "_hash": F.xxhash64("text")}).join(lists, ["_rank", "_hash"], "left").withColumn("text", cleaned)
+    out = docs.withColumns({"_rank": rank, "_hash": F.xxhash64("text")}).join(lists, ["_rank", "_hash"], "left").withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(pieces))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
     return out.select(*docs.columns)

@@ -60,13 +60,37 @@ def test_lines_equal_brute_force(spark, frame):
         assert lines == want.get(i, set())
 
 
+def test_short_lines_equal_brute_force(spark, frame):
+    """With line_words 1 and only lines repeated, every repeated line goes but its first, in whatever document."""
+    pool = [" ".join(RNG.choice("abcdefgh") + str(RNG.randint(0, 99)) for _ in range(RNG.randint(1, 24))) for _ in range(40)]
+    texts = {i: "\n".join(RNG.sample(pool, RNG.randint(1, 6))) for i in range(30)}
+    seen, want = set(), {}
+    for i, t in texts.items():
+        want[i] = "\n".join("" if line in seen else line for line in t.split("\n"))
+        seen.update(t.split("\n"))
+    docs = frame(list(texts.items()))
+    spans = substring.repeats(docs, line_words=1, min_words=1000)
+    lines = lambda t: [x for x in t.split("\n") if x.strip()]
+    out = {r["doc_id"]: r["text"] for r in substring.remove(docs, spans).collect()}
+    assert {i: lines(t) for i, t in out.items()} == {i: lines(t) for i, t in want.items()}
+
+
+def test_text_outside_the_spans_stays(spark, frame):
+    p = passage(60)
+    rows = [(1, p), (2, "Head\n\n  indented code\n\n\n" + p + "\n\n\n  Para two.  ")]
+    docs = frame(rows)
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in substring.remove(docs, substring.repeats(docs)).collect()}
+    left = "Head\n\n  indented code\n\n\n\n\n\n  Para two.  "
+    assert out == {1: (p, len(p)), 2: (left, len(left))}
+
+
 def test_edges(spark, frame, clashing):
     p = passage(60)
     rows = [(1, None), (2, ""), (3, "short"), (4, p), (4, p), (5, p + "\nrest of five"), (None, p), (6, "word " * 5000), (7, "x" * 100_000)]
     docs = clashing(frame(rows))
     spans = substring.repeats(docs)
-    assert {r["doc_id"] for r in spans.collect()} >= {5, substring._LAST}
+    assert {r["doc_id"] for r in spans.collect()} >= {5, None}
     out = {(r["doc_id"], r["text"]) for r in substring.remove(docs, spans).collect()}
-    assert (4, p) in out and (5, "rest of five") in out and (1, None) in out and (2, "") in out and (3, "short") in out and (None, "") in out
+    assert (4, p) in out and (5, "\nrest of five") in out and (1, None) in out and (2, "") in out and (3, "short") in out and (None, "") in out
     assert substring.remove(docs, spans).columns == docs.columns
     assert substring.repeats(frame(rows).limit(0)).count() == 0

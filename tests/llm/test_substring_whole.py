@@ -33,6 +33,6 @@ def test_texts_under_one_id_are_documents_of_their_own(spark, frame):
     rows += [(None, only_null + "\n" + words(30, "klmn")), (None, only_null + "\n" + words(30, "pqrs"))]
     docs = frame(rows)
     out = [r["text"] for r in substring.remove(docs, substring.repeats(docs)).collect()]
-    assert shared in out and "rest of none" in out and "rest of seven" in out
+    assert shared in out and "\nrest of none" in out and "\nrest of seven" in out
     assert clean[None] in out and clean[7] in out
     assert sum(only_null in t for t in out) == 1 and len(out) == len(rows)

@@ -4,19 +4,21 @@ A passage of m characters within e edits of a benchmark item shares at least
 m + 1 - q * (e + 1) character q-grams with it, all on diagonals at most e apart.
 Every text's q-grams are looked up in the items' index, hits are counted per
 item in bands of diagonals that overlap by half, bands that reach the bound are
-retained, and each is verified by alignment within its band.
+retained, and each is verified by alignment along the band's diagonals alone.
 
 Case and runs of white space don't count.  The edit budget of an item is
 ``EDIT_SHARE`` of its length, at most what leaves the bound at one q-gram or
 more; an item shorter than q characters must occur exactly.
 
-The items are a stated query set: they are cut into parts of at most
-``PART_CHARS`` characters, and each part is sent to the tasks and run against
-all rows.
+The items are a stated query set: they are dealt by their hash into parts of
+about ``PART_CHARS`` characters, and one part after another is read, sent to
+the tasks and run against all rows.
 
 Defined results: null and empty texts hold no passage; empty items are left
 out; of an item's overlapping places in a text the one with the least distance
-is reported, the first of equals; repeated rows report alike.
+is reported, the first of equals; repeated rows report alike; rows without an
+id are searched too, and so are items without one, reported under a null
+item_id where no other item has their text.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import textcore
-from folioforge.session import bound_batches
+from folioforge.session import bound_batches, materialise
 
 Q, EDIT_SHARE, PART_CHARS = 8, 0.1, 4_000_000
 _TABLE_BITS = 21
@@ -94,30 +96,35 @@ class Index:
         return np.repeat(at, count), self.item[place], self.at[place]
 
 
-def align(item: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int, int] | None:
-    """Least edits that turn ``item`` into a stretch of ``region``, and the stretch; None beyond ``edits``.
+def align(item: np.ndarray, text: np.ndarray, first: int, width: int, edits: int) -> tuple[int, int, int] | None:
+    """Least edits that turn ``item`` into a stretch of ``text`` along the diagonals first..first+width-1, and the stretch; None beyond ``edits``.
 
-    The whole region is one band, twice the retained band wide at most: one
-    vector step per item character, insertions by a running minimum.
+    A cell for each item character and each diagonal of the band: the cost is
+    in proportion to both, however long the text is.  One vector step per item
+    character, insertions by a running minimum.  Places outside the text hold no
+    character, so an item may begin or end beyond it at an edit a character.
     """
-    width = len(region) + 1
     steps = np.arange(width)
-    cost, begin = np.zeros(width, np.int64), steps.copy()
-    for row, code in enumerate(item, 1):
-        down = cost + 1
-        slant = np.full(width, row, np.int64)
-        slant[1:] = cost[:-1] + (region != code)
-        from_slant = np.zeros(width, np.int64)
-        from_slant[1:] = begin[:-1]
+    padded = np.full(len(item) + width, -1, np.int64)  # the text from place ``first`` on
+    low, high = max(0, first), min(len(text), first + len(padded))
+    if low < high:
+        padded[low - first : high - first] = text[low:high]
+    wanted = item.astype(np.int64)
+    cost, begin = np.zeros(width, np.int64), first + steps
+    for row in range(len(item)):
+        slant = cost + (padded[row : row + width] != wanted[row])
+        down = np.append(cost[1:] + 1, 1 << 40)  # the item's character is left out: one diagonal back
         best = np.minimum(down, slant)
-        origin = np.where(slant <= down, from_slant, begin)
-        reach = np.minimum.accumulate(best - steps)
-        lead = np.maximum.accumulate(np.where(best - steps == reach, steps, 0))
+        origin = np.where(slant <= down, begin, np.append(begin[1:], 0))
+        level = best - steps
+        reach = np.minimum.accumulate(level)
+        lead = np.maximum.accumulate(np.where(level == reach, steps, 0))
         cost, begin = reach + steps, origin[lead]
-        if row > edits and cost.min() > edits:
+        if cost.min() > edits:
             return None
     end = int(cost.argmin())
-    return (int(cost[end]), int(begin[end]), end) if cost[end] <= edits else None
+    place = first + end + len(item)
+    return (int(cost[end]), min(max(0, int(begin[end])), len(text)), min(max(0, place), len(text))) if cost[end] <= edits else None
 
 
 def _find(index: Index, text: str, shift: np.ndarray, base: int, hits: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int]]:
@@ -137,8 +144,8 @@ def _find(index: Index, text: str, shift: np.ndarray, base: int, hits: tuple[np.
         keys = keys[counts >= index.need[keys // bands]]
         for k, b in zip((keys // bands).tolist(), (keys % bands).tolist(), strict=True):
             m, e = len(index.codes[k]), int(index.edits[k])
-            low = max(0, b * (e + 1) - index.longest - e)
-            high = min(len(text), (b + 2) * (e + 1) - index.longest + m + e)
+            first = b * (e + 1) - index.longest
+            low, high = max(0, first), min(len(text), first + 2 * (e + 1) + m)
             if any(low <= s and t <= high and d == 0 for d, s, t in found.get(k, ())):
                 continue
             exact = text.find(index.items[k][1], low, high)
@@ -146,8 +153,8 @@ def _find(index: Index, text: str, shift: np.ndarray, base: int, hits: tuple[np.
                 found.setdefault(k, []).append((0, exact, exact + m))
                 continue
             codes = _codes(text) if codes is None else codes
-            if (got := align(index.codes[k], codes[low:high], e)) is not None:
-                found.setdefault(k, []).append((got[0], low + got[1], low + got[2]))
+            if (got := align(index.codes[k], codes, first, 2 * (e + 1), e)) is not None:
+                found.setdefault(k, []).append(got)
     for k in index.short:
         if (exact := text.find(index.items[k][1])) >= 0:
             found.setdefault(k, []).append((0, exact, exact + len(index.items[k][1])))
@@ -187,30 +194,38 @@ def _normalised(block: textcore.Block) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return codes, origin - row_base[rows], row_first, [text[a:b] for a, b in zip(row_first[:-1], row_first[1:], strict=True)]
 
 
-def _parts(items: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
-    out: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for i, t in items:
-        if out[-1] and size + len(t) > PART_CHARS:
-            out.append([])
-            size = 0
-        out[-1].append((i, t))
-        size += len(t)
-    return out
+def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(item_id, text): the items with an id, and each other text once under a null id."""
+    held = benchmark.where(F.col(text) != "").select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text"))
+    named = held.where("item_id is not null")
+    bare = held.where("item_id is null").select("text").distinct().join(named.select("text"), "text", "left_anti")
+    return named.unionByName(bare.select(F.lit(None).cast("bigint").alias("item_id"), "text"))
+
+
+def drop(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item.
+
+    Rows are told apart by doc_id and text, so that neither a null id nor one
+    that several texts share takes clean rows along.
+    """
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    leaks = contaminated(keyed, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(leaks, F.col("_row") == F.col("_leak"), "left_anti").drop("_row")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE) -> DataFrame:
     """(doc_id, item_id, distance, start, end): every item's places in every text, offsets in characters; a text that no item with an id has is found under a null item_id."""
     spark = docs.sparkSession
     bound_batches(spark)
-    held = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint"), item_text)
-    given = [(r[0], r[1]) for r in held.toLocalIterator()]
-    named = {t for i, t in given if i is not None}
-    items = sorted([x for x in given if x[0] is not None] + [(None, t) for t in {t for i, t in given if i is None} - named], key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    items = _items(benchmark, item_id, item_text)
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = -(-chars // PART_CHARS) or 1
+    part_of = F.pmod(F.xxhash64("text"), F.lit(parts))
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for part in _parts(items):
-        held = spark.sparkContext.broadcast(Index(part, share))
+    for part in range(parts):
+        rows = sorted(items.where(part_of == part).collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        held = spark.sparkContext.broadcast(Index([tuple(r) for r in rows], share))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
@@ -236,5 +251,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "distance", "start", "end"])
 
         got = source.mapInArrow(run, "doc_id bigint, item_id bigint, distance int, start int, end int")
+        if parts > 1:  # one part at a time: its rows are written, then its index goes
+            got = materialise(got, "found")
+            held.destroy()
         out = got if out is None else out.unionByName(got)
     return out

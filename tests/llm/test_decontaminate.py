@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,14 +55,30 @@ def test_found_as_by_full_alignment(spark, frame):
                 assert r["distance"] == least and distance(dc.normalise(body), dc.normalise(text[r["start"] : r["end"]])) == least
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab", min_size=1, max_size=12), st.text(alphabet="ab", max_size=30), st.integers(0, 4))
 def test_alignment(item, text, edits):
-    got = dc.align(dc._codes(item), dc._codes(text), edits)
+    """A band of all diagonals gives the least distance; narrower ones give none that is less."""
+    codes = dc._codes(item), dc._codes(text)
+    got = dc.align(*codes, -len(item), len(item) + len(text) + 1, edits)
     least = distance(item, text)
     assert (got is None) == (least > edits)
     if got:
         assert got[0] == least and distance(item, text[got[1] : got[2]]) == least
+        narrow = [x for s in range(-edits, len(text) + 1, edits + 1) if (x := dc.align(*codes, s, 2 * (edits + 1), edits))]
+        assert min(x[0] for x in narrow) == least
+
+
+def test_alignment_takes_time_by_length_times_budget():
+    """An item of 5,000 characters with 500 edits costs a band of 1,002 diagonals, wherever it stands."""
+    item = prose(1100)[:5000]
+    text = prose(2000) + " " + typo(item, 300) + " " + prose(2000)
+    index = dc.Index([(1, item)])
+    began = time.perf_counter()
+    at = np.arange(len(text) - 7)
+    got = dc._find(index, text, np.arange(len(text) + 1), 0, index.hits(dc._codes(text)))
+    assert len(at) and [x[0] for x in got] == [0] and got[0][1] <= 300
+    assert time.perf_counter() - began < 10
 
 
 def test_edges(spark, frame, clashing):
@@ -73,10 +91,24 @@ def test_edges(spark, frame, clashing):
     assert dc.contaminated(frame(rows), bench.limit(0)).count() == 0
 
 
-def test_parts_hold_every_item(monkeypatch):
-    monkeypatch.setattr(dc, "PART_CHARS", 10)
-    items = [(i, "x" * 7) for i in range(5)]
-    assert [x for part in dc._parts(items) for x in part] == items and len(dc._parts(items)) == 5
+def test_parts_find_as_one(spark, frame, monkeypatch):
+    items = [(i, prose(8)) for i in range(7)] + [(None, prose(8))]
+    rows = [(i, prose(5) + " " + RNG.choice(items)[1] + " " + prose(5)) for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = lambda: sorted(map(str, dc.contaminated(frame(rows), bench).collect()))
+    whole = found()
+    monkeypatch.setattr(dc, "PART_CHARS", 100)
+    assert len(whole) >= 30 and found() == whole
+
+
+def test_rows_without_an_id_or_under_one_id_are_judged_alone(spark, frame, clashing):
+    item = prose(12)
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    clean = [prose(20) for _ in range(4)]
+    rows = [(None, item), (None, clean[0]), (None, clean[1]), (7, "a " + item), (7, clean[2]), (8, clean[3]), (8, clean[3]), (9, None)]
+    out = dc.drop(clashing(frame(rows)), bench)
+    assert out.columns == clashing(frame(rows)).columns
+    assert sorted(str(r["text"]) for r in out.collect()) == sorted([*map(str, clean), clean[3], "None"])
 
 
 def test_normalised_offsets():

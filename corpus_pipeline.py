@@ -23,23 +23,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each near-duplicate class."""
+    """Keep the first document of each near-duplicate class; rows are told apart by doc_id and text, wordless ones all stay."""
     return neardup.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that an earlier document holds; a document left without a word goes."""
+    """Cut passages that an earlier document holds; a document without a word, or left without one, goes."""
     return substring.remove(docs, substring.repeats(docs)).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark item."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
+    """Drop the rows whose own text holds a benchmark item, whatever their doc_id; a null text holds none."""
+    return decontaminate.drop(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each with its number of copies."""
+    """The documents that the mix takes, each with its number of copies; repeated rows are documents of their own, a null source is a source."""
     return mixing.mix_rows(docs)
 
 

@@ -8,11 +8,16 @@ those of its siblings that score or read like part of the article, and with
 headings, lists, tables, short paragraphs and bare text between or beside these, unless
 much of them is links.  Menus,
 page headers and footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are cut out of the tree beforehand, by element, role or the
-words of class and id.
+and reader comments are cut out of the tree beforehand, by element, role, or a
+name of class or id that consists of words for furniture alone; words that an
+article may be about count only on elements that hold less than half of the page's text.
+
+Pages are read in time and memory in proportion to their length, however deep
+elements are nested.
 
 Defined results: null and empty html give an empty text; html without markup is
-one paragraph; unclosed and stray tags are repaired; repeated rows get equal
+one paragraph; unclosed and stray tags are repaired; a tag that the page's end
+cuts off is dropped; repeated rows get equal
 texts; other columns pass through, and those named like an added one are
 replaced.
 """
@@ -30,8 +35,6 @@ from pyspark.sql import types as T
 
 from folioforge.session import bound_batches
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set(
@@ -41,214 +44,292 @@ _BLOCK = set(
 #: Elements that are no article text.
 _CHROME = set("nav footer aside form button select option datalist dialog menu head svg math canvas audio video object applet map input label fieldset".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar", "tablist", "status"}
-#: Words of a class or id that mark page furniture.
+#: Words that mark page furniture where a name of class or id consists of them and of common ones.
 _FURNITURE = set(
-    "ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promos promoted promotion banner banners "
+    "ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promos promotion banner banners "
     "cookie cookies consent gdpr notice notices notification notifications popup modal overlay lightbox newsletter subscribe subscription signup signin login register "
     "paywall sidebar sidebars aside rail widget widgets related recommended recommendations trending share sharing social "
-    "comment comments commentlist disqus respond reply replies discussion footer foot masthead nav navbar navigation menu menus breadcrumb breadcrumbs "
+    "comment comments commentlist usercomments disqus respond reply replies discussion footer foot masthead nav navbar navigation menu menus breadcrumb breadcrumbs "
     "pagination pager toolbar skip search searchbox searchform header topbar tagcloud shoutbox outbrain taboola disclaimer legal copyright".split()
 )
-#: Those that also name parts of an article, and parts of longer names that mark furniture.
-_DOUBTFUL = {"header", "banner", "banners", "legal", "disclaimer", "discussion", "reply", "notice", "notices", "aside", "widget", "promo", "skip", "search"}
-_PARTS = ("comment", "sidebar", "advert", "cookie", "newsletter", "breadcrumb", "navbar", "navigation", "pagination", "footer")
+#: Those that are as well names of things that articles have or are about.
+_DOUBTFUL = set("header banner banners legal disclaimer discussion reply replies respond notice notices aside widget widgets promo promotion skip search share sharing social related register foot rail overlay".split())
+#: Words that say nothing beside one that marks furniture.
+_COMMON = set(
+    "the my our site page global top bottom left right upper lower main inner outer primary secondary box block blocks list lists wrap wrapper container area areas section "
+    "bar bars panel panels zone slot unit item items row col column link links icon icons button buttons btn form forms group holder region module modules content text "
+    "js id fixed sticky mobile desktop user users reader thread media posts articles stories news us this here footer header".split()
+)
+_OWN = {"article", "entry", "story", "post"}
 _ARTICLE = set("article content entry post story main body text hentry page column".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}}
 _PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd"}
 _SPACES = re.compile(r"\s+")
 _MIN_POINTS_CHARS = 25
-#: Elements nested deeper than this are read as text of the last one that isn't.
-MAX_DEPTH = 200
+_GAP, _NAME, _EQUALS, _BARE = (re.compile(x) for x in (r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
+_TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
+_ITEMS = _CLOSED_BY.keys() | set().union(*_SCOPES.values())
 
 
 class Node:
-    """An element: kids are nodes and texts in page order."""
-
-    __slots__ = ("tag", "parent", "kids", "score", "names", "drop", "depth")
-
-    def __init__(self, tag: str, parent: Node | None, names: frozenset = frozenset(), drop: bool = False):
-        self.tag, self.parent, self.kids, self.score, self.names, self.drop, self.depth = tag, parent, [], 0.0, names, drop, 0
-
-
-def _named(raw: str) -> tuple[frozenset, bool]:
-    """Words of class and id, and whether the attributes alone make the element furniture."""
-    words: set[str] = set()
+    """An element: kids are nodes and texts in page order; block and item are the nearest such elements, itself included."""
+
+    __slots__ = ("block", "chars", "commas", "drop", "inside", "item", "kids", "linked", "names", "own", "parent", "score", "tag")
+
+    def __init__(self, tag: str, parent: Node | None, names: tuple = (), drop: bool = False):
+        self.tag, self.parent, self.kids, self.score, self.names, self.drop = tag, parent, [], 0.0, names, drop
+        self.block = self if parent is None or tag in _BLOCK else parent.block
+        self.item = self if tag in _ITEMS else parent and parent.item
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.own = self.chars = self.commas = self.linked = 0
+
+
+def _attributes(page: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+    """The attributes of a tag from the end of its name on, whether a slash ends it, and where it ends; -1 where the page does before."""
+    found: list[tuple[str, str]] = []
+    while True:
+        gap = _GAP.match(page, at)
+        at = gap.end()
+        if at >= len(page):
+            return found, False, -1
+        if page[at] == ">":
+            return found, gap[0].endswith("/"), at + 1
+        name = _NAME.match(page, at)
+        at, value = name.end(), ""
+        if equals := _EQUALS.match(page, at):
+            at = equals.end()
+            quote = page[at : at + 1]
+            if quote in ('"', "'") and quote:
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return found, False, -1
+                value, at = page[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+        found.append((name[0].lower(), value))
+
+
+def _named(attributes: list[tuple[str, str]]) -> tuple[tuple, bool]:
+    """The names of class and id, each as its words, and whether the attributes alone make the element furniture."""
+    names: list[tuple] = []
     drop = False
-    for name, value in _ATTRIBUTE.findall(raw):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in attributes:
         if name in ("class", "id"):
-            words.update(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
+            for one in value.split():
+                names.append(tuple(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", one).lower())))
         elif name == "role":
-            drop |= value.lower() in _ROLES
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            drop |= value.strip().lower() in _ROLES
+        elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
             drop = True
         elif name == "style":
             drop |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    return frozenset(words), drop
+    return tuple(names), drop
 
 
-def parse(page: str) -> Node:
-    """The page's element tree, without raw elements, comments and declarations."""
-    root = Node("html", None)
-    node, at, beyond = root, 0, 0
+class Tree:
+    """Builds the element tree from tags and texts; every step is bounded, but for elements that it closes."""
 
-    def text(piece: str) -> None:
+    def __init__(self):
+        self.root = self.node = Node("html", None)
+        self.nodes = [self.root]
+        self.open: list[dict] = [{}]  # elements open by tag, within each open article or table
+        self.blocks: dict[str, int] = {}  # block elements open
+
+    def text(self, piece: str) -> None:
         if piece:
-            node.kids.append(html_lib.unescape(piece) if "&" in piece else piece)
-
-    while m := _TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        closing, tag, raw = m[1], m[2], m[3]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:].removesuffix("]]>"))
-            continue
-        tag = tag.lower()
-        if beyond and tag not in _VOID and tag not in _RAW:  # too deep: the text stays, in the last element that fits
-            beyond += -1 if closing else 1
-            node.kids.append(" ")
-            continue
-        if closing:
-            up = node
-            while up.parent is not None and up.tag != tag:
-                if up.tag in ("article", "body", "table") and tag not in _BLOCK:
-                    break
-                up = up.parent
-            if up.tag == tag and up.parent is not None:
-                node = up.parent
-            continue
-        if tag in _RAW:
-            if not raw.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        if tag == "html" or tag == "body":
-            continue
-        if tag in _BLOCK:  # an open paragraph ends where a block begins, with what is open in it
-            up = node
-            while up.parent is not None and up.tag not in _BLOCK:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+            self.node.kids.append(html_lib.unescape(piece) if "&" in piece else piece)
+
+    def close_to(self, parent: Node) -> None:
+        """Close all that is open below ``parent``."""
+        while self.node is not parent:
+            tag = self.node.tag
+            if tag in ("article", "table"):
+                self.open.pop()
+            self.open[-1][tag] -= 1
+            if tag in _BLOCK:
+                self.blocks[tag] -= 1
+            self.node = self.node.parent
+
+    def end(self, tag: str) -> None:
+        if tag in _BLOCK:
+            if not self.blocks.get(tag):
+                return
+        elif not self.open[-1].get(tag):
+            return
+        up = self.node
+        while up.tag != tag:
+            up = up.parent
+        self.close_to(up.parent)
+
+    def start(self, tag: str, attributes: list[tuple[str, str]], slash: bool) -> None:
+        if tag in _BLOCK and self.node.block.tag == "p":  # an open paragraph ends where a block begins, with what is open in it
+            self.close_to(self.node.block.parent)
         if tag in _CLOSED_BY:
-            up, scope = node, _SCOPES.get(tag, set())
-            while up.parent is not None and up.tag not in scope:
+            up, scope = self.node.item, _SCOPES.get(tag, set())
+            while up is not None and up.tag not in scope:
                 if up.tag in _CLOSED_BY[tag]:
-                    node = up.parent
-                up = up.parent
-        names, drop = _named(raw) if raw else (frozenset(), False)
-        fresh = Node(tag, node, names, drop)
-        fresh.depth = node.depth + 1
-        if fresh.depth > MAX_DEPTH and tag not in _VOID:
-            beyond = 1
-            continue
-        node.kids.append(fresh)
-        if tag not in _VOID and not raw.endswith("/"):
-            node = fresh
-        elif raw.endswith("/") and tag not in _VOID and tag in _BLOCK:
-            node = fresh  # a slash doesn't close these
-    text(page[at:])
-    return root
-
-
-def _is_furniture(node: Node, inside: bool) -> bool:
+                    self.close_to(up.parent)
+                up = up.parent and up.parent.item
+        fresh = Node(tag, self.node, *_named(attributes))
+        self.node.kids.append(fresh)
+        self.nodes.append(fresh)
+        if tag not in _VOID and (not slash or tag in _BLOCK):  # a slash doesn't close blocks
+            self.node = fresh
+            self.open[-1][tag] = self.open[-1].get(tag, 0) + 1
+            if tag in _BLOCK:
+                self.blocks[tag] = self.blocks.get(tag, 0) + 1
+            if tag in ("article", "table"):
+                self.open.append({})
+
+
+def parse(page: str) -> list[Node]:
+    """The page's elements in page order, the root first, without raw elements, comments and declarations.
+
+    Tags are read by the rules of HTML for names and quoted and bare values, in
+    one pass; a tag, comment or raw element that the page's end cuts off is dropped.
+    """
+    tree, at = Tree(), 0
+    while (mark := page.find("<", at)) >= 0:
+        if page.startswith("<!--", mark):
+            tree.text(page[at:mark])
+            at = mark + 5 if page.startswith(">", mark + 4) else mark + 6 if page.startswith("->", mark + 4) else -1
+            if at < 0:
+                end = page.find("-->", mark + 4)
+                at = end + 3 if end >= 0 else len(page)
+        elif page.startswith("<![CDATA[", mark):
+            tree.text(page[at:mark])
+            end = page.find("]]>", mark)
+            tree.text(page[mark + 9 : end if end >= 0 else len(page)])
+            at = end + 3 if end >= 0 else len(page)
+        elif page[mark + 1 : mark + 2] in ("!", "?"):
+            tree.text(page[at:mark])
+            end = page.find(">", mark)
+            at = end + 1 if end >= 0 else len(page)
+        elif m := _TAG.match(page, mark + 1):
+            tree.text(page[at:mark])
+            attributes, slash, at = _attributes(page, m.end())
+            if at < 0:
+                return tree.nodes
+            tag = m[2].lower()
+            if tag in ("html", "body"):
+                continue
+            if m[1]:
+                tree.end(tag)
+            elif tag in _RAW:
+                if not slash:
+                    end = _RAW_END[tag].search(page, at)
+                    at = end.start() if end else len(page)
+            else:
+                tree.start(tag, attributes, slash)
+        else:
+            tree.text(page[at : mark + 1])
+            at = mark + 1
+    tree.text(page[at:])
+    return tree.nodes
+
+
+def _counted(nodes: list[Node]) -> None:
+    """Characters, commas and linked characters of every element; in reverse page order all below an element comes before it."""
+    for node in nodes:
+        node.own = node.chars = node.commas = node.linked = 0
+    for node in reversed(nodes):
+        for k in node.kids:
+            if isinstance(k, str):
+                node.own += len(k.strip())
+                node.commas += k.count(",")
+        node.chars += node.own
+        if node.tag == "a":
+            node.linked = node.chars
+        if (up := node.parent) is not None:
+            up.chars, up.commas, up.linked = up.chars + node.chars, up.commas + node.commas, up.linked + node.linked
+
+
+def _is_furniture(node: Node, total: int) -> bool:
     if node.drop or node.tag in _CHROME:
         return True
-    if node.tag == "header" and not inside:
+    if node.tag == "header" and not node.parent.inside:
         return True
     if node.tag in ("article", "main"):
-        return bool(node.names & {"comment", "comments", "reply", "ad", "advert", "sponsored", "related"})
-    found = node.names & _FURNITURE
-    # the doubtful words mean nothing in a name like article-header
-    if found and found <= _DOUBTFUL and node.names & {"article", "entry", "story", "post"}:
-        return False
-    return bool(found) or any(part in name for name in node.names for part in _PARTS)
-
-
-def prune(node: Node, inside: bool = False) -> None:
-    """Cut out page furniture."""
-    inside = inside or node.tag in ("article", "main")
-    node.kids = [k for k in node.kids if isinstance(k, str) or not _is_furniture(k, inside)]
-    for k in node.kids:
-        if not isinstance(k, str):
-            prune(k, inside)
-
-
-def _measure(node: Node) -> tuple[int, int, int]:
-    """Characters, commas and linked characters below; adds points to the ancestors of paragraphs."""
-    chars = commas = linked = own = 0
-    blocks = False
-    for k in node.kids:
-        if isinstance(k, str):
-            seen = len(k.strip())
-            own += seen
-            chars += seen
-            commas += k.count(",")
+        return any({"comment", "comments", "reply", "ad", "advert", "sponsored", "related"} & set(words) for words in node.names)
+    named = {w for words in node.names for w in words}
+    for words in node.names:
+        found = _FURNITURE.intersection(words)
+        if not found or not all(w in _FURNITURE or w in _COMMON or w in _OWN for w in words):
+            continue
+        if not found <= _DOUBTFUL:
+            return True
+        # doubtful words mean nothing in a name like article-header, nor on what holds most of the page's text
+        if not named & _OWN and 2 * node.chars <= total:
+            return True
+    return False
+
+
+def prune(nodes: list[Node]) -> list[Node]:
+    """Cut page furniture out of the tree; what stays, in page order."""
+    _counted(nodes)
+    total = nodes[0].chars
+    gone: set[int] = set()
+    kept = []
+    for node in nodes:
+        if node.parent is not None and (id(node.parent) in gone or _is_furniture(node, total)):
+            gone.add(id(node))
         else:
-            c, m, ln = _measure(k)
-            chars, commas, linked = chars + c, commas + m, linked + ln
-            blocks |= k.tag in _BLOCK
-    if node.tag == "a":
-        linked = chars
-    paragraph = node.tag in _PARAGRAPHS and not blocks or node.tag in ("div", "section", "article", "main") and own >= _MIN_POINTS_CHARS
-    if paragraph and chars >= _MIN_POINTS_CHARS:
-        points = 1 + commas + min(chars // 100, 3)
-        share, up = 1.0, node.parent if node.tag in _PARAGRAPHS else node
-        depth = 1
-        while up is not None and depth <= 5:
-            up.score += points * share
-            depth += 1
-            share = 1 / depth if depth == 2 else 1 / (3 * (depth - 1))
-            up = up.parent
-    # points come from below, so they are complete here
-    if node.score > 0:
-        if node.tag == "article":
-            node.score += 25
-        elif node.tag == "main":
-            node.score += 10
-        elif node.names & _ARTICLE:
-            node.score += 10
-        node.score *= 1 - linked / chars if chars else 0
-    return chars, commas, linked
-
-
-def _density(node: Node) -> tuple[int, int]:
-    chars = linked = 0
-    for k in node.kids:
-        c, ln = (len(k.strip()), 0) if isinstance(k, str) else _density(k)
-        chars, linked = chars + c, linked + ln
-    return chars, chars if node.tag == "a" else linked
-
-
-def _all(node: Node) -> Iterator[Node]:
-    yield node
-    for k in node.kids:
-        if not isinstance(k, str):
-            yield from _all(k)
-
-
-def _blocks(node: Node, out: list[str], line: list[str]) -> None:
-    """Collect the texts of the blocks below in page order; ``line`` is the block under way."""
-
-    def flush() -> None:
-        if joined := _SPACES.sub(" ", "".join(line)).strip():
-            out.append(joined)
-        line.clear()
-
-    block = node.tag in _BLOCK
-    if block:
-        flush()
-    if node.tag == "br":
-        line.append(" ")
-    for k in node.kids:
+            kept.append(node)
+    for node in kept:
+        if any(id(k) in gone for k in node.kids if not isinstance(k, str)):
+            node.kids = [k for k in node.kids if isinstance(k, str) or id(k) not in gone]
+    _counted(kept)
+    return kept
+
+
+def score(nodes: list[Node]) -> None:
+    """Points of the paragraphs to their ancestors, fewer the farther, then each element's discount by link density."""
+    for node in reversed(nodes):
+        blocks = any(not isinstance(k, str) and k.tag in _BLOCK for k in node.kids)
+        paragraph = node.tag in _PARAGRAPHS and not blocks or node.tag in ("div", "section", "article", "main") and node.own >= _MIN_POINTS_CHARS
+        if paragraph and node.chars >= _MIN_POINTS_CHARS:
+            points = 1 + node.commas + min(node.chars // 100, 3)
+            up = node.parent if node.tag in _PARAGRAPHS else node
+            for share in (1.0, 1 / 2, 1 / 6, 1 / 9, 1 / 12):
+                if up is None:
+                    break
+                up.score += points * share
+                up = up.parent
+        # points come from below, so they are complete here
+        if node.score > 0:
+            if node.tag == "article":
+                node.score += 25
+            elif node.tag == "main" or any(w in _ARTICLE for words in node.names for w in words):
+                node.score += 10
+            node.score *= 1 - node.linked / node.chars if node.chars else 0
+
+
+def _lines(kept: list[Node | str]) -> list[str]:
+    """The texts of the blocks of ``kept`` in page order."""
+    out: list[str] = []
+    line: list[str] = []
+    todo: list[Node | str | None] = [*reversed(kept)]
+    while todo:
+        k = todo.pop()
         if isinstance(k, str):
             line.append(k)
-        else:
-            _blocks(k, out, line)
-    if block:
-        flush()
+            continue
+        if k is None or k.tag in _BLOCK:
+            if joined := _SPACES.sub(" ", "".join(line)).strip():
+                out.append(joined)
+            line.clear()
+        if k is not None:
+            if k.tag == "br":
+                line.append(" ")
+            if k.tag in _BLOCK:
+                todo.append(None)
+            todo += reversed(k.kids)
+    if joined := _SPACES.sub(" ", "".join(line)).strip():
+        out.append(joined)
+    return out
 
 
 #: Siblings that belong to the kept ones they stand between or beside, however short.
@@ -256,8 +337,7 @@ _MINOR = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "header", "ul", "ol", "d
 
 
 def _minor(sibling: Node) -> bool:
-    chars, linked = _density(sibling)
-    return sibling.tag in _MINOR and chars > 0 and linked < 0.25 * chars
+    return sibling.tag in _MINOR and sibling.chars > 0 and sibling.linked < 0.25 * sibling.chars
 
 
 def _with_minor(kids: list, kept: list[bool]) -> list[bool]:
@@ -280,23 +360,18 @@ def _with_minor(kids: list, kept: list[bool]) -> list[bool]:
 def _keeps(sibling: Node, best: Node) -> bool:
     if sibling.score >= max(10.0, 0.2 * best.score) and sibling.tag not in ("ul", "ol", "dl", "table"):
         return True
-    if sibling.tag not in ("p", "blockquote", "pre", "section", "div", "figure"):
-        return False
-    chars, linked = _density(sibling)
-    return chars > 80 and linked < 0.25 * chars
+    return sibling.tag in ("p", "blockquote", "pre", "section", "div", "figure") and sibling.chars > 80 and sibling.linked < 0.25 * sibling.chars
 
 
 def extract(page: str | None) -> str:
     """The article's blocks, one a line."""
     if not page:
         return ""
-    root = parse(page)
-    prune(root)
-    _measure(root)
-    best = max(_all(root), key=lambda n: n.score)  # the first, so the outermost, of equals
+    nodes = prune(parse(page))
+    score(nodes)
+    best = max(nodes, key=lambda n: n.score)  # the first, so the outermost, of equals
     if best.score <= 0:
-        named = [n for n in _all(root) if n.tag in ("article", "main")]
-        best = named[0] if named else root
+        best = next((n for n in nodes if n.tag in ("article", "main")), nodes[0])
     strongest = best
     up: Node | None = best
     while up is not None and up.tag not in ("article", "main"):
@@ -305,17 +380,9 @@ def extract(page: str | None) -> str:
     kept: list[Node | str] = [best]
     if best.parent is not None:
         kids = best.parent.kids
-        kept = [k for k, stays in zip(kids, _with_minor(kids, [not isinstance(k, str) and (k is best or _keeps(k, strongest)) for k in kids]), strict=True) if stays]
-    out: list[str] = []
-    line: list[str] = []
-    for n in kept:
-        if isinstance(n, str):
-            line.append(n)
-        else:
-            _blocks(n, out, line)
-    if line and (joined := _SPACES.sub(" ", "".join(line)).strip()):
-        out.append(joined)
-    return "\n".join(out)
+        chosen = _with_minor(kids, [not isinstance(k, str) and (k is best or _keeps(k, strongest)) for k in kids])
+        kept = [k for k, stays in zip(kids, chosen, strict=True) if stays]
+    return "\n".join(_lines(kept))
 
 
 def main_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

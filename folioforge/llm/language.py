@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from folioforge.session import bound_batches
 
-#: Bound of the fit: documents drawn per language, characters taken of each, bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1500, 96 << 10
+#: Bound of the fit: documents drawn per language, slices taken of each at hashed places, characters of a slice.
+SAMPLE_DOCS, SLICES, SLICE_CHARS = 128, 3, 256
 #: A text is compressed in chunks of about this many bytes, so that margins don't shrink with its length.
 CHUNK_BYTES = 2048
 #: Relative margin over the next language below which a prediction is rejected.
@@ -43,29 +43,32 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
     """Dictionary per language from a bounded sample of the rows where ``usable`` holds.
 
-    At most about ``SAMPLE_DOCS`` rows per language are drawn, by a hash of the
-    key against a threshold from the language's row count, and
-    ``SAMPLE_CHARS`` characters of each.
+    About ``SAMPLE_DOCS`` rows per language are drawn, by a hash of key and text
+    against a threshold from the language's number of different ones, so rows
+    that repeat both are one.  Each gives ``SLICES`` slices of ``SLICE_CHARS`` characters from
+    hashed places of its whole text (a shorter text all of it), so every drawn
+    document has an equal share of the dictionary and nothing drawn is cut off.
     """
-    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(key).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull())
+    own = F.xxhash64(F.col(key), F.col(text), F.lit("language sample"))
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.approx_count_distinct(own)).collect()}
     if not counts:
         return {}
     space = 1 << 31
     below = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(space, space * SAMPLE_DOCS // n))])
-    drawn = F.pmod(F.xxhash64(F.col(key), F.lit("language sample")), F.lit(space))
-    picked = (
-        rows.where(drawn < F.element_at(below, F.col(lang)))
-        .select(F.col(lang).alias("lang"), drawn.alias("at"), F.substring(text, 1, SAMPLE_CHARS).alias("text"))
-        .collect()
-    )
-    picked.sort(key=lambda r: (r["lang"], r["at"], r["text"] or ""))
+    drawn = F.pmod(own, F.lit(space))
+    room = F.greatest(F.length(text) - SLICE_CHARS, F.lit(0)) + 1
+    places = [F.pmod(F.xxhash64(F.col(key), F.lit(i)), room).cast("int") + 1 for i in range(SLICES)]
+    slices = F.concat_ws(" ", *[F.col(text).substr(at, F.lit(SLICE_CHARS)) for at in places])
+    piece = F.when(F.length(text) <= SLICES * SLICE_CHARS, F.col(text)).otherwise(slices)
+    picked = rows.where(drawn < F.element_at(below, F.col(lang))).select(F.col(lang).alias("lang"), drawn.alias("at"), piece.alias("text")).distinct().collect()
+    picked.sort(key=lambda r: (r["lang"], r["at"], r["text"]))
     pieces = dict.fromkeys(counts, b"")
     letters = _letters(pa.array([r["text"] for r in picked], pa.string())).to_pylist()
-    for row, piece in zip(picked, letters, strict=True):
-        if piece:
-            pieces[row["lang"]] += piece.encode() + b" "
-    return {k: d[:DICTIONARY_BYTES] for k, d in sorted(pieces.items()) if d}
+    for row, part in zip(picked, letters, strict=True):
+        if part:
+            pieces[row["lang"]] += part.encode() + b" "
+    return {k: d for k, d in sorted(pieces.items()) if d}
 
 
 def _letters(texts: pa.Array) -> pa.Array:

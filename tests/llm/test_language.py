@@ -56,3 +56,35 @@ def test_whole_text_counts():
     models = {k: " ".join(WORDS[k] * 40).encode() for k in sorted(WORDS)}
     langs, _ = language.classify(pa.array([prose("en", 300) + " " + prose("de", 3000)]), models)
     assert langs == ["de"]
+
+
+def test_sample_is_bounded_and_from_whole_texts(spark, frame, monkeypatch):
+    """Every drawn document has its share, from all of its text; repeated rows are drawn once."""
+    monkeypatch.setattr(language, "SAMPLE_DOCS", 40)
+    rows = [(i, " ".join(["head"] * 2000 + ["middle"] * 2000 + ["tail"] * 2000), "en") for i in range(200)] + [(7, "same words again", "fr")] * 300
+    models = language.fit(frame(rows), F.lit(True))
+    words = models["en"].split()
+    assert min(words.count(w) for w in (b"head", b"middle", b"tail")) > 0.15 * len(words)
+    assert len(models["en"]) < 2 * 40 * language.SLICES * language.SLICE_CHARS
+    assert models["fr"] == b"same words again "
+
+
+def test_sizes_equal_plain_compression():
+    """Predictions equal those of compressing every chunk on its own, dictionary by dictionary."""
+    import zstandard as zstd
+
+    rng = random.Random(8)
+    models = {k: " ".join(rng.choice(WORDS[k]) for _ in range(600)).encode() for k in sorted(WORDS)}
+    texts = [" ".join(rng.choice(WORDS[rng.choice(list(WORDS))]) + rng.choice(["", ",", " 5"]) for _ in range(rng.choice([3, 40, 900, 5000]))) for _ in range(40)]
+    langs, scores = language.classify(pa.array(texts), models)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        raw = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()).encode()
+        n = 1 if len(raw) <= 3072 else -(-len(raw) // 2048)
+        step = -(-len(raw) // n)
+        sizes = {}
+        for k, words in models.items():
+            params = zstd.ZstdCompressionParameters.from_level(6, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+            one = lambda piece, words=words, params=params: len(zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(words, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params).compress(piece))
+            sizes[k] = sum(one(raw[i : i + step]) for i in range(0, len(raw), step))
+        best, second = sorted((v, k) for k, v in sizes.items())[:2]
+        assert lang == best[1] and abs(score - (second[0] - best[0]) / second[0]) < 0.02

@@ -5,8 +5,7 @@ capitals), lines that fail are removed, and a document is rejected when it
 loses too much text that way, or by its base statistics.
 
 Everything is computed within the row: no shuffle, no Python.  Repeated words
-are found by sorting a document's window hashes: each 64-bit value holds as
-many hash bits as the positions leave free (49 or more up to 32,000 words).
+are found by sorting a document's 64-bit window hashes with their positions.
 
 Defined results: a null text counts as empty; an empty text has no words and
 fails the base rules; repeated rows get equal answers; other columns pass
@@ -41,14 +40,14 @@ NAVIGATION = r"([|»›·•].*){3,}"
 def _line_fails() -> str:
     """SQL of the lambda body over a trimmed line ``l``: true where a rule fails."""
     q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    visible = f"length(regexp_replace(l, {q(SPACE)}, ''))"
+    count = lambda chars: f"length(regexp_replace(l, {q(f'[^{chars}]+')}, ''))"
+    # a necessary condition that is quick to test stands before each costly one
+    few = CAPITAL_LETTERS * CAPITAL_PERCENT // 100
     return f"""(
-        l rlike {q(NAVIGATION)}
-        or l rlike {q(BOILERPLATE)}
-        or 100 * (length(l) - length(regexp_replace(l, {q(SYMBOLS)}, ''))) > {SYMBOL_PERCENT} * {visible}
-        or (length(regexp_replace(l, '[^A-Za-z]+', '')) >= {CAPITAL_LETTERS}
-            and 100 * length(regexp_replace(l, '[^A-Z]+', '')) > {CAPITAL_PERCENT} * length(regexp_replace(l, '[^A-Za-z]+', '')))
-        or (size(split(l, {q(SPACE)})) >= {UNPUNCTUATED_WORDS} and not l rlike '[.,;:!?]'))"""
+        l rlike {q(f'{NAVIGATION}|{BOILERPLATE}')}
+        or (l rlike {q(SYMBOLS)} and 100 * regexp_count(l, {q(SYMBOLS)}) > {SYMBOL_PERCENT} * length(regexp_replace(l, {q(SPACE)}, '')))
+        or (regexp_count(l, '[A-Z]') > {few} and {count('A-Za-z')} >= {CAPITAL_LETTERS} and 100 * {count('A-Z')} > {CAPITAL_PERCENT} * {count('A-Za-z')})
+        or (not l rlike '[.,;:!?]' and size(split(l, {q(SPACE)})) >= {UNPUNCTUATED_WORDS}))"""
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -56,17 +55,11 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_words", F.array_remove(F.split(whole, SPACE), ""))
     hashes = "transform(sequence(0, size(_words) - 3), i -> xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2)))"
-    out = out.withColumn("_hashes", F.expr(f"if(size(_words) < 3, cast(array() as array<bigint>), {hashes})")).withColumn("_bits", F.expr("length(bin(size(_words)))"))
-    # where windows repeat: their hashes, each with its position in the low bits, in order
-    packed = "sort_array(transform(_hashes, (h, i) -> shiftleft(h, _bits) | cast(i as bigint)))"
-    out = out.withColumn("_sorted", F.expr(f"if(size(array_distinct(_hashes)) = size(_hashes), cast(array() as array<bigint>), {packed})"))
-    out = out.withColumn(
-        "_at",
-        F.expr(
-            "sort_array(transform(filter(_sorted, (x, j) -> shiftright(x, _bits) <=> shiftright(get(_sorted, j - 1), _bits) "
-            "or shiftright(x, _bits) <=> shiftright(get(_sorted, j + 1), _bits)), x -> x & (shiftleft(1L, _bits) - 1)))"
-        ),
-    )
+    out = out.withColumn("_hashes", F.expr(f"if(size(_words) < 3, cast(array() as array<bigint>), {hashes})"))
+    # where windows repeat: their hashes in order, each with its position
+    placed = "sort_array(transform(_hashes, (h, i) -> named_struct('h', h, 'i', i)))"
+    out = out.withColumn("_sorted", F.expr(f"if(size(array_distinct(_hashes)) = size(_hashes), cast(array() as array<struct<h:bigint,i:int>>), {placed})"))
+    out = out.withColumn("_at", F.expr("sort_array(transform(filter(_sorted, (x, j) -> x.h <=> get(_sorted, j - 1).h or x.h <=> get(_sorted, j + 1).h), x -> x.i))"))
     lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(WORD))
     return (
         out.withColumn("_lines", lines)
@@ -76,10 +69,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
                 "word_chars": F.length(F.array_join("_words", "")).cast("bigint"),
                 "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)).cast("bigint"),
                 "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-                "n_repeat_words": F.expr("aggregate(transform(_at, (p, j) -> least(3L, coalesce(get(_at, j + 1), p + 3) - p)), 0L, (a, b) -> a + b)"),
+                "n_repeat_words": F.expr("aggregate(transform(_at, (p, j) -> cast(least(3, coalesce(get(_at, j + 1), p + 3) - p) as bigint)), 0L, (a, b) -> a + b)"),
             }
         )
-        .drop("_words", "_hashes", "_bits", "_sorted", "_at")
+        .drop("_words", "_hashes", "_sorted", "_at")
     )
 
 

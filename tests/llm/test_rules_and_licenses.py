@@ -1,3 +1,4 @@
+import random
 import re
 
 import duckdb
@@ -39,7 +40,7 @@ def test_rule_edges(spark, frame, clashing):
 
 
 def test_licences(spark, frame, clashing):
-    mit = licenses.TEMPLATES["MIT"][1]
+    mit = licenses.TEXTS["MIT"][0]
     rows = [
         (1, None), (2, ""), (3, "Some text.\nReleased under the MIT License.\nMore text."), (4, "RELEASED under the (MIT) license"), (5, mit), (6, mit.replace("free of charge", "at no charge")),
         (7, "Licensed under CC BY-NC 4.0."), (8, "This work is licensed under the GNU General Public License, version 2."), (9, "a license to write " * 20_000), (10, "Released"), (10, "Released"), (None, mit),
@@ -53,6 +54,41 @@ def test_licences(spark, frame, clashing):
     assert {r["license"] for r in licenses.scan(frame(rows), {}).collect()} == {None}
 
 
+def test_common_notices_are_told(spark, frame):
+    """Notices as projects write them, with their own wording around, and a template's words with a tenth of them changed."""
+    cases = [
+        ("MIT", "Licensed under the MIT license."), ("MIT", "This project is licensed under the MIT License - see the LICENSE.md file for details"), ("MIT", "// SPDX-License-Identifier: MIT"), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"),
+        ("GPL-3.0", " * This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+        ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+        ("BSD-3-Clause", "Distributed under the BSD 3-Clause License."), ("LGPL-3.0", "Released under the GNU Lesser General Public License, version 3."), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        (None, "The license of the driver was taken away."), (None, "He was licensed under the old rules of the town."), (None, "Free software is a matter of liberty, not price."),
+    ]
+    rng = random.Random(6)
+    changed = []
+    for key, texts in licenses.TEXTS.items():
+        words = max(texts, key=len).split()
+        if len(words) > 60:
+            for i in rng.sample(range(len(words)), len(words) // 25):
+                words[i] = "altered"
+            changed.append((key, "\n".join(" ".join(words[i : i + 11]) for i in range(0, len(words), 11)) + "\n\nAnd then some other prose, which is the document's own."))
+    rows = list(enumerate(cases + changed))
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(frame([(i, t) for i, (_, t) in rows])).collect()}
+    assert {i: k for i, (k, _) in rows} == got
+
+
+def test_score_equals_plain_dice(spark, frame):
+    """Score and licence equal Dice over all templates and units, without any bound; equal scores go to the name that sorts first."""
+    rng = random.Random(3)
+    pool = [t for texts in licenses.TEMPLATES.values() for t in texts]
+    texts = [" ".join(x for w in rng.choice(pool).split() for x in ([w] if rng.random() > 0.08 else [])) for _ in range(60)] + ["a b " * 400 + rng.choice(pool), "the mit license " * 300, ""]
+    templates = licenses._templates(licenses.TEMPLATES)
+    got = {r["doc_id"]: (r["license"], r["score"]) for r in licenses.scan(frame(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        unit = set(licenses._bigrams(t))
+        best = min(((-2.0 * len(unit & set(g)) / (len(unit) + len(g)), name) for name, g in templates), default=(0, None))
+        assert got[i] == ((best[1], -best[0]) if -best[0] >= 0.8 else (None, 0.0))
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op2_quality_rules"])
 def test_sql_gives_the_same_rows(spark, sf, name):
     from folioforge.llm import queries

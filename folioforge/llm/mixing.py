@@ -85,6 +85,8 @@ def mix(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", text: str =
     """(doc_id, size, source_size, target, taken, source, copies, row_key): one row per row of ``docs``."""
     key = F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"), key.alias("row_key"))
+    # rows that repeat are numbered, so that copies of one are dealt over all blocks
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
     rows = materialise(rows.withColumn("class", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int")), "sizes")
     goals = materialise(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     most = rows.groupBy("source", "class").count().agg(F.max("count")).head()[0] or 0
@@ -103,7 +105,7 @@ def mix(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", text: str =
     carried = ["source", "source_size", "target", "base"]
     unit = F.struct("size", F.col("row_key").alias("key"), "doc_id", "mass").cast(_UNIT).alias("unit")
     whole = named.where("mass = 0").select(*carried, unit, F.lit(0).alias("up"))
-    level = named.where("mass > 0").select(*carried, "class", F.pmod(F.hash("row_key"), F.lit(blocks)).alias("block"), unit)
+    level = named.where("mass > 0").select(*carried, "class", F.pmod(F.hash("row_key", "copy"), F.lit(blocks)).alias("block"), unit)
     done = [whole]
     while True:
         level = materialise(_rounded(level, [*carried, "class", "block"], "named_struct('size', unit.size, 'key', unit.key)", seed), "level")

@@ -78,3 +78,16 @@ def test_edges(spark, frame, clashing):
     assert sum(r["taken"] for r in kept.collect()) == sum(r["taken"] for r in out)
     assert mixing.mix(frame(rows).limit(0)).count() == 0
     assert mixing.mix(frame([(1, None), (2, "")])).count() == 2
+
+
+def test_rows_that_repeat_are_dealt_over_blocks(spark, frame):
+    """3,000 copies of one row, a third of all, don't meet in one block, and the sum is kept."""
+    rows = [(1, "one two three", "en", "a")] * 3000 + [(i, "some words here", "en", "b") for i in range(6000)]
+    docs = frame([(d, t, lang, s) for d, t, lang, s in rows])
+    got = mixing.mix(docs)
+    by = {}
+    for r in got.collect():
+        n, taken, _ = by.get(r["source"], (0, 0, 0))
+        by[r["source"]] = (n + 1, taken + r["taken"], r["target"])
+    assert {k: v[0] for k, v in by.items()} == {"a": 3000, "b": 6000}
+    assert all(abs(taken - target) <= 6 for _, taken, target in by.values())

@@ -169,10 +169,10 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, r
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in textcore.blocks(batch.column(2)):
+        for block in textcore.blocks(batch.column(3)):
             part = batch.slice(block.first, block.last - block.first)
             x = statistics(block)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "hash", "y", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality") -> Forest:
@@ -184,8 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(space))
     # a label a row: the mean where labels contradict each other; bounded, so it may be broadcast
     sample = marked.where(drawn < min(space, space * MAX_LABELLED // max(n, 1))).groupBy("doc_id").agg(F.avg("y").alias("y"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
-    found = rows.mapInArrow(_features, "doc_id bigint, y double, x array<double>").dropDuplicates(["doc_id"]).collect()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "hash", "y", "text")
+    # of different texts under one doc_id the one with the least hash counts
+    found = rows.mapInArrow(_features, "doc_id bigint, hash bigint, y double, x array<double>").groupBy("doc_id").agg(F.min(F.struct("hash", "y", "x")).alias("r")).select("doc_id", "r.*").collect()
     found.sort(key=lambda r: r["doc_id"])
     return grow(np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES)), np.array([r["y"] for r in found]))
 

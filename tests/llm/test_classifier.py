@@ -72,3 +72,29 @@ def test_edges(spark, frame, clashing):
     assert classifier.score(frame(rows).limit(0), model).count() == 0
     mixed = spark.createDataFrame([(3, 1), (3, 0), (4, 0), (5, 1)], "doc_id bigint, quality int")
     assert classifier.score(docs, classifier.fit(docs, mixed, F.lit(True))).count() == len(rows)
+
+
+def test_first_split_equals_brute_force():
+    """The first tree's root has the greatest gain over all features and all thresholds, its leaves the Newton steps."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (400, 5)).astype(float)
+    y = ((x[:, 3] > 4) ^ (rng.random(400) < 0.2)).astype(float)
+    forest = classifier.grow(x, y, trees=1, depth=1)
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    value = lambda m: g[m].sum() ** 2 / (h[m].sum() + classifier.RIDGE)
+    gains = {(f, t): value(x[:, f] <= t) + value(x[:, f] > t) for f in range(5) for t in range(8)}
+    best = max(gains, key=gains.get)
+    assert (forest.feature[0, 0], np.floor(forest.threshold[0, 0])) == best
+    left = x[:, best[0]] <= best[1]
+    for m, leaf in ((left, 0), (~left, 1)):
+        assert np.isclose(forest.value[0, leaf], -classifier.RATE * g[m].sum() / (h[m].sum() + classifier.RIDGE))
+
+
+def test_texts_under_one_id_train_alike(spark, frame):
+    rows = [(i % 6, f"text {i} of some words, " * (1 + i % 5), "en") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id bigint, quality int")
+    from pyspark.sql import functions as F
+
+    one, two = (classifier.fit(frame(rows, n), labels, F.lit(True)) for n in (1, 7))
+    assert all(np.array_equal(a, b) for a, b in zip((one.feature, one.value), (two.feature, two.value), strict=True))

@@ -50,12 +50,17 @@ def apply_rules(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
     return urls.withColumns({"rule": rule, "ruled": ruled})
 
 
+def site_of(host: Column) -> Column:
+    """The host without user and port: what links lead to."""
+    return F.regexp_replace(host, r"^[^@]*@|:[0-9]*$", "")
+
+
 def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links between different hosts, counted."""
+    """(src, dst, n): links between different sites, counted."""
     target = F.explode(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1)))
-    found = pages.select(host_of(F.col("url")).alias("src"), target.alias("href"))
+    found = pages.select(site_of(host_of(F.col("url"))).alias("src"), target.alias("href"))
     full = F.when(F.col("href").startswith("//"), F.concat(F.lit("http:"), "href")).otherwise(F.col("href"))
-    dst = F.regexp_replace(host_of(full), r"^[^@]*@|:[0-9]*$", "")
+    dst = site_of(host_of(full))
     return found.select("src", dst.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
@@ -81,15 +86,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS, d
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page; trust and distrust are its host's."""
-    urls = apply_rules(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules)
-    counts = urls.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
+    urls = apply_rules(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules).withColumn("site", site_of(F.col("host")))
+    counts = urls.where("site <> ''").groupBy(F.col("site").alias("host")).agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     counts = materialise(counts, "hosts")
     edges = materialise(host_links(pages), "edges")
     trust = propagate(edges, counts.where("2 * allowed > n"), None).withColumnRenamed("mass", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = propagate(back, counts.where("2 * blocked > n"), None).withColumnRenamed("mass", "distrust")
-    scores = materialise(trust.join(distrust, "host", "full_outer").select("host", *(F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in ("trust", "distrust"))), "scores")
+    scores = trust.join(distrust, "host", "full_outer").select(F.col("host").alias("site"), *(F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in ("trust", "distrust")))
+    scores = materialise(scores, "scores")
     unruled = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) >= threshold, "block").otherwise("allow")
-    return urls.join(scores, "host", "left").select(
+    return urls.join(scores, "site", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", unruled).alias("verdict"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust"))
     )

@@ -92,3 +92,50 @@ def test_links_to_blocked_hosts_count(spark, ):
     rows = [(1, "http://bad.net/x", link()), (2, "http://farm.org/1", link("bad.net", "bad.net")), (3, "http://fine.org/1", link("good.example.net")), (4, "http://good.example.net/en/1", link("fine.org")), (5, "http://far.org/1", link("farm.org")), (6, "http://alone.org/x", None)]
     got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "allow"}
+
+
+def test_verdicts_equal_plain_propagation(spark):
+    """Verdicts of unruled pages, ports and users in urls included, equal power iteration over the sites by hand; repeated rows count as pages, other columns don't."""
+    import random
+
+    rng = random.Random(4)
+    sites = [f"{n}.{t}" for n in "abcdefgh" for t in ("net", "org", "example.net")]
+    rows = []
+    for i in range(60):
+        site = rng.choice(sites)
+        host = rng.choice(["", "u@"]) + site + rng.choice(["", ":8080"])
+        links = "".join(f"<a href='//{rng.choice(sites)}{rng.choice(['', ':80'])}/x'>l</a>" for _ in range(rng.randint(0, 3)))
+        rows.append((i, f"http://{host}/{rng.choice(['en', 'fr', 'x'])}/p", links, "clash", "clash"))
+    rows += rows[:5]
+    plain = lambda h: h.split("@")[-1].split(":")[0]
+    pages, edges = [], {}
+    for i, url, html, *_ in rows:
+        host, path, best = by_hand(url, urls.RULES)
+        pages.append((i, plain(host), best[2] if best else None))
+        for part in html.split("//")[1:]:
+            to = plain(part.split("/")[0])
+            if to != plain(host):
+                edges[plain(host), to] = edges.get((plain(host), to), 0) + 1
+
+    def spread(seeds, edges):
+        total = {}
+        for (s, _), n in edges.items():
+            total[s] = total.get(s, 0) + n
+        mass = dict.fromkeys(seeds, 1.0)
+        for _ in range(300):
+            new = dict.fromkeys(seeds, 1.0)
+            for (s, d), n in edges.items():
+                if s in mass:
+                    new[d] = new.get(d, 0) + urls.DAMPING * mass[s] * n / total[s]
+            mass = new
+        return mass
+
+    def seeds(verdict):
+        return [s for s in sites if 2 * sum(p[1] == s and p[2] == verdict for p in pages) > sum(p[1] == s for p in pages)]
+
+    trust, distrust = spread(seeds("allow"), edges), spread(seeds("block"), {(d, s): n for (s, d), n in edges.items()})
+    want = sorted((i, ruled or ("block" if distrust.get(s, 0) - trust.get(s, 0) >= urls.THRESHOLD else "allow")) for i, s, ruled in pages)
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, site string")
+    got = urls.judge(df).collect()
+    assert sorted((r["page_id"], r["verdict"]) for r in got) == want
+    assert {v for i, s, r in pages for j, v in want if i == j and not r} == {"allow", "block"}

@@ -58,7 +58,7 @@ BANDS, ROWS = 14, 4
 #: Draws in which two texts agree at least, of all BANDS * ROWS.
 AGREE = 34
 #: Members and shingles of a block of an unsettled bucket, about.
-BLOCK, BLOCK_SHINGLES = 512, 4_000_000
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 #: Power of the idf in a weight.
 IDF_POWER = 0.25
 #: Cells of the document-frequency sketch, and of the table that holds each hash function's variates.

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.session import materialise
+
 RRF_K, WEIGHT_DENSE, WEIGHT_LEXICAL = 60, 1.0, 0.2
 
 
@@ -16,12 +18,32 @@ def top_ranked(df: DataFrame, order: list[Column], k: int, rank: str = "rk") ->
     return df.orderBy(*order).limit(k).withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
+def numbered(df: DataFrame, order: str, name: str = "n") -> DataFrame:
+    """``df`` with each row's number from 1 by a unique column: ranges are numbered on their own and begin where the ones before end."""
+    ranged = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    held = materialise(ranged, "ranges")
+    counts = held.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = counts.withColumn("_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).drop("_size")  # a row a partition
+    return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order))).drop("_part", "_before")
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rk") -> DataFrame:
     """First k rows of each group with their rank; pruned before the shuffle."""
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return ranked.where(F.col(rank) <= k)
 
 
+def rare_names(held: DataFrame, total: DataFrame, key: str, few: int = 20, share: float = 0.002, sample: int = 30, least: float = 0.6) -> DataFrame:
+    """(term, df, named) of the terms that at most ``few`` texts, or a share of all, hold, and ``least`` of the first ``sample`` by key write as a name.
+
+    ``held``: (key, term, named) a row for each text and term; ``total``: one row.
+    Without the second condition words that are merely rare would crowd out what was asked for.
+    """
+    rare = held.groupBy("term").agg(F.count("*").alias("df")).join(total, F.lit(True)).where(F.col("df") <= F.greatest(F.lit(few), share * F.col("total")))
+    first = top_per_group(held.join(rare.select("term", "df"), "term"), ["term"], [F.asc(key)], sample, "_n")
+    return first.groupBy("term").agg(F.max("df").alias("df"), F.avg("named").alias("named")).where(F.col("named") >= least)
+
+
 def fuse(dense: DataFrame, lexical: DataFrame, key: str, k: int = RRF_K, weight_dense: float = WEIGHT_DENSE, weight_lexical: float = WEIGHT_LEXICAL) -> DataFrame:
     """Weighted reciprocal rank fusion of (key, rk) lists; a list that lacks a row adds nothing."""
     d = dense.select(key, F.col("rk").alias("dense_rank"))

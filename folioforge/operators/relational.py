@@ -61,3 +61,16 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     merged = edges.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max("weight").alias("weight"), F.max(order).alias("p"))
     kind = F.element_at(F.array(F.lit("near"), F.lit("thread"), F.lit("cite")), F.col("p") + 1)
     return merged.select(F.col("x").alias("a"), F.col("y").alias("b"), "weight", kind.alias("kind"))
+
+
+def map_of_last(df: DataFrame, group: str, key: str, value: str, order: Column) -> DataFrame:
+    """(group, entries): a map of each group's keys to values; of equal keys the last by order counts, null keys are left out."""
+    last = df.where(F.col(key).isNotNull()).groupBy(group, key).agg(F.max_by(value, order).alias("v"))
+    return last.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "v")))).alias("entries"))
+
+
+def assign_tags(held: DataFrame, fresh: DataFrame, doc: str, tag: str) -> DataFrame:
+    """(doc, tag, origin): documents' tags after the readers' are replaced by ``fresh`` (doc, tag); those of origin shelf stay and aren't doubled."""
+    shelf = held.where("origin = 'shelf'").select(doc, tag).distinct()
+    added = fresh.select(doc, tag).distinct().join(shelf, [doc, tag], "left_anti")
+    return shelf.withColumn("origin", F.lit("shelf")).unionByName(added.withColumn("origin", F.lit("reader")))

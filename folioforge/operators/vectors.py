@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors that one broadcast block holds at most.
+from folioforge.functions.vectors import cosine
+
+#: Vectors of a block, about.
 BLOCK_VECTORS = 4096
 
 
@@ -23,39 +23,73 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=np.full_like(m, np.nan), where=length > 0)
 
 
+def _met(points: DataFrame, queries: DataFrame, key: str, vector: str):
+    """Points and queries dealt into blocks, cogrouped by pair of blocks: one job, whatever the number of blocks."""
+    held = points.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    sizes = held.agg(F.count("*").alias("p")).join(asked.agg(F.count("*").alias("q")), F.lit(True)).first()
+    np_, nq = (max(least, -(-n // BLOCK_VECTORS)) for n, least in ((sizes[0], 8), (sizes[1], 1)))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = held.select("id", "v", block(np_).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("y"))
+    right = asked.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))).alias("x"), block(nq).alias("y"))
+    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y"))
+
+
+def _similar(points: pa.Table, queries: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a block's points and queries, and their cosines (query by point), NaN for a vector of no length."""
+    ids = [t.column("id").to_numpy() for t in (points, queries)]
+    if not all(map(len, ids)):
+        return *ids, np.zeros((len(ids[1]), len(ids[0])))
+    p, q = (_unit(_matrix(t.column("v").combine_chunks())) for t in (points, queries))
+    return *ids, q @ p.T
+
+
 def nearest(points: DataFrame, queries: DataFrame, k: int, least: float = -1.0, key: str = "vec_id", vector: str = "embedding", earlier: bool = False) -> DataFrame:
     """(query_id, key, sim, rk): the k nearest other points of every query vector by cosine.
 
-    Queries are a stated set: they go to the tasks in blocks of a fixed number,
-    each task multiplies a batch of points with the block and keeps k a query,
-    and the tasks' candidates are ranked.  ``earlier`` admits lesser keys alone.
+    Both sides are dealt into blocks of about ``BLOCK_VECTORS``; each pair of
+    blocks is multiplied in one task, which keeps k a query, and these
+    candidates are ranked.  ``earlier`` admits lesser keys alone.
     """
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("q"), vector)
-    blocks = -(-asked.count() // BLOCK_VECTORS) or 1
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
-    out = None
-    for number in range(blocks):
-        held = dealt.where(F.col("block") == number).select("q", vector).toArrow()
-        ids = held.column("q").to_numpy()
-        block = points.sparkSession.sparkContext.broadcast((ids, _unit(_matrix(held.column(vector).combine_chunks()))))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            ids, matrix = block.value
-            for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                if not len(own) or not len(ids):
-                    continue
-                sims = matrix @ _unit(_matrix(batch.column(1))).T
-                sims[np.isnan(sims) | (sims <= least)] = -np.inf
-                sims[ids[:, None] == own[None, :]] = -np.inf
-                if earlier:
-                    sims[ids[:, None] <= own[None, :]] = -np.inf
-                # k best of the batch for each query, and all that equal the last of them
-                cut = np.partition(sims, -k, axis=1)[:, -k][:, None] if len(own) > k else np.full((len(ids), 1), -np.inf)
-                q, p = np.nonzero((sims >= cut) & np.isfinite(sims))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[p]), pa.array(sims[q, p])], names=["query_id", key, "sim"])
-
-        found = points.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias(key), vector).mapInArrow(run, f"query_id bigint, {key} bigint, sim double")
-        out = found if out is None else out.unionByName(found)
+
+    def run(p: pa.Table, q: pa.Table) -> pa.Table:
+        own, ids, sims = _similar(p, q)
+        sims[np.isnan(sims) | (sims <= least)] = -np.inf
+        sims[(ids[:, None] <= own[None, :]) if earlier else (ids[:, None] == own[None, :])] = -np.inf
+        # k best of the block for each query, and all that equal the last of them
+        cut = np.partition(sims, -k, axis=1)[:, -k][:, None] if len(own) > k else np.full((len(ids), 1), -np.inf)
+        at, to = np.nonzero((sims >= cut - 1e-9) & np.isfinite(sims))
+        return pa.table({"query_id": ids[at], key: own[to], "sim": sims[at, to]})
+
+    found = _met(points, queries, key, vector).applyInArrow(run, f"query_id bigint, {key} bigint, sim double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), key)
-    return out.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
+    return found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
+
+
+def pairs_above(points: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(a, b) with a < b: pairs of points, block by block, whose cosine is above ``least``, as far as they join parts.
+
+    Of a block pair's links a spanning forest is kept, enough for connected parts: rows are bounded by the members of the blocks.
+    """
+
+    def run(p: pa.Table, q: pa.Table) -> pa.Table:
+        own, ids, sims = _similar(p, q)
+        names = np.unique(np.concatenate([own, ids]))
+        part = np.arange(len(names))
+        a, b = np.searchsorted(names, ids), np.searchsorted(names, own)
+        links = []
+        for i, j in np.argwhere((sims > least) & (ids[:, None] > own[None, :])).tolist():
+            x, y = part[a[i]], part[b[j]]
+            if x != y:
+                part[part == max(x, y)] = min(x, y)
+                links.append((int(own[j]), int(ids[i])))
+        return pa.table({c: pa.array([x[s] for x in links], pa.int64()) for s, c in enumerate("ab")})
+
+    return _met(points, points, key, vector).applyInArrow(run, "a bigint, b bigint")
+
+
+def lifted(sentences: DataFrame, owner: str, vector: str, point: Column, place: str) -> DataFrame:
+    """``sentences`` that stand for their owners: of each the one nearest to the point, the first of equals; adds sim. Vectors without length say nothing."""
+    scored = sentences.withColumn("sim", F.round(cosine(F.col(vector), point), 9)).where("sim is not null and not isnan(sim)")
+    order = Window.partitionBy(owner).orderBy(F.desc("sim"), place)
+    return scored.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

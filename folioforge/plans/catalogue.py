@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from folioforge.plans import evaluation, guards, library, lifecycle, relational, retrieval, text  # noqa: F401
+from folioforge.plans import evaluation, guards, library, lifecycle, relational, retrieval, text, upkeep  # noqa: F401
 from folioforge.plans.registry import ORACLES, QUERIES  # noqa: F401

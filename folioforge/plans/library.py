@@ -46,14 +46,14 @@ def j12_anchors(spark, sf_dir):
     return best.select("claim", "passage", F.round("sim", 6).alias("similarity"), state.alias("state"))
 
 
-@query("""with m as (select vec_id, label, chr(65 + (vec_id % 3)::int) as src from embeddings where vec_id < 200),
+@query("""with m as (select vec_id, label, chr(65 + (vec_id % 3)::int) as src from embeddings),
 n as (select *, row_number() over (partition by label, src order by vec_id) as turn, min(vec_id) over (partition by label, src) as seen from m),
 k as (select label, vec_id, src, row_number() over (partition by label order by turn, seen) as pos from n), s as (select label from m group by label having count(distinct src) >= 2)
 select label, vec_id, src, pos::int as pos from k where pos <= 8 and label in (select label from s)""")
 def w12_scoped_threads(spark, sf_dir):
-    """Threads with two sources in scope, one claim a source in turn, eight at most."""
+    """Threads with two sources in scope, one claim a source in turn, eight at most."""
     source = F.chr(F.lit(65) + F.col("vec_id") % 3)
-    claims = table(spark, sf_dir, "embeddings").where("vec_id < 200").select("vec_id", "label", source.alias("src"))
+    claims = table(spark, sf_dir, "embeddings").select("vec_id", "label", source.alias("src"))
     return lifecycle.thread_claims(claims, "label", "src", "vec_id", 8)
 
 
@@ -85,10 +85,10 @@ def m1_upsert(spark, sf_dir):
     return relational.upsert(rows.where("o_orderkey % 3 <> 0"), changes, ["o_orderkey"])
 
 
-@query("""with m as (select distinct case when l_partkey in (1, 2) then 0 else l_partkey end as part, l_orderkey from lineitem where l_partkey <= 20) select part, l_orderkey from m""")
+@query("""with m as (select distinct case when l_partkey in (1, 2) then 0 else l_partkey end as part, l_orderkey from lineitem) select part, l_orderkey from m""")
 def m8_fold_category(spark, sf_dir):
     """M8: memberships moved to another category without doubling."""
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey <= 20").select(F.col("l_partkey").alias("part"), "l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), "l_orderkey")
     return lifecycle.fold(rows, "part", [1, 2], 0)
 
 
@@ -133,18 +133,18 @@ def m16_eject(spark, sf_dir):
 @query("""with loc as (select sha256(text) as h, min(doc_id) as local_id from documents where doc_id % 2 = 0 group by 1), inc as (select doc_id, sha256(text) as h from documents where doc_id % 3 = 0)
 select doc_id, local_id, case when local_id is null then 'introduced' else 'joined' end as how from inc left join loc using (h)""")
 def m18b_import_match(spark, sf_dir):
-    """Incoming documents matched with local ones by content."""
+    """Incoming documents matched with local ones by content."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     local = docs.where("doc_id % 2 = 0").groupBy("h").agg(F.min("doc_id").alias("local_id"))
     matched = docs.where("doc_id % 3 = 0").join(local, "h", "left")
     return matched.select("doc_id", "local_id", F.when(F.col("local_id").isNull(), "introduced").otherwise("joined").alias("how"))
 
 
-@query("""with a as (select l_orderkey, l_partkey as target, l_linenumber as seq from lineitem where l_orderkey < 2000), t as (select p_partkey as target from part where p_partkey % 4 <> 0),
+@query("""with a as (select l_orderkey, l_partkey as target, l_linenumber as seq from lineitem), t as (select p_partkey as target from part where p_partkey % 4 <> 0),
 r as (select *, row_number() over (partition by l_orderkey, target order by seq) as n from a join t using (target)) select l_orderkey, target, seq from r where n = 1""")
 def m18d_import_artifacts(spark, sf_dir):
     """M18d: artifacts whose target resolves, the first of repeats."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select("l_orderkey", F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("seq"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("seq"))
     targets = table(spark, sf_dir, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("target"))
     return relational.first_per_key(relational.in_scope(rows, "target", [targets]), ["l_orderkey", "target"], [F.asc("seq")])
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioforge.operators import lifecycle
@@ -22,8 +21,7 @@ def st1_incident_sessions(spark, sf_dir):
 @query("""select event_id, n from (select event_id, count(*) over (partition by event_type order by epoch_us(ts) // 1000000 range between 60 preceding and current row) as n from events) where n >= 2""")
 def st3_rate_limit(spark, sf_dir):
     """ST3: calls that are the second or later of their kind within a minute."""
-    order = Window.partitionBy("event_type").orderBy(F.expr("unix_seconds(cast(ts as timestamp))")).rangeBetween(-60, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.count("*").over(order).alias("n")).where("n >= 2")
+    return lifecycle.preceding(table(spark, sf_dir, "events"), "event_type", "ts", 60).select("event_id", "n").where("n >= 2")
 
 
 @query("""select user_id, event_type as state, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1""")
@@ -32,13 +30,12 @@ def st6_latest_state(spark, sf_dir):
     return lifecycle.latest(table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", F.col("event_type").alias("state"), "ts")
 
 
-@query("""with o as (select event_type, ts, row_number() over (partition by event_type, epoch_us(ts) // 3600000000 order by ts, event_id) as n from events) select event_type, count(*) filter (where n = 1) as rebuilds, count(*) as events from o group by 1""")
+@query()
 def st2_debounce(spark, sf_dir):
-    """ST2: one rebuild a kind and hour, by the first event of the hour."""
-    hour = F.date_trunc("hour", "ts")
-    order = Window.partitionBy("event_type", hour).orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select("event_type", F.row_number().over(order).alias("n"))
-    return rows.groupBy("event_type").agg(F.count_if(F.col("n") == 1).alias("rebuilds"), F.count("*").alias("events"))
+    """ST2: rebuilds that each user's events reserve, ten minutes after the first; one due while the user's reading (errors, here) goes on waits for its end."""
+    events = table(spark, sf_dir, "events")
+    reading = events.where("event_type = 'error'").select("user_id", F.col("ts").alias("since"), (F.col("ts") + F.expr("interval 5 minutes")).alias("until"))
+    return lifecycle.debounced(events, "user_id", "ts", 600, reading)
 
 
 @query("""select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all""")
@@ -55,16 +52,16 @@ def a22_summary_line(spark, sf_dir):
     return records.summary(rows, "row", "{count} events of {distinct:event_type} kinds by {distinct:user_id} users")
 
 
-@query("""select event_id, upper(event_type) || ' by ' || user_id || ': ' || substr(event_type, 1, 3) || case when length(event_type) > 3 then '…' else '' end || ' none' as line from events where event_id < 500""")
+@query("""select event_id, upper(event_type) || ' by ' || user_id || ': ' || substr(event_type, 1, 3) || case when length(event_type) > 3 then '…' else '' end || ' none' as line from events""")
 def s16_format_lines(spark, sf_dir):
-    """S16, §2.8: records as lines from a template with filters."""
-    rows = table(spark, sf_dir, "events").where("event_id < 500")
+    """§2.8: records as lines from a template with filters."""
+    rows = table(spark, sf_dir, "events")
     record = F.to_json(F.struct("event_type", "user_id"))
     return rows.select("event_id", records.line(record, "{event_type|upper} by {user_id}: {event_type|trunc:3} {missing|default:none}").alias("line"))
 
 
-@query("""select event_id, (user_id % 3)::int as level, (user_id % 3) <= 1 and event_type <> 'purchase' as usable from events where event_id < 3000""")
+@query("""select event_id, (user_id % 3)::int as level, (user_id % 3) <= 1 and event_type <> 'purchase' as usable from events""")
 def c8_source_gating(spark, sf_dir):
     """Records usable under a ceiling and a clearance."""
     level = (F.col("user_id") % 3).cast("int")
-    return table(spark, sf_dir, "events").where("event_id < 3000").select("event_id", level.alias("level"), ((level <= 1) & (F.col("event_type") != "purchase")).alias("usable"))
+    return table(spark, sf_dir, "events").select("event_id", level.alias("level"), ((level <= 1) & (F.col("event_type") != "purchase")).alias("usable"))

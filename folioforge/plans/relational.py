@@ -110,12 +110,12 @@ def j8_unnest_ordinality(spark, sf_dir):
     return lines.select("doc_id", "i", F.length("line").alias("n")).where("n > 300")
 
 
-@query("""with m as (select distinct l_orderkey, l_partkey from lineitem where l_partkey <= 200)
+@query("""with m as (select distinct l_orderkey, l_partkey from lineitem)
 select a.l_partkey as a, b.l_partkey as b, count(*) as shared, round(least(1.0, 0.5 + 0.15 * count(*))::double, 6) as weight
 from m a join m b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey group by all""")
 def j10_co_members(spark, sf_dir):
     """Pairs of members that share groups, and the weight of their edge."""
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey <= 200")
+    rows = table(spark, sf_dir, "lineitem")
     pairs = relational.co_members(rows, "l_orderkey", "l_partkey")
     return pairs.withColumn("weight", F.round(F.least(F.lit(1.0), 0.5 + 0.15 * F.col("shared")), 6))
 
@@ -184,12 +184,12 @@ def a5_ordered_lists(spark, sf_dir):
     return listed.select("conv_id", F.col("l.turn").alias("turns"), F.array_join("l.role", ">").alias("roles"))
 
 
-@query("""select n_regionkey, map_from_entries(list((n_name, n_nationkey) order by n_name))::varchar is not null as has_map, max(n_nationkey)::int as last from nation group by 1""")
+@query("""with k as (select l_orderkey, l_returnflag, arg_max(l_quantity, (l_linenumber, l_partkey, l_suppkey, l_quantity)) as q from lineitem group by all) select l_orderkey, list(l_returnflag order by l_returnflag) as flags, list(q order by l_returnflag) as quantities from k group by 1""")
 def a6_map_aggregate(spark, sf_dir):
     """A map per group; of equal keys the last by order."""
-    entries = F.map_from_entries(F.array_sort(F.collect_set(F.struct("n_name", "n_nationkey"))))
-    out = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(entries.alias("m"))
-    return out.select("n_regionkey", F.col("m").isNotNull().alias("has_map"), F.array_max(F.map_values("m")).cast("int").alias("last"))
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    made = relational.map_of_last(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_quantity", order)
+    return made.select("l_orderkey", F.map_keys("entries").alias("flags"), F.map_values("entries").alias("quantities"))
 
 
 @query("""select l_suppkey, round(count(*) filter (where l_returnflag = 'R')::double / count(*), 6) as ratio from lineitem group by 1 having count(*) >= 5""")

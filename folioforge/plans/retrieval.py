@@ -123,15 +123,15 @@ def w8_exact_first(spark, sf_dir):
     return ranking.exact_first(lexical(spark, sf_dir, pool=60).withColumnRenamed("id", "doc_id"), literal, "doc_id", 40)
 
 
-@query(f"""with p as (select distinct doc_id, unnest({_TOK}) as term from documents),
-d as (select term, count(*) as df from p group by term), n as (select count(*) as n from documents)
-select term, df::bigint as df from d, n where df between 1 and greatest(20, 0.002 * n) and length(term) >= 14""")
+@query(f"""with o as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) as w from documents), p as (select doc_id, lower(w) as term, max(regexp_matches(w, '^[A-Z]'))::int as named from o where length(w) >= 10 group by all),
+r as (select *, count(*) over (partition by term) as df, row_number() over (partition by term order by doc_id) as n from p), t as (select count(*) as total from documents)
+select term, max(df)::bigint as df, round(avg(named), 6) as named from r, t where n <= 30 and df <= greatest(20, 0.002 * total) group by term having avg(named) >= 0.6""")
 def p9_rare_terms(spark, sf_dir):
-    """Long words held by few documents (20, or 0.2 percent)."""
+    """Words of ten letters or more, held by few documents (20, or 0.2 percent) and written as a name in most of them, by the first 30."""
     docs = table(spark, sf_dir, "documents")
-    most = max(20.0, 0.002 * docs.count())
-    words = docs.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).where(F.length("term") >= 14)
-    return words.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= most)
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("w")).where(F.length("w") >= 10)
+    held = words.groupBy("doc_id", F.lower("w").alias("term")).agg(F.max(F.col("w").rlike("^[A-Z]").cast("int")).alias("named"))
+    return ranking.rare_names(held, docs.agg(F.count("*").alias("total")), "doc_id").withColumn("named", F.round("named", 6))
 
 
 @query(f"""with p as (select doc_id, length(text) as n, unnest(list_distinct({_TOK})) as term from documents),
@@ -180,8 +180,8 @@ select doc_id from t where (n - 1) % greatest(1, total // 300) = 0 order by doc_
 def w19_systematic_sample(spark, sf_dir):
     """Every step-th row by id, 300 at most."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    step = max(1, docs.count() // 300)
-    numbered = docs.withColumn("n", F.row_number().over(Window.orderBy("doc_id")))
+    step = F.greatest(F.lit(1), F.floor(F.col("total") / 300))
+    numbered = ranking.numbered(docs, "doc_id").join(docs.agg(F.count("*").alias("total")), F.lit(True))  # one row
     return numbered.where((F.col("n") - 1) % step == 0).select("doc_id").orderBy("doc_id").limit(300)
 
 

@@ -38,24 +38,30 @@ def s8_html_markdown(spark, sf_dir):
 
 
 @query(r"""with r as (select event_id, cast(props as json) as j from events)
-select event_id, json_keys(j)[1] as first_key, json_extract_string(j, '$.' || json_keys(j)[1]) as first_value from r where event_id % 10 = 0""")
+select event_id, json_keys(j)[1] as first_key, json_extract_string(j, '$.' || json_keys(j)[1]) as first_value from r""")
 def s17_json_rows(spark, sf_dir):
     """Fields dug out of JSON records by path."""
-    rows = table(spark, sf_dir, "events").where("event_id % 10 = 0").select("event_id", "props")
+    rows = table(spark, sf_dir, "events").select("event_id", "props")
     key = F.element_at(F.json_object_keys("props"), 1)
     return rows.select("event_id", key.alias("first_key"), F.element_at(F.from_json("props", "map<string,string>"), key).alias("first_value"))
 
 
-@query(r"""with p as (select conv_id, turn, regexp_replace(lower(substr(text, 1, 80)), '[0-9]', '#', 'g') as head, count(*) over (partition by conv_id) as pages from conversations),
-c as (select conv_id, head, count(*) as n, any_value(pages) as pages from p group by conv_id, head)
-select p.conv_id, p.turn, not (p.pages >= 4 and c.n >= 0.5 * p.pages) as kept from p join c using (conv_id, head)""")
+@query(r"""with k as (select conv_id, turn, regexp_replace(lower(trim(string_split(text, chr(10))[1])), '[0-9]', '#', 'g') as first, regexp_replace(lower(trim(string_split(text, chr(10))[-1])), '[0-9]', '#', 'g') as last, count(*) over (partition by conv_id) as pages from conversations),
+e as (select conv_id, turn, pages, first as key from k union all select conv_id, turn, pages, last from k where last <> first),
+r as (select conv_id, key from e where key <> '' and length(key) < 80 group by conv_id, key having max(pages) >= 4 and count(*) >= 0.5 * max(pages))
+select k.conv_id, turn, f.key is not null as head, l.key is not null as foot from k left join r f on f.conv_id = k.conv_id and f.key = k.first left join r l on l.conv_id = k.conv_id and l.key = k.last""")
 def s6_running_heads(spark, sf_dir):
-    """Heads repeated on half of a document's pages or more (four pages at least)."""
-    head = F.regexp_replace(F.lower(F.substring("text", 1, 80)), "[0-9]", "#")
-    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", head.alias("head"))
-    n = F.count("*").over(Window.partitionBy("conv_id"))
-    same = F.count("*").over(Window.partitionBy("conv_id", "head"))
-    return pages.select("conv_id", "turn", (~((n >= 4) & (same >= 0.5 * n))).alias("kept"))
+    """First and last blocks, under 80 characters, that half of a document's pages or more repeat, digits aside (four pages at least)."""
+    key = lambda block: F.regexp_replace(F.lower(F.trim(block)), "[0-9]", "#")
+    blocks = F.split("text", "\n")
+    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", key(F.get(blocks, F.lit(0))).alias("first"), key(F.element_at(blocks, -1)).alias("last"))
+    ends = pages.select("conv_id", "turn", F.explode(F.array_distinct(F.array("first", "last"))).alias("key"))
+    counts = pages.groupBy("conv_id").agg(F.count("*").alias("pages")).where("pages >= 4")
+    repeated = ends.where("key <> '' and length(key) < 80").groupBy("conv_id", "key").agg(F.count("*").alias("n")).join(counts, "conv_id").where("n >= 0.5 * pages").select("conv_id", "key", F.lit(True).alias("hit"))
+    out = pages
+    for place, name in (("first", "head"), ("last", "foot")):
+        out = out.join(repeated.withColumnsRenamed({"key": place, "hit": name}), ["conv_id", place], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out.select("conv_id", "turn", "head", "foot")
 
 
 @query(r"""select doc_id, sha256(text) as content_hash, substr(sha256(text), 1, 2) as shard from documents""")
@@ -73,10 +79,10 @@ def t17_exact_duplicates(spark, sf_dir):
     return docs.join(first, "h").select("doc_id", (F.col("doc_id") > F.col("first")).alias("duplicate"), "first")
 
 
-@query(rf"""select doc_id, {_COLLAPSE} as flat from documents where doc_id < 300""")
+@query(rf"""select doc_id, {_COLLAPSE} as flat from documents""")
 def t1_collapse(spark, sf_dir):
     """White space collapsed (the whole clean-up is t1_normalise)."""
-    return table(spark, sf_dir, "documents").where("doc_id < 300").select("doc_id", tx.collapse(F.col("text")).alias("flat"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.collapse(F.col("text")).alias("flat"))
 
 
 @query()
@@ -116,12 +122,12 @@ def t20_sentence_lift(spark, sf_dir):
 
 
 @query(r"""with b as (select d.doc_id, 'Intro by ' || source || chr(10) || 'References' || chr(10) || '[1] Smith A. First work of ' || source || ', 2001. 10.1000/a' || doc_id || chr(10)
- || '[2] Jones B. Second work on language ' || lang || ', 2005.' || chr(10) || '[3] Brown C. Third work with a longer title, 10.2000/b.' || doc_id as body, doc_id, source, lang from documents d where doc_id < 200),
+ || '[2] Jones B. Second work on language ' || lang || ', 2005.' || chr(10) || '[3] Brown C. Third work with a longer title, 10.2000/b.' || doc_id as body, doc_id, source, lang from documents d),
 r as (select doc_id, unnest(['Smith A. First work of ' || source || ', 2001. 10.1000/a' || doc_id, 'Jones B. Second work on language ' || lang || ', 2005.', 'Brown C. Third work with a longer title, 10.2000/b.' || doc_id]) as entry, unnest([1, 2, 3]) as pos from b)
 select doc_id, pos::int as pos, entry, nullif(regexp_extract(entry, '\b10\.\d{4,9}/[-._;()/:A-Za-z0-9]+\b'), '') as doi from r""")
 def t22_references(spark, sf_dir):
     """Entries of a reference list, with their DOIs; the lists are built from the rows, as the tables hold none."""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 200")
+    docs = table(spark, sf_dir, "documents")
     body = F.concat(
         F.lit("Intro by "), "source", F.lit("\nReferences\n[1] Smith A. First work of "), "source", F.lit(", 2001. 10.1000/a"), F.col("doc_id").cast("string"),
         F.lit("\n[2] Jones B. Second work on language "), "lang", F.lit(", 2005.\n[3] Brown C. Third work with a longer title, 10.2000/b."), F.col("doc_id").cast("string"),
@@ -171,12 +177,12 @@ def t30_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(words, " ").alias("name"))
 
 
-@query(r"""with m as (select event_id, event_type, 'failed /srv/data/' || event_id || '.bin for ''user ' || user_id || ''' after ' || round(value)::int || ' s' as message from events where event_id < 2000),
+@query(r"""with m as (select event_id, event_type, 'failed /srv/data/' || event_id || '.bin for ''user ' || user_id || ''' after ' || round(value)::int || ' s' as message from events),
 k as (select event_type, substr(regexp_replace(regexp_replace(regexp_replace(message, '/[A-Za-z0-9_./-]+', '<path>', 'g'), '''[^'']{0,80}''', '''…''', 'g'), '[0-9]+', 'N', 'g'), 1, 400) as key from m)
 select event_type, key, count(*) as n from k group by all""")
 def t31_incident_keys(spark, sf_dir):
     """Messages that differ in ids, paths and numbers alone fall together."""
-    rows = table(spark, sf_dir, "events").where("event_id < 2000")
+    rows = table(spark, sf_dir, "events")
     message = F.concat(F.lit("failed /srv/data/"), F.col("event_id").cast("string"), F.lit(".bin for 'user "), F.col("user_id").cast("string"), F.lit("' after "), F.round("value").cast("int").cast("string"), F.lit(" s"))
     return rows.select("event_type", tx.incident_key(message).alias("key")).groupBy("event_type", "key").agg(F.count("*").alias("n"))
 
@@ -189,8 +195,9 @@ def t32_relevant_docs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     words = docs.select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("w")).where(F.col("w").isin("thand", "ering", "the", "license"))
     weights = words.groupBy("w").agg(F.count("*").alias("df"))
-    score = F.round(F.sum(1.0 / (1 + 10.0 * F.col("df") / docs.count())), 6)
-    return words.join(weights, "w").groupBy("doc_id").agg(score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    total = docs.agg(F.count("*").alias("total"))  # one row
+    score = F.round(F.sum(1.0 / (1 + 10.0 * F.col("df") / F.col("total"))), 6)
+    return words.join(weights.join(total, F.lit(True)), "w").groupBy("doc_id").agg(score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query(r"""select p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') as slug from part""")
@@ -207,11 +214,11 @@ def t34_context(spark, sf_dir):
     return rows.select("conv_id", F.array_join("l.line", "\n").alias("context"))
 
 
-@query(r"""select event_id, regexp_replace(regexp_replace('at /home/u' || user_id || '/x token=' || event_id || ' ok', '/home/[^/\s]+', '~'), '(?i)(api[_-]?key|token|password|secret)\s*[=:]\s*\S+', '\1=<redacted>') as clean from events where event_id < 1000""")
+@query(r"""select event_id, regexp_replace(regexp_replace('at /home/u' || user_id || '/x token=' || event_id || ' ok', '/home/[^/\s]+', '~'), '(?i)(api[_-]?key|token|password|secret)\s*[=:]\s*\S+', '\1=<redacted>') as clean from events""")
 def t36_scrub(spark, sf_dir):
     """Home folders and secrets out of messages."""
     message = F.concat(F.lit("at /home/u"), F.col("user_id").cast("string"), F.lit("/x token="), F.col("event_id").cast("string"), F.lit(" ok"))
-    return table(spark, sf_dir, "events").where("event_id < 1000").select("event_id", tx.scrub(message).alias("clean"))
+    return table(spark, sf_dir, "events").select("event_id", tx.scrub(message).alias("clean"))
 
 
 @query(r"""with f as (select source, min(doc_id) as first from documents group by source), n as (select source, row_number() over (order by first) as number from f) select doc_id, number::int as number from documents join n using (source)""")
@@ -224,10 +231,34 @@ def t37_numbering(spark, sf_dir):
 
 @query()
 def t12_chunks(spark, sf_dir):
-    """Sections and token-bounded passages with their spans."""
+    """Sections and token-bounded passages with their spans."""
     return chunking.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query(r"""with d as (select doc_id, text, string_split(text, chr(10)) as lines from documents), e as (select doc_id, text, trim(lines[least(len(lines), 3)]) as title from d)
+select doc_id, case when title = '' then -1 else strpos(lower(chr(10) || text), lower(chr(10) || title)) - 1 end::int as place from e""")
+def t5_toc_location(spark, sf_dir):
+    """T5: where a title of a table of contents stands in the text; the titles are lines of the texts, as the tables hold no contents."""
+    lines = F.split("text", "\n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.trim(F.get(lines, F.least(F.size(lines), F.lit(3)) - 1)).alias("title"))
+    return docs.select("doc_id", chunking.located(F.col("text"), F.col("title")).alias("place"))
+
+
+@query(r"""select doc_id, (length(text) // 2 // 1800 + 1)::int as middle, (greatest(length(text) - 1, 0) // 1800 + 1)::int as last from documents""")
+def t9_pages(spark, sf_dir):
+    """The pages that a text's middle and end lie on; pages begin every 1,800 characters here."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text"), F.lit(1)) - 1, F.lit(1800))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), starts.alias("starts"))
+    middle = F.floor(F.col("n") / 2).cast("int")
+    return docs.select("doc_id", chunking.page_of(middle, F.col("starts")).alias("middle"), chunking.page_of(F.greatest(F.col("n") - 1, F.lit(0)), F.col("starts")).alias("last"))
+
+
+@query()
+def t38_as_read(spark, sf_dir):
+    """Documents as read, section by section, passages without what they share."""
+    return chunking.as_read(chunking.chunks(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query()
 def t13_spans(spark, sf_dir):
     """Every passage against its span of the text, white space aside."""

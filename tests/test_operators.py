@@ -83,3 +83,61 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert got == {(r["event_type"], r["w"]["start"]): r["count"] for r in batch.collect()}
     incidents.run_once(incidents.first_seen(incidents.event_stream(spark, source), "user_id"), out, str(tmp_path / "state"))
     assert spark.read.parquet(out).count() > 0
+
+
+def test_sessions_and_rates_over_spans_equal_plain_ones(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), rng.randint(0, 40_000)) for _ in range(700)]
+    df = spark.createDataFrame(rows, "k string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
+    want, counts = [], {}
+    for k in "ab":
+        times = sorted(s for x, s in rows if x == k)
+        run = [times[0]]
+        for s in times[1:]:
+            if s - run[-1] > 60:
+                want.append((k, run[0], run[-1], len(run)))
+                run = []
+            run.append(s)
+        want.append((k, run[0], run[-1], len(run)))
+        counts |= {(k, s): sum(s - 60 <= t <= s for t in times) for s in times}
+    got = lifecycle.sessions(df, ["k"], "ts", 60).select("k", F.unix_seconds("first"), F.unix_seconds("last"), "n").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    near = lifecycle.preceding(df, "k", "ts", 60).collect()
+    assert len(near) == len(rows) and all(r["n"] == counts[r["k"], r["s"]] for r in near)
+
+
+def test_debounce_absorbs_waits_and_goes_on(spark):
+    at = lambda s: F.timestamp_seconds(s)
+    events = spark.createDataFrame([("a", s) for s in (0, 5, 9, 10, 11, 40, 41, 100)] + [("b", 3)], "k string, s bigint").withColumn("ts", at("s"))
+    busy = spark.createDataFrame([("a", 45, 60), ("a", 60, 70)], "k string, x bigint, y bigint").select("k", at("x").alias("since"), at("y").alias("until"))
+    out = lifecycle.debounced(events, "k", "ts", 10, busy).select("k", F.unix_seconds("asked"), F.unix_seconds("due"), "absorbed")
+    assert sorted(map(tuple, out.collect())) == [("a", 0, 10, 4), ("a", 11, 21, 1), ("a", 40, 70, 2), ("a", 100, 110, 1), ("b", 3, 13, 1)]
+    assert lifecycle.debounced(events, "k", "ts", 10).count() == 5
+
+
+def test_map_of_last_takes_repeated_keys(spark):
+    df = spark.createDataFrame([(1, "x", 5, 1), (1, "x", 6, 2), (1, "y", 7, 1), (1, None, 8, 1)], "g int, k string, v int, o int")
+    assert relational.map_of_last(df, "g", "k", "v", F.col("o")).head()["entries"] == {"x": 6, "y": 7}
+
+
+def test_clusters_are_parts_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    m = np.concatenate([rng.normal(size=6) * 0.2 + rng.normal(size=6) * 2 + rng.normal(size=(9, 6)) * 0.4 for _ in range(5)])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id bigint, embedding array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    part = list(range(len(m)))
+    for i in range(len(m)):
+        for j in range(i):
+            if u[i] @ u[j] > 0.9 and part[i] != part[j]:
+                a, b = sorted((part[i], part[j]))
+                part = [a if p == b else p for p in part]
+    want = {i: p if part.count(p) >= 3 else -1 for i, p in enumerate(part)}
+    assert {r["vec_id"]: r["cluster"] for r in lifecycle.clusters(df, 0.9, 3).collect()} == want
+    assert len(set(want.values())) > 2
+
+
+def test_numbers_follow_the_order(spark):
+    out = ranking.numbered(spark.range(1000).repartition(7).select((F.col("id") * 3).alias("k")), "k").orderBy("k").collect()
+    assert [r["n"] for r in out] == list(range(1, 1001))

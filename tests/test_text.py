@@ -1,5 +1,7 @@
 """Behaviour of the text functions, structure and record sources on small fixtures."""
 
+import re
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -25,8 +27,8 @@ from folioforge.sources import html, records
         ("why is the kernel slow", []),
     ],
 )
-def test_literal_terms(query, terms):
-    assert tx.literal_terms(query) == terms
+def test_literal_terms(spark, query, terms):
+    assert one(spark, tx.literal_terms(F.col("q")), q=query) == terms
 
 
 def one(spark, column, **values):
@@ -88,6 +90,59 @@ def test_passages_cover_every_word(parts):
     assert all(i in covered or c.isspace() for i, c in enumerate(text))
 
 
+def test_structure_in_detail():
+    para = "Some words of a paragraph. " * 40
+    text = "A preface of some length. " * 20 + "\n# One\n" + para + "\n```\n# no heading\n```\n## Two\nshort\n## Three\n" + para + "\n# Four\n" + para
+    assert [(t, p) for t, _, _, _, p in chunking.sections(text)] == [("Front matter", "Front matter"), ("One", "One"), ("Three", "One › Three"), ("Four", "Four")]
+    long = "\n\n".join("x" * 2500 for _ in range(6))
+    assert [(t, b - a) for t, _, a, b, _ in chunking.sections("# T\n" + long)] == [("T", 7510), ("T (cont. 2)", 7504)]
+    whole = "# T\n" + "y" * 20_000
+    spans = [(a, b) for _, _, a, b, _ in chunking.sections(whole)]
+    assert [b - a for a, b in spans] == [6000, 6000, 6000, 2004] and spans[-1][1] == len(whole)
+    assert chunking.headings("PREFACE\nSECOND\nTHIRDS\n" + para) == []  # closer than the gap
+
+
+def test_located_and_pages(spark):
+    text = "Contents\nThe Long Way Home Again\n\n1.2 The long  way home\nbody\nThe Long Way Home Again and more\n  3. A (b) c.\n"
+    find = lambda title, hint=None: one(spark, chunking.located(F.col("t"), F.lit(title), None if hint is None else F.lit(hint)), t=text)
+    assert find("The Long Way Home") == 9 and find("A (b) c.") == text.index("  3.") and find("nowhere") == -1
+    assert find("The Long Way Home of all others") == 9
+    far = "\n".join(["Intro"] + ["x" * 50] * 100 + ["Intro"])
+    assert one(spark, chunking.located(F.col("t"), F.lit("Intro"), F.lit(2000)), t=far) == far.rindex("Intro")
+    assert [one(spark, chunking.page_of(F.lit(o), F.col("s")), s=[0, 10, 25]) for o in (0, 9, 10, 24, 99)] == [1, 1, 2, 2, 3]
+
+
+def test_document_as_read(spark):
+    body = " ".join(f"word{i}." if i % 9 == 0 else f"Word{i}" for i in range(3000))
+    text = "# One\n\n" + body + "\n\n# Two\n\nA few more words of the end, " + "which go on for a while, " * 8
+    made = chunking.chunks(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))
+    clean = chunking.normalise(text)
+    got = {r["section"]: r["text"] for r in chunking.as_read(made).collect()}
+    assert made.count() > 3 and "".join(" ".join(got[k] for k in sorted(got)).split()) == "".join(clean.split())
+
+
+def test_chunks_spans_and_overlap_by_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    made = chunking.chunks(docs).orderBy("doc_id", "order_index").collect()
+    texts = {r["doc_id"]: chunking.normalise(r["text"] or "") for r in docs.collect()}
+    cut = {(r["doc_id"], r["order_index"]): r["text"] for r in chunking.without_overlap(chunking.chunks(docs)).collect()}
+    before = {}
+    for r in made:
+        assert r["text"] == texts[r["doc_id"]][r["char_start"] : r["char_end"]]
+        assert r["n_tokens"] == len(re.findall(r"\w+|[^\w\s]", r["text"]))
+        words, last = r["text"].split(), before.get(r["doc_id"], [])
+        n = next((n for n in range(min(400, len(words), len(last)), 7, -1) if last[-n:] == words[:n]), 0)
+        assert cut[r["doc_id"], r["order_index"]].split() == words[n:]
+        before[r["doc_id"]] = words
+    for d, text in texts.items():
+        covered = sorted((r["char_start"], r["char_end"]) for r in made if r["doc_id"] == d)
+        at = 0
+        for a, b in covered:
+            assert not text[at:a].strip()
+            at = max(at, b)
+        assert not text[at:].strip()
+
+
 def test_normalise():
     assert chunking.normalise("contex-\ntual ﬁle\x00 a\nb\n\n\n\nc") == "contextual file a b\n\nc"
 

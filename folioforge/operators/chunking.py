@@ -35,6 +35,8 @@ _CAPITALS = re.compile(r"[ \t]*([A-Z][A-Z0-9 \t&/-]{3,50})[ \t]*")
 _MARKDOWN = re.compile(r"(#{1,6})[ \t]+(.+?)[ \t#]*")
 _FENCE = re.compile(r"```|~~~")
 HEADING_GAP, LEAST_HEADINGS = 25, 3
+#: Words of a title that are looked for; no title has more, and a pattern of a whole page would overflow the stack.
+TITLE_WORDS = 24
 _LOOKS = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "­": ""}
 
 
@@ -225,14 +227,14 @@ def passages(text: str) -> list[tuple[int, str, int, int, int]]:
 
 
 def located(text: Column, title: Column, hint: Column | None = None) -> Column:
-    """Place of a table of contents' title in the text: a line that begins with it, a number before it or not; else with its first four words; -1 where none does.
+    """Place of a table of contents' title (by its first TITLE_WORDS words) in the text: a line that begins with it, a number before it or not; else with its first four words; -1 where none does.
 
     ``hint`` is where it is expected: it is looked for from 400 characters before to 12,000 after, and then everywhere.
     """
     clean = F.trim(F.regexp_replace(title, r"\s+", " "))
     quoted = lambda t: F.concat(F.lit(r"(?im)^[ \t]*(?:\d+(?:\.\d+)*\.?[ \t]+)?"), F.regexp_replace(F.regexp_replace(t, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1"), " ", r"\\s+"))
     words = F.split(clean, " ")
-    patterns = [quoted(clean), F.when(F.size(words) > 4, quoted(F.array_join(F.slice(words, 1, 4), " ")))]
+    patterns = [quoted(F.array_join(F.slice(words, 1, TITLE_WORDS), " ")), F.when(F.size(words) > 4, quoted(F.array_join(F.slice(words, 1, 4), " ")))]
     places = []
     for low, body in ([(F.greatest(hint - 400, F.lit(0)), None)] if hint is not None else []) + [(F.lit(0), text)]:
         held = text.substr(low.cast("int") + 1, F.lit(12_400)) if body is None else body

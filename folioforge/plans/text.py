@@ -235,12 +235,12 @@ def t12_chunks(spark, sf_dir):
     return chunking.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query(r"""with d as (select doc_id, text, string_split(text, chr(10)) as lines from documents), e as (select doc_id, text, trim(lines[least(len(lines), 3)]) as title from d)
+@query(r"""with d as (select doc_id, text, string_split(text, chr(10)) as lines from documents), e as (select doc_id, text, array_to_string(string_split(trim(lines[least(len(lines), 3)]), ' ')[1:6], ' ') as title from d)
 select doc_id, case when title = '' then -1 else strpos(lower(chr(10) || text), lower(chr(10) || title)) - 1 end::int as place from e""")
 def t5_toc_location(spark, sf_dir):
-    """T5: where a title of a table of contents stands in the text; the titles are lines of the texts, as the tables hold no contents."""
+    """T5: where a title of a table of contents stands in the text; the titles are beginnings of the texts' lines, as the tables hold no contents."""
     lines = F.split("text", "\n")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.trim(F.get(lines, F.least(F.size(lines), F.lit(3)) - 1)).alias("title"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array_join(F.slice(F.split(F.trim(F.get(lines, F.least(F.size(lines), F.lit(3)) - 1)), " "), 1, 6), " ").alias("title"))
     return docs.select("doc_id", chunking.located(F.col("text"), F.col("title")).alias("place"))
 
 

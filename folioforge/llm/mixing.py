@@ -87,8 +87,8 @@ def mix(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"), key.alias("row_key"))
     # rows that repeat are numbered, so that copies of one are dealt over all blocks
     rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
-    rows = materialise(rows.withColumn("class", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int")), "sizes")
-    goals = materialise(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    rows = materialise(rows.withColumn("class", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int")), "sizes", narrow=True)
+    goals = materialise(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets", narrow=True)
     most = rows.groupBy("source", "class").count().agg(F.max("count")).head()[0] or 0
     blocks = -(-most // BLOCK) or 1
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", text: str =
     level = named.where("mass > 0").select(*carried, "class", F.pmod(F.hash("row_key", "copy"), F.lit(blocks)).alias("block"), unit)
     done = [whole]
     while True:
-        level = materialise(_rounded(level, [*carried, "class", "block"], "named_struct('size', unit.size, 'key', unit.key)", seed), "level")
+        level = materialise(_rounded(level, [*carried, "class", "block"], "named_struct('size', unit.size, 'key', unit.key)", seed), "level", narrow=True)
         done.append(level.select(*carried, F.explode("done").alias("d")).select(*carried, "d.unit", "d.up"))
         level = level.select(*carried, "class", F.floor(F.col("block") / FAN).cast("int").alias("block"), F.col("rest").alias("unit"))
         if blocks == 1:

@@ -292,16 +292,16 @@ def components(edges: DataFrame) -> DataFrame:
     Every round each vertex moves to its least neighbour and the edges between
     the places reached remain; the vertices left shrink by a factor each round.
     """
-    edges = materialise(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    labels = materialise(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("c", F.col("v")), "labels")
+    edges = materialise(edges.where("a <> b").select("a", "b").distinct(), "edges", narrow=True)
+    labels = materialise(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("c", F.col("v")), "labels", narrow=True)
     while edges.limit(1).count():
         both = edges.union(edges.select("b", "a"))
         moves = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).where("m < c")
-        hop = materialise(moves, "moves")
-        moved = materialise(labels.join(hop, "c", "left").select("v", F.coalesce("m", "c").alias("c")), "labels")
+        hop = materialise(moves, "moves", narrow=True)
+        moved = materialise(labels.join(hop, "c", "left").select("v", F.coalesce("m", "c").alias("c")), "labels", narrow=True)
         at_a = edges.join(hop.withColumnsRenamed({"c": "a", "m": "ma"}), "a", "left").select(F.coalesce("ma", "a").alias("a"), "b")
         at_b = at_a.join(hop.withColumnsRenamed({"c": "b", "m": "mb"}), "b", "left").select("a", F.coalesce("mb", "b").alias("b"))
-        left = materialise(at_b.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        left = materialise(at_b.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", narrow=True)
         discard(hop, labels, edges)
         labels, edges = moved, left
     discard(edges)
@@ -326,7 +326,7 @@ def _dealt(crowded: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
 
     one = (F.col("n") <= BLOCK) & (F.col("s") <= BLOCK_SHINGLES)
     plan = whole.select("key", F.col("top.c").alias("largest"), F.when(one, 1).otherwise(blocks("n - top.n", "s - top.s")).alias("p"), F.when(one, 0).otherwise(blocks("top.n", "top.s")).alias("q"))
-    plan = materialise(plan, "plan")
+    plan = materialise(plan, "plan", narrow=True)
     inner = (F.col("c") != F.col("largest")) | (F.col("q") == 0)
     own = F.when(inner, F.pmod(F.hash("tid"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.hash("tid"), F.greatest("q", F.lit(1))))
     met = F.explode(F.sequence(F.lit(0), F.when(inner, F.col("p") + F.col("q")).otherwise(F.col("p")) - 1))
@@ -409,7 +409,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WORDS,
     drawn = materialise(sketches(docs, levels, k=k, bands=bands, rows=rows), "sketches")
     members = drawn.select("tid", F.posexplode("keys").alias("band", "key"))
     # what is aggregated by key is written before it is joined: only then can Spark split a hot key of the join
-    counts = materialise(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    counts = materialise(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts", narrow=True)
     crowded = materialise(members.join(counts, "key"), "crowded")
     # equal texts are made one before the shuffle
     needed = docs.dropDuplicates(["tid"]).join(crowded.select("tid").distinct(), "tid")
@@ -417,9 +417,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WORDS,
     release(spark)
     # a bucket's leader is the member that meets most others in all its buckets: the text that the others were copied from, as a rule
     central = crowded.groupBy("tid").agg(F.sum("n").alias("met"))
-    leaders = materialise(crowded.select("key", "tid").join(central, "tid").groupBy("key").agg(F.max(F.struct("met", F.col("tid").alias("b")))["b"].alias("b")), "leaders")
+    leaders = materialise(crowded.select("key", "tid").join(central, "tid").groupBy("key").agg(F.max(F.struct("met", F.col("tid").alias("b")))["b"].alias("b")), "leaders", narrow=True)
     stars = crowded.select("key", "tid").join(leaders, "key").where("tid <> b").select(F.least("tid", "b").alias("a"), F.greatest("tid", "b").alias("b")).distinct()
-    first = materialise(verify(materialise(stars, "stars"), sets, threshold), "links")
+    first = materialise(verify(materialise(stars, "stars", narrow=True), sets, threshold), "links")
     labels = components(first)
     second = materialise(settle(crowded, labels, sets, drawn, threshold, rows, agree), "links")
     discard(counts, crowded, leaders, sets, drawn, labels)

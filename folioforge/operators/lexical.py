@@ -1,35 +1,88 @@
-"""Full-text search: postings of English stems, and OR search ranked by matched positions."""
+"""Full-text search: stored postings of English stems, OR search by matched positions, AND search by cover density."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.stem import lexemes
 from folioforge.session import bound_batches
 
+#: Folders that stored postings are dealt into by lexeme; a search reads those of its words alone.
+SHELVES = 256
+
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(lexeme, key, tf) of every text; meant to be stored bucketed by lexeme, so that a search reads its words alone."""
+    """(lexeme, key, tf, places) of every text; places are the lexeme's positions among the text's lexemes, in order."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for k, t in zip(batch[key], batch[text], strict=True):
-                counts: dict[str, int] = {}
-                for w in lexemes(t):
-                    counts[w] = counts.get(w, 0) + 1
-                rows += [(w, k, n) for w, n in counts.items()]
-            yield pd.DataFrame(rows, columns=["lexeme", key, "tf"])
+                found: dict[str, list[int]] = {}
+                for n, w in enumerate(lexemes(t)):
+                    found.setdefault(w, []).append(n)
+                rows += [(w, k, len(at), at) for w, at in found.items()]
+            yield pd.DataFrame(rows, columns=["lexeme", key, "tf", "places"])
+
+    return docs.select(key, text).mapInPandas(run, f"lexeme string, {key} bigint, tf int, places array<int>")
+
+
+def _shelf(lexeme):
+    return F.pmod(F.xxhash64(lexeme), F.lit(SHELVES)).cast("int")
 
-    return docs.select(key, text).mapInPandas(run, f"lexeme string, {key} bigint, tf int")
+
+def store(posted: DataFrame, path: str) -> None:
+    """Write postings dealt by lexeme, those of a shelf in order of lexeme, so that row groups can be passed over."""
+    dealt = posted.withColumn("shelf", _shelf(F.col("lexeme")))
+    dealt.repartition("shelf", F.pmod(F.xxhash64("lexeme", "tf"), F.lit(4))).sortWithinPartitions("shelf", "lexeme").write.partitionBy("shelf").mode("overwrite").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, question: str) -> DataFrame:
+    """The stored postings of a question's lexemes: their shelves alone are read, and there by the lexeme."""
+    wanted = sorted(set(lexemes(question)))
+    shelves = [r[0] for r in spark.createDataFrame([(w,) for w in wanted], "w string").select(_shelf(F.col("w"))).distinct().collect()]
+    return spark.read.parquet(path).where(F.col("shelf").isin(shelves) & F.col("lexeme").isin(wanted)).drop("shelf")
 
 
 def search(posted: DataFrame, question: str, k: int, key: str = "doc_id") -> DataFrame:
-    """(key, hits): texts that hold any of the question's lexemes, most matched positions first; none for stop words alone."""
+    """(key, hits): texts that hold any of the question's lexemes, most matched positions first; none for stop words alone.
+
+    For an OR query every matched position is a cover of its own, so cover density orders alike.
+    """
     found = posted.where(F.col("lexeme").isin(sorted(set(lexemes(question)))))
     return found.groupBy(key).agg(F.sum("tf").alias("hits")).orderBy(F.desc("hits"), key).limit(k)
+
+
+def cover_density(places: list[np.ndarray]) -> float:
+    """Sum over the least spans that hold every lexeme once: the number of lexemes over the span's length."""
+    at = np.concatenate(places)
+    which = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    order = np.argsort(at, kind="stable")
+    at, which = at[order], which[order]
+    # the last place of each lexeme up to every match: a cover ends there and begins at the least of these
+    last = np.full((len(places), len(at)), -1)
+    last[which, np.arange(len(at))] = at
+    begin = np.maximum.accumulate(last, axis=1).min(axis=0)
+    whole = begin >= 0
+    begin, end = begin[whole], at[whole]
+    least = np.append(True, begin[1:] > begin[:-1]) if len(begin) else whole[:0]
+    return float((len(places) / (end[least] - begin[least] + 1)).sum())
+
+
+def search_all(posted: DataFrame, question: str, k: int, key: str = "doc_id") -> DataFrame:
+    """(key, density): texts that hold all of the question's lexemes, densest first; none for stop words alone."""
+    wanted = sorted(set(lexemes(question)))
+    found = posted.where(F.col("lexeme").isin(wanted)).groupBy(key).agg(F.collect_list("places").alias("places"), F.count("*").alias("n")).where(F.col("n") == len(wanted))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "density": [round(cover_density([np.asarray(p) for p in places]), 9) for places in batch["places"]]})
+
+    ranked = found.select(key, "places").mapInPandas(run, f"{key} bigint, density double")
+    return ranked.orderBy(F.desc("density"), key).limit(k)

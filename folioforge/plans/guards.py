@@ -144,6 +144,22 @@ def t35_stemmed_search(spark, sf_dir):
     return lexical.search(lexical.postings(table(spark, sf_dir, "documents")), "the things that are thinning", 50)
 
 
+@query()
+def t35_every_term(spark, sf_dir):
+    """Texts that hold all the stems of a question, by cover density."""
+    return lexical.search_all(lexical.postings(table(spark, sf_dir, "documents")), "thand and the ering", 50)
+
+
+@query(r"""with v as (select p_partkey, case p_partkey % 6 when 0 then p_name when 1 then 'Untitled document' when 2 then 'tmp' || p_partkey || 'abcd' when 3 then p_name || '.pdf' when 4 then 'short' else 'deadbeef' || p_partkey end as title from part)
+select p_partkey, p_partkey % 6 = 0 and length(trim(title)) >= 6 as usable from v""")
+def t3_titles(spark, sf_dir):
+    """Titles that people give, told from machine names, placeholders and scraps; the others are put in by id."""
+    number = F.col("p_partkey").cast("string")
+    kinds = (F.col("p_name"), F.lit("Untitled document"), F.concat(F.lit("tmp"), number, F.lit("abcd")), F.concat("p_name", F.lit(".pdf")), F.lit("short"), F.concat(F.lit("deadbeef"), number))
+    title = F.element_at(F.array(*kinds), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.usable_title(title).alias("usable"))
+
+
 @query("""with p as (select conv_id, turn, case when turn % 3 = 0 then 2 when turn % 3 = 1 then 1 else 0 end as rank, turn % 4 = 3 as plain from conversations)
 select conv_id, turn, case when plain then 'secret' else ['public', 'internal', 'secret'][rank + 1] end as level from p""")
 def c7_output_levels(spark, sf_dir):

@@ -207,13 +207,13 @@ def w17_held_passages(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(F.broadcast(ids), "doc_id").select("doc_id", F.round(10 - F.col("i") * 0.001, 6).alias("score"))
 
 
-@query("""with q as (select * from (values ('Nation report on region five'), ('part of the SUPPLIER list'), ('nothing here')) t(question)),
+@query("""with q as (select * from (values ('Nation report on region five'), ('part of the SUPPLIER list'), ('nothing here'), ('a shelf on Middle East') ) t(question)),
 n as (select question, trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) as norm from q),
 t as (select distinct trim(regexp_replace(regexp_replace(lower(r_name), '[^a-z0-9]+', ' ', 'g'), '^(the|a|an) ', '')) as title from region union select 'supplier list')
-select question, title from n join t on contains(norm, title) and length(title) >= 4""")
+select question, title from n join t on contains(norm, title) and length(title) >= 10""")
 def p13_named_volumes(spark, sf_dir):
     """Titles that a question names; titles are few and sent to every task behind a size check by the optimiser."""
-    asked = spark.createDataFrame([("Nation report on region five",), ("part of the SUPPLIER list",), ("nothing here",)], "question string")
+    asked = spark.createDataFrame([("Nation report on region five",), ("part of the SUPPLIER list",), ("nothing here",), ("a shelf on Middle East",)], "question string")
     clean = F.regexp_replace(tx.plain_words(F.col("r_name")), "^(the|a|an) ", "")
     titles = table(spark, sf_dir, "region").select(F.trim(clean).alias("title")).union(spark.createDataFrame([("supplier list",)], "title string")).distinct()
-    return asked.join(titles, tx.plain_words(F.col("question")).contains(F.col("title")) & (F.length("title") >= 4)).select("question", "title")
+    return asked.join(titles, tx.plain_words(F.col("question")).contains(F.col("title")) & (F.length("title") >= 10)).select("question", "title")

@@ -99,7 +99,7 @@ def t16_fingerprint(spark, sf_dir):
 
 @query(r"""select doc_id, case when n_chars > 5000 then 'book' when n_chars > 1000 then 'paper' else 'note' end as kind, not regexp_matches(source, '(?i)^(tmp[a-z0-9_]{4,}|[0-9a-f]{8,}|.+\.(pdf|txt|md))$') as titled from documents""")
 def t19_kind_and_title(spark, sf_dir):
-    """Kind by length, and whether a name is one that people give."""
+    """Kind by length, and whether a name is one that people give."""
     kind = F.when(F.col("n_chars") > 5000, "book").when(F.col("n_chars") > 1000, "paper").otherwise("note")
     machine = F.col("source").rlike(r"(?i)^(tmp[a-z0-9_]{4,}|[0-9a-f]{8,}|.+\.(pdf|txt|md))$")
     return table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), (~machine).alias("titled"))

@@ -141,3 +141,30 @@ def test_clusters_are_parts_of_all_pairs(spark):
 def test_numbers_follow_the_order(spark):
     out = ranking.numbered(spark.range(1000).repartition(7).select((F.col("id") * 3).alias("k")), "k").orderBy("k").collect()
     assert [r["n"] for r in out] == list(range(1, 1001))
+
+
+def test_search_of_all_terms_by_brute_force(spark, tmp_path):
+    import random
+
+    from folioforge.functions.stem import lexemes
+    from folioforge.operators import lexical
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["cats", "hopping", "stones", "river", "lamp"]) for _ in range(rng.randint(1, 14))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    question = "the cat hops on a stone"
+
+    def density(text):
+        words, wanted = lexemes(text), set(lexemes(question))
+        spans = [(i, j) for i in range(len(words)) for j in range(i, len(words)) if wanted <= set(words[i : j + 1])]
+        least = [(i, j) for i, j in spans if not any((a, b) != (i, j) and i <= a and b <= j for a, b in spans)]
+        return round(sum(len(wanted) / (j - i + 1) for i, j in least), 9)
+
+    want = sorted(((d, -s) for d, t in enumerate(texts) if (s := density(t))), key=lambda x: (x[1], x[0]))
+    posted = lexical.postings(docs)
+    lexical.store(posted, str(tmp_path / "postings"))
+    held = lexical.stored(spark, str(tmp_path / "postings"), question)
+    for rows in (posted, held):
+        assert [(r["doc_id"], -r["density"]) for r in lexical.search_all(rows, question, 100).collect()] == want
+    assert held.count() == sum(len(set(lexemes(t)) & set(lexemes(question))) for t in texts)
+    assert [tuple(r) for r in lexical.search(held, question, 9).collect()] == [tuple(r) for r in lexical.search(posted, question, 9).collect()]

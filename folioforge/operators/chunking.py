@@ -13,9 +13,9 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import accumulate, pairwise
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,7 @@ FRONT_MATTER_CHARS, PRUNE_CHARS, WINDOW_CHARS, RUNT_CHARS = 400, 120, 6000, 200
 SPLIT_OVER_CHARS, PART_CHARS = 9000, 6000
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _PARAGRAPH = re.compile(r"\n\s*\n")
+_WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z(])")
 # Headings by number, in capitals, and in Markdown; rules for them.
 _NUMBERED = re.compile(r"[ \t]*(\d+(?:\.\d+){0,3})\.?[ \t]+([A-Z].{2,70}?)[ \t]*")
@@ -109,7 +110,7 @@ def _parts(ends: list[int], start: int, stop: int) -> list[tuple[int, int]]:
     last = stop - PART_CHARS // 3
     cuts = _cuts(ends, start, last, PART_CHARS)
     if len(cuts) == 1:
-        cuts = (start + PART_CHARS * np.arange(-(-(last - start) // PART_CHARS))).tolist()
+        cuts = [start + PART_CHARS * i for i in range(-(-(last - start) // PART_CHARS))]
     return list(pairwise([*cuts, stop]))
 
 
@@ -129,21 +130,19 @@ def sections(text: str, found: list[tuple[int, int, str]] | None = None) -> list
         return []
     found = headings(text) if found is None else found
     ends = [m.end() for m in _PARAGRAPH.finditer(text)]
-    frame = pd.DataFrame(found, columns=["start", "level", "title"])
-    if len(frame) and frame["start"].iloc[0] > FRONT_MATTER_CHARS:
-        frame = pd.concat([pd.DataFrame([(0, 1, "Front matter")], columns=frame.columns), frame], ignore_index=True)
-    frame["stop"] = frame["start"].shift(-1, fill_value=len(text))
-    # short sections go, unless something deeper follows
-    frame = frame[(frame["level"].shift(-1, fill_value=0) > frame["level"]) | (frame["stop"] - frame["start"] >= PRUNE_CHARS)]
-    rows = list(frame[["title", "level", "start", "stop"]].itertuples(index=False, name=None)) or [(None, 1, *x) for x in _windows(text, ends)]
+    front = [(0, 1, "Front matter")] if found and found[0][0] > FRONT_MATTER_CHARS else []
+    # each heading with the one after it; short sections go, unless something deeper follows
+    beside = pairwise([*front, *found, (len(text), 0, None)])
+    rows = [(title, level, start, stop) for (start, level, title), (stop, after, _) in beside if after > level or stop - start >= PRUNE_CHARS]
+    rows = rows or [(None, 1, *x) for x in _windows(text, ends)]
     paths: list[str] = []
     out = []
     for (title, level, start, stop), parent in zip(rows, _outline([r[1] for r in rows]), strict=True):
         above = paths[parent] if parent is not None else ""
         paths.append(" › ".join(x for x in (above, title) if x))
-        for n, (a, b) in enumerate(_parts(ends, int(start), int(stop)), 1):
+        for n, (a, b) in enumerate(_parts(ends, start, stop), 1):
             name = f"{title} (cont. {n})" if title and n > 1 else title
-            out.append((name, int(level), a, b, " › ".join(x for x in (above, name) if x)))
+            out.append((name, level, a, b, " › ".join(x for x in (above, name) if x)))
     return out
 
 
@@ -152,14 +151,17 @@ class Places:
 
     def __init__(self, text: str):
         self.text = text
-        self.tokens = np.array([m.start() for m in _TOKEN.finditer(text)], np.int64)
-        self.words = np.array([m.start() for m in re.finditer(r"\S+", text)], np.int64)
+        self.tokens = [m.start() for m in _TOKEN.finditer(text)]
+
+    @cached_property
+    def words(self) -> list[int]:
+        return [m.start() for m in _WORD.finditer(self.text)]
 
     def count(self, start: int, stop: int) -> int:
         """Tokens in a span, those that it cuts among them."""
-        first = int(np.searchsorted(self.tokens, start))
+        first = bisect_left(self.tokens, start)
         cut = 0 < start < stop and not (first < len(self.tokens) and self.tokens[first] == start) and _TOKEN.match(self.text, start) is not None
-        return int(np.searchsorted(self.tokens, stop)) - first + cut
+        return bisect_left(self.tokens, stop) - first + cut
 
     def pieces(self, gap: re.Pattern, start: int, stop: int) -> list[tuple[int, int]]:
         """The spans between the gaps, without blanks at their ends; empty ones left out."""
@@ -170,15 +172,14 @@ class Places:
             out.append((a + len(piece) - len(piece.lstrip()), a + len(piece.rstrip())))
         return [(a, b) for a, b in out if a < b]
 
-    def joined(self, spans: list[tuple[int, int]], room: int, first: int = 0) -> list[tuple[int, int]]:
-        """Neighbours of ``spans`` joined as long as their tokens fit the room; (index of the first, index after the last)."""
-        upto = np.concatenate([[0], np.cumsum([self.count(*x) for x in spans])])
-        out, i = [], 0
-        while i < len(spans):
-            j = max(i + 1, int(np.searchsorted(upto, upto[i] + room - first, "right")) - 1)
-            out.append((i, j))
-            i, first = j, 0
-        return out
+    def upto(self, spans: list[tuple[int, int]]) -> list[int]:
+        """Tokens of the spans before each one, and of all."""
+        return list(accumulate((self.count(*x) for x in spans), initial=0))
+
+    @staticmethod
+    def fit(upto: list[int], i: int, room: int) -> int:
+        """Index after the last of the spans from ``i`` on that fit the room together; one is always taken."""
+        return max(i + 1, bisect_right(upto, upto[i] + room) - 1)
 
     def segments(self, start: int, stop: int) -> list[tuple[int, int]]:
         """Paragraphs; of those beyond the target the sentences, joined up to it, and over-long ones cut at tokens."""
@@ -188,33 +189,34 @@ class Places:
                 out.append((a, b))
                 continue
             said = self.pieces(_SENTENCE, a, b)
-            for i, j in self.joined(said, TARGET_TOKENS):
+            upto, j = self.upto(said), 0
+            while (i := j) < len(said):
+                j = self.fit(upto, i, TARGET_TOKENS)
                 c, d = said[i][0], said[j - 1][1]
                 size = self.count(c, d)
                 if size <= 1.5 * TARGET_TOKENS:
                     out.append((c, d))
                 else:
-                    at = np.searchsorted(self.tokens, c) + np.arange(0, size, TARGET_TOKENS)
-                    cuts = [*self.tokens[at].tolist(), d]
+                    low = bisect_left(self.tokens, c)
+                    cuts = [c, *self.tokens[low + TARGET_TOKENS : bisect_left(self.tokens, d) : TARGET_TOKENS], d]
                     out += [(x, x + len(self.text[x:y].rstrip())) for x, y in pairwise(cuts)]
         return out
 
     def tail(self, start: int, stop: int) -> int:
         """Where the last OVERLAP_TOKENS words of a span begin."""
-        low, high = np.searchsorted(self.words, [start, stop])
-        return int(self.words[high - OVERLAP_TOKENS]) if high - low > OVERLAP_TOKENS else start
+        low, high = bisect_left(self.words, start), bisect_left(self.words, stop)
+        return self.words[high - OVERLAP_TOKENS] if high - low > OVERLAP_TOKENS else start
 
     def packed(self, start: int, stop: int) -> list[tuple[int, int]]:
         """Spans of segments up to the target, each beginning with the last one's tail; a runt joins the one before."""
         segments = self.segments(start, stop)
         out: list[tuple[int, int]] = []
-        i = 0
-        while i < len(segments):
+        upto, j = self.upto(segments), 0
+        while (i := j) < len(segments):
             back = self.tail(*out[-1]) if out else segments[0][0]
             held = self.count(back, out[-1][1]) if out else 0
-            (_, j), *_ = self.joined(segments[i:], TARGET_TOKENS, held)
-            out.append((back, segments[i + j - 1][1]))
-            i += j
+            j = self.fit(upto, i, TARGET_TOKENS - held)
+            out.append((back, segments[j - 1][1]))
         if len(out) > 1 and self.count(out[-2][1], out[-1][1]) < MIN_TOKENS:
             out[-2:] = [(out[-2][0], out[-1][1])]
         return out

@@ -22,9 +22,11 @@ So every candidate pair was verified or its members are in one class.  No
 bucket is capped, and none is collected: beyond the first components, the work
 is in proportion to the members outside the largest one times the members.
 
-Weights: ``tf * idf ** IDF_POWER``, ``idf = 1 + ln((1 + N) / (1 + df))``,
+Weights: ``(1 + ln tf) * idf ** IDF_POWER``, ``idf = 1 + ln((1 + N) / (1 + df))``,
 rounded to steps of a quarter in the logarithm.  The power keeps what a large
-group of near copies shares from weighing much less than what tells them apart.
+group of near copies shares from weighing much less than what tells them apart;
+the logarithm keeps a phrase that two texts repeat hundreds of times from
+outweighing all that they don't share.
 Document frequencies come from a count sketch of a fixed size over all
 documents; it errs upwards by about the mean load of its cells, a constant
 share of N at every corpus size, and so leaves the rare shingles with one
@@ -144,7 +146,7 @@ class Weights:
         out = self.levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
         often = counts > 1
         if often.any():
-            out[often] += np.round(np.log(counts[often]) * 4).astype(np.int64)
+            out[often] += np.round(np.log(1 + np.log(counts[often])) * 4).astype(np.int64)
         return out
 
 

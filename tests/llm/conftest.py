@@ -29,7 +29,7 @@ def clashing(spark):
 
 
 def _weighted(texts, k=5):
-    """Similarity of two of ``texts`` by tf * idf ** 0.25 in quarter steps, from plain counts."""
+    """Similarity of two of ``texts`` by (1 + ln tf) * idf ** 0.25 in quarter steps, from plain counts."""
     counts = []
     for t in texts:
         w = t.lower().split()
@@ -39,7 +39,7 @@ def _weighted(texts, k=5):
 
     def weight(x, tf):
         idf = 1 + math.log((1 + n) / (1 + df[x]))
-        return math.exp((round(math.log(idf)) + round(4 * math.log(tf))) / 4)
+        return math.exp((round(math.log(idf)) + round(4 * math.log(1 + math.log(tf)))) / 4)
 
     sets = [{x: weight(x, tf) for x, tf in c.items()} for c in counts]
 

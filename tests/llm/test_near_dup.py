@@ -101,3 +101,9 @@ def test_null_and_repeated_ids_lose_nothing(spark, frame, clashing):
         by.setdefault(r["class_key"], []).append(r)
     assert sorted(len(v) for k, v in by.items() if k is not None) == [1, 1, 1, 2, 2, 2]
     assert all(len({(r["class_id"], r["class_size"]) for r in v}) == 1 and any(r["kept"] for r in v) for k, v in by.items() if k is not None)
+
+
+def test_a_phrase_that_many_repeat_joins_no_classes(spark, frame):
+    """Texts of their own that all repeat one pair of words hundreds of times stay apart."""
+    rows = [(i, prose(60) + " over again" * 300 + " " + prose(60)) for i in range(20)]
+    assert {r["class_size"] for r in neardup.near_duplicates(frame(rows)).collect()} == {1}

@@ -99,3 +99,16 @@ def parts(pieces: Column, limit: int) -> Column:
         return F.when(F.size(acc) == 0, F.array(piece)).when(joins, joined).otherwise(F.concat(acc, F.array(piece)))
 
     return F.aggregate(cut, start, add)
+
+
+def documented(command: Column, known: Column, generic: Column) -> Column:
+    """Whether a command is a generic tool's, or begins like a known one: two words alike, and a third that is missing, alike, or a flag in neither; blank or null: false."""
+    words = F.filter(F.split(F.coalesce(command, F.lit("")), r"\s+"), lambda w: w != "")
+
+    def like(other: Column) -> Column:
+        theirs = F.filter(F.split(other, r"\s+"), lambda w: w != "")
+        third, their_third = F.get(words, F.lit(2)), F.get(theirs, F.lit(2))
+        free = third.isNull() | their_third.isNull() | (third == their_third) | ~(third.startswith("-") | their_third.startswith("-"))
+        return (F.slice(words, 1, 2) == F.slice(theirs, 1, 2)) & free
+
+    return (F.size(words) > 0) & (F.coalesce(F.array_contains(generic, F.get(words, F.lit(0))), F.lit(False)) | F.exists(known, like))

@@ -214,3 +214,18 @@ def s17_fan_out(spark, sf_dir):
     body = F.concat(F.lit('{"items": [{"a": {"b": '), F.col("event_id").cast("string"), F.lit('}}, {"a": {"b": 7}}]}'))
     rows = records.json_rows(table(spark, sf_dir, "events").select("event_id", body.alias("j")), "j", "items")
     return rows.select("event_id", records.dig(F.col("row"), "a.b").alias("b"))
+
+
+_SUGGESTED = [
+    ("./serve start", True), ("./serve stop now", False), ("curl -s http://h/x", True), ("curl -s", True),
+    ("uv run pytest", True), ("uv run --all", False), ("grep -r x .", True), ("  ", False),
+]
+
+
+@query("select conv_id, turn, command, known from conversations, (values " + ", ".join(f"({i}, '{c}', {k})" for i, (c, k) in enumerate(_SUGGESTED)) + ") a(n, command, known) where n = (conv_id + turn) % 8")
+def p23_documented_commands(spark, sf_dir):
+    """Suggested commands that the documented ones bear out; they are put in by id, as the tables hold none."""
+    shown = F.array(*(F.lit(c) for c in ("./serve start", "curl -s http://h/y", "uv run alembic upgrade")))
+    command = F.element_at(F.array(*(F.lit(c) for c, _ in _SUGGESTED)), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", command.alias("command"))
+    return rows.withColumn("known", guards.documented(F.col("command"), shown, F.array(F.lit("grep"), F.lit("cat"))))

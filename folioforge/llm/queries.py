@@ -1,11 +1,11 @@
-"""The ten operators as queries over the driver's tables, and their SQL."""
+"""The thirteen operators as queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import classifier, decontaminate, html_text, language, licenses, mixing, neardup, quality_rules, substring, urls
+from folioforge.llm import classifier, decontaminate, html_text, interactions, language, licenses, mixing, neardup, packing, quality_rules, repair, substring, urls
 from folioforge.tables import table
 
 QUERIES: dict = {}
@@ -90,3 +90,28 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of each order, by source."""
+    rows = interactions.text_flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return interactions.audit(rows, list("ABCDE"), ["good", "toxic"])
+
+
+ORACLES["op11_filter_audit"] = interactions.oracle()
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repair of every conversation after damage by a hash of its turns."""
+    return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of 4,096: one row per piece, its ids as a checksum."""
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

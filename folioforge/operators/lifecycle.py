@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from folioforge.operators import vectors
-from folioforge.session import materialise
+from folioforge.session import discard, materialise
 
 #: Gaps, or windows, in a span of time that a task takes.
 SPAN_GAPS = 64
@@ -58,15 +58,18 @@ def ejected(members: DataFrame, collection: str, doc: str, leaving: object) -> D
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(v, c): the least vertex of each vertex's connected part; edges shrink round by round."""
-    edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = materialise(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("c", F.col("v")), "labels")
+    """(v, c): the least vertex of each vertex's connected part; edges shrink round by round, and each round's tables go with it."""
+    edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", narrow=True)
+    labels = materialise(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("c", F.col("v")), "labels", narrow=True)
     while edges.limit(1).count():
         down = edges.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("to"))
-        labels = materialise(labels.join(down, "c", "left").select("v", F.coalesce("to", "c").alias("c")), "labels")
+        new = materialise(labels.join(down, "c", "left").select("v", F.coalesce("to", "c").alias("c")), "labels", narrow=True)
         ends = edges.join(down.withColumnsRenamed({"c": "b", "to": "tb"}), "b").join(down.withColumnsRenamed({"c": "a", "to": "ta"}), "a", "left")
         moved = ends.select(F.coalesce("ta", "a").alias("x"), F.col("tb").alias("y")).where("x <> y")
-        edges = materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        shrunk = materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges", narrow=True)
+        discard(labels, edges)
+        labels, edges = new, shrunk
+    discard(edges)
     return labels
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioforge.functions.vectors import cosine
-from folioforge.operators import lifecycle, relational, vectors
+from folioforge.operators import density, lifecycle, relational, vectors
 from folioforge.plans.registry import query
 from folioforge.tables import table
 
@@ -188,7 +188,13 @@ def j17_evidence(spark, sf_dir):
 
 @query()
 def m5_clusters(spark, sf_dir):
-    """M5: clusters of vectors as connected parts of the graph above a similarity; labels of fewer than three are noise."""
+    """M5: density clusters of vectors, the leaves of the hierarchy of mutual reachability; -1 is noise."""
+    return density.density_clusters(table(spark, sf_dir, "embeddings"), min_size=3, min_samples=1)
+
+
+@query()
+def m5_similar_parts(spark, sf_dir):
+    """M5, the coarse way: connected parts of the graph above a similarity; labels of fewer than three are noise."""
     return lifecycle.clusters(table(spark, sf_dir, "embeddings"), 0.3, 3)
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import DOI
+from folioforge.operators import trigrams
+from folioforge.session import materialise
 
 # Headings of a reference list, and starts of its entries.
 _HEADING = r"(?im)^\s*(?:\d+\.?\s*)?(?:references|bibliography|works cited)\s*$"
@@ -59,20 +58,14 @@ def word_similarity(title: str, text: str) -> float:
 
 
 def best_titles(refs: DataFrame, titles: DataFrame, least: float = MIN_TITLE) -> DataFrame:
-    """(ref_id, title_id, similarity): each reference's best title of those that share a trigram-rich word with it.
+    """(ref_id, title_id, similarity): each reference's best title of similarity ``least`` or more, misspelt ones too.
 
     Equal references and equal titles are compared once; of equal titles the least id stands for all, as ties go to it.
     """
-    words = lambda df, c: df.select(*df.columns, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0)))).alias("w"))
-    lines, names = refs.select("reference").distinct(), titles.groupBy("title").agg(F.min("title_id").alias("title_id"))
-    full = words(lines, "reference").join(words(names, "title"), "w").select("reference", "title_id", "title").distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sims = [round(word_similarity(t, r), 6) for t, r in zip(batch["title"], batch["reference"], strict=True)]
-            yield pd.DataFrame({"reference": batch["reference"], "title_id": batch["title_id"], "similarity": sims})
-
-    scored = full.mapInPandas(run, "reference string, title_id bigint, similarity double").where(F.col("similarity") >= least)
-    best = scored.groupBy("reference").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "title_id")).alias("best"))
-    found = refs.join(best, "reference").groupBy("ref_id").agg(F.min("best").alias("best"))
+    lines = materialise(refs.groupBy("reference").agg(F.min("ref_id").alias("id")).select("id", F.col("reference").alias("text")), "references")
+    names = materialise(titles.groupBy("title").agg(F.min("title_id").alias("id")).select("id", F.col("title").alias("text")), "titles")
+    scored = trigrams.similar(lines, names, least, word_similarity)
+    best = scored.groupBy(F.col("text_id").alias("id")).agg(F.min(F.struct((-F.col("similarity")).alias("less"), "title_id")).alias("best"))
+    by_text = best.join(lines, "id").select(F.col("text").alias("reference"), "best")
+    found = refs.join(by_text, "reference").groupBy("ref_id").agg(F.min("best").alias("best"))
     return found.select("ref_id", F.col("best.title_id").alias("title_id"), (-F.col("best.less")).alias("similarity"))

@@ -11,7 +11,7 @@ centre less the cell's radius.  With ``exact`` those are read too, and the
 result is that of comparing all pairs; without, it is what the probed cells
 hold, and ``recall`` measures how much of the truth that is.
 
-Cells are dealt into blocks of about ``BLOCK_VECTORS`` points and the queries of
+Cells are dealt into blocks of points and the queries of
 a cell likewise, so that neither a large cell nor one that most queries fall
 into is a single task.
 
@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.operators.vectors import BLOCK_VECTORS, _matrix, _similar, _unit
+from folioforge.operators import vectors
+from folioforge.operators.vectors import _matrix, _unit
 from folioforge.session import materialise
 
 #: Bound of the fit: cells, rows drawn for each, rounds of moving the centres.  At 1,024 dimensions that is 134 MB on the driver.
@@ -110,25 +111,11 @@ def load(spark: SparkSession, path: str, key: str = "vec_id") -> Index:
 
 def _visit(index: Index, wanted: DataFrame, k: int, least: float, earlier: bool) -> DataFrame:
     """(query_id, id, sim): the k best of each query's cells, block by block; ``wanted`` has (query_id, qv, cell)."""
-    spark = wanted.sparkSession
-    asked = {r[0]: r[1] for r in wanted.groupBy("cell").count().collect()}  # a row a cell
-    rows = [(c, max(1, -(-int(index.size[c]) // BLOCK_VECTORS)), max(1, -(-n // BLOCK_VECTORS))) for c, n in asked.items() if index.size[c]]
-    blocks = F.broadcast(spark.createDataFrame(rows, "cell int, np int, nq int"))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stored = index.points(spark).where(F.col("cell").isin([r[0] for r in rows]))
-    left = stored.join(blocks, "cell").select("id", "v", "cell", deal("id", "np").alias("x"), every("nq").alias("y"))
-    right = wanted.join(blocks, "cell").select(F.col("query_id").alias("id"), F.col("qv").alias("v"), "cell", every("np").alias("x"), deal("query_id", "nq").alias("y"))
-
-    def run(p: pa.Table, q: pa.Table) -> pa.Table:
-        own, ids, sims = _similar(p, q)
-        sims[np.isnan(sims) | (sims <= least)] = -np.inf
-        sims[(ids[:, None] <= own[None, :]) if earlier else (ids[:, None] == own[None, :])] = -np.inf
-        cut = np.partition(sims, -k, axis=1)[:, -k][:, None] if len(own) > k else np.full((len(ids), 1), -np.inf)
-        at, to = np.nonzero((sims >= cut - 1e-9) & np.isfinite(sims))
-        return pa.table({"query_id": ids[at], "id": own[to], "sim": sims[at, to]})
-
-    return left.groupBy("cell", "x", "y").cogroup(right.groupBy("cell", "x", "y")).applyInArrow(run, "query_id bigint, id bigint, sim double")
+    stored = index.points(wanted.sparkSession).select("id", "v", "cell")
+    asked = [r[0] for r in wanted.select("cell").distinct().collect()]  # a row a cell
+    if len(asked) < len(index.centres):
+        stored = stored.where(F.col("cell").isin(asked))
+    return vectors.nearest_within(stored, wanted.select(F.col("query_id").alias("id"), F.col("qv").alias("v"), "cell"), "cell", k, least, earlier)
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int = 8, least: float = -1.0, exact: bool = True, earlier: bool = False, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -66,6 +66,32 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, least: float = -1.0,
     return found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
 
 
+def nearest_within(points: DataFrame, queries: DataFrame, group: str, k: int, least: float = -1.0, earlier: bool = False) -> DataFrame:
+    """(query_id, id, sim): for each query (id, v, group) the k best points of its group in each block, and all that equal the last of them.
+
+    Points and queries of a group are dealt into blocks of about ``BLOCK_VECTORS`` each, so a
+    group with most of the rows is many tasks, and no pair becomes a row but what a block keeps.
+    """
+    blocks = lambda df, name: df.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias(name))
+    sizes = blocks(points, "np").join(blocks(queries, "nq"), group)
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # named anew, as both sides may come from one frame
+    own = [F.col(c).alias(c) for c in ("id", "v", group)]
+    left = points.join(sizes, group).select(*own, deal("np").alias("x"), every("nq").alias("y"))
+    right = queries.join(sizes, group).select(*own, every("np").alias("x"), deal("nq").alias("y"))
+
+    def run(p: pa.Table, q: pa.Table) -> pa.Table:
+        own, ids, sims = _similar(p, q)
+        sims[np.isnan(sims) | (sims <= least)] = -np.inf
+        sims[(ids[:, None] <= own[None, :]) if earlier else (ids[:, None] == own[None, :])] = -np.inf
+        cut = np.partition(sims, -k, axis=1)[:, -k][:, None] if len(own) > k else np.full((len(ids), 1), -np.inf)
+        at, to = np.nonzero((sims >= cut - 1e-9) & np.isfinite(sims))
+        return pa.table({"query_id": ids[at], "id": own[to], "sim": sims[at, to]})
+
+    return left.groupBy(group, "x", "y").cogroup(right.groupBy(group, "x", "y")).applyInArrow(run, "query_id bigint, id bigint, sim double")
+
+
 def pairs_above(points: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(a, b) with a < b: pairs of points, block by block, whose cosine is above ``least``, as far as they join parts.
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioforge.functions.vectors import cosine
 from folioforge.operators import density, lifecycle, relational, vectors
 from folioforge.plans.registry import query
 from folioforge.tables import table
@@ -36,11 +35,9 @@ s as (select a.vec_id as claim, b.vec_id as passage, {_SIM} as sim from c a join
 r as (select *, row_number() over (partition by claim order by round(sim, 9) desc, passage) as n from s)
 select claim, passage, round(sim, 6) as similarity, case when sim >= 0.25 then 'anchored' when sim >= 0.15 then 'weak' else 'unsupported' end as state from r where n = 1""")
 def j12_anchors(spark, sf_dir):
-    """Each claim's nearest passage of its own section, and how well it holds."""
-    rows = table(spark, sf_dir, "embeddings")
-    claims = rows.where("vec_id % 5 = 0").select(F.col("vec_id").alias("claim"), "label", F.col("embedding").alias("c"))
-    passages = rows.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("passage"), "label", F.col("embedding").alias("p"))
-    scored = claims.join(passages, "label").select("claim", "passage", cosine(F.col("c"), F.col("p")).alias("sim"))
+    """Each claim's nearest passage of its own section, and how well it holds; sections are multiplied in blocks."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label").where("label is not null and v is not null")
+    scored = vectors.nearest_within(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), "label", 1).select(F.col("query_id").alias("claim"), F.col("id").alias("passage"), "sim")
     best = relational.first_per_key(scored, ["claim"], [F.desc(F.round("sim", 9)), F.asc("passage")])
     state = F.when(F.col("sim") >= 0.25, "anchored").when(F.col("sim") >= 0.15, "weak").otherwise("unsupported")
     return best.select("claim", "passage", F.round("sim", 6).alias("similarity"), state.alias("state"))

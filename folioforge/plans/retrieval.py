@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as tx
 from folioforge.functions.vectors import cosine
-from folioforge.operators import ranking, relational
+from folioforge.operators import ranking, relational, vector_index
 from folioforge.plans.registry import query
+from folioforge.session import shared_dir
 from folioforge.tables import table
 
 POOL = 100
@@ -50,6 +53,29 @@ def w1_dense_topk(spark, sf_dir):
     return dense(spark, sf_dir).select("id", F.round("sim", 6).alias("similarity"), "rk")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> vector_index.Index:
+    """An index over all vectors in a folder of its own."""
+    return vector_index.build(table(spark, sf_dir, "embeddings"), f"{shared_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}")
+
+
+@query("""with p as (select a.vec_id as query_id, b.vec_id as vec_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as sim from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by round(sim, 9) desc, vec_id) as rk from p) select query_id, vec_id, round(sim, 6) as similarity, rk::int as rk from r where rk <= 3""")
+def v1_index_search(spark, sf_dir):
+    """W1, J7 through an inverted file: the three nearest others of every twentieth vector; cells that can't hold any are left out, no other."""
+    queries = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    found = vector_index.search(_index(spark, sf_dir), queries, 3, probes=8)
+    return found.select("query_id", "vec_id", F.round("sim", 6).alias("similarity"), "rk")
+
+
+@query()
+def v2_index_recall(spark, sf_dir):
+    """What probing ever more cells finds of the ten nearest of every twentieth vector, until nine tenths are found."""
+    index = _index(spark, sf_dir)
+    queries = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    best = vector_index.probes_for(index, queries, 10, 0.9)
+    return vector_index.recall(index, queries, 10, sorted({max(1, best // 4), max(1, best // 2), best}))
+
+
 @query(f"select id, hits::int as hits, rk::int as rk from ({_LEX}) where rk <= 100")
 def w2_lexical_or_rank(spark, sf_dir):
     """OR search ranked by matched positions."""

@@ -35,7 +35,7 @@ def test_exact_search_equals_all_pairs(index, points, how):
 
 
 def test_blocks_of_cells_and_queries(index, points, monkeypatch):
-    monkeypatch.setattr(vector_index, "BLOCK_VECTORS", 7)
+    monkeypatch.setattr(vectors, "BLOCK_VECTORS", 7)
     queries = points.where("vec_id % 3 = 0")
     assert rows(vector_index.search(index, queries, 2, probes=2)) == rows(vectors.nearest(points, queries, 2))
 

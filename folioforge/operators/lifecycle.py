@@ -130,12 +130,19 @@ def debounced(events: DataFrame, key: str, time: str, quiet_seconds: int, busy:
 
     def run(_: tuple, times: pd.DataFrame, spells: pd.DataFrame) -> pd.DataFrame:
         at = np.sort(times["t"].to_numpy())
-        since, until = (spells.sort_values("since")[c].to_numpy() for c in ("since", "until"))
+        # spells that meet are one; a due time inside moves to its end
+        spells = spells[spells["since"] < spells["until"]].sort_values("since")
+        since, until = (spells[c].to_numpy(np.int64) for c in ("since", "until"))
+        reach = np.maximum.accumulate(until) if len(until) else until
+        opens = np.concatenate([[True], since[1:] > reach[:-1]])[: len(since)]
+        begins = since[opens]
+        ends = reach[np.concatenate([np.flatnonzero(opens)[1:] - 1, [len(since) - 1]])] if len(since) else reach
         out, i = [], 0
         while i < len(at):
             due = int(at[i]) + quiet_seconds * 1_000_000
-            for a, b in zip(since, until, strict=True):
-                due = int(b) if a <= due < b else due
+            spell = int(np.searchsorted(begins, due, "right")) - 1
+            if spell >= 0 and due < ends[spell]:
+                due = int(ends[spell])
             j = int(np.searchsorted(at, due, "right"))
             out.append((times["k"].iloc[0], int(at[i]), due, j - i))
             i = j
@@ -189,6 +196,16 @@ def shelf_moves(shelves: DataFrame, shelf: str, parent: str, most: int, fewest:
     return found.where("action is not null").withColumn("into", F.when(F.col("action") == "merge", F.col("into")))
 
 
+def illegal_transitions(events: DataFrame, key: str, state: str, number: str, allowed: dict[str, list[str]], first: list[str], time: str = "ts") -> DataFrame:
+    """(key, number, before, state): a key's changes of state, in order of time and number, that ``allowed`` doesn't hold; it begins with one of ``first``."""
+    before = F.lag(state).over(Window.partitionBy(key).orderBy(time, number))
+    good = F.when(F.col("before").isNull(), F.col(state).isin(first))
+    for was, after in allowed.items():
+        good = good.when(F.col("before") == was, F.col(state).isin(after) if after else F.lit(False))
+    rows = events.withColumn("before", before).where(~F.coalesce(good.otherwise(F.lit(False)), F.lit(False)))
+    return rows.select(key, F.col(number).alias("number"), "before", F.col(state).alias("state"))
+
+
 def latest(events: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Each key's last row by a total order."""
     return events.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")

@@ -30,6 +30,19 @@ def st6_latest_state(spark, sf_dir):
     return lifecycle.latest(table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", F.col("event_type").alias("state"), "ts")
 
 
+#: A job's states, for which kinds of events stand here: queued (signup), running (view), yielded (click), done (purchase), failed (error).
+TRANSITIONS = {"signup": ["view", "error"], "view": ["click", "purchase", "error"], "click": ["view", "error"], "purchase": [], "error": ["signup"]}
+FIRST = ["signup"]
+_PAIRS = ", ".join(f"('{a}', '{b}')" for a, after in TRANSITIONS.items() for b in after)
+
+
+@query(f"""select user_id, event_id as number, before, state from (select user_id, event_id, event_type as state, lag(event_type) over (partition by user_id order by ts, event_id) as before from events)
+where case when before is null then state <> '{FIRST[0]}' else (before, state) not in (values {_PAIRS}) end""")
+def st6_illegal_transitions(spark, sf_dir):
+    """ST6: changes of a job's state that its rules don't allow (the streaming form holds the last state of each job)."""
+    return lifecycle.illegal_transitions(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", TRANSITIONS, FIRST)
+
+
 @query()
 def st2_debounce(spark, sf_dir):
     """ST2: rebuilds that each user's events reserve, ten minutes after the first; one due while the user's reading (errors, here) goes on waits for its end."""

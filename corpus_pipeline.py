@@ -3,7 +3,7 @@
 ``STAGES`` names the stages in order.  Each takes (spark, docs, sf_dir) and
 returns a DataFrame; all but the last return the columns of ``documents``.
 ``run`` writes each stage's rows as Parquet in the shared folder and reads them
-back as the next one's input.
+back as the next one's input; a stage's rows are deleted once the next one's are written.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import decontaminate, language, mixing, neardup, substring
-from folioforge.session import materialise
+from folioforge.session import discard, materialise
 from folioforge.tables import table
 
 
@@ -56,7 +56,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return docs

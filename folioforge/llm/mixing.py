@@ -81,9 +81,14 @@ def _rounded(groups: DataFrame, keys: list[str], order: str, seed: str) -> DataF
     return listed.withColumn("_out", F.expr(f"aggregate(transform(_units, y -> y.unit), {start}, {step})")).select(*keys, "_out.rest", "_out.done")
 
 
+def _row_key(doc_id: str, text: str, source: str, seed: str) -> Column:
+    """Hash of a row; its source counts, as one document may stand under several."""
+    return F.xxhash64(F.col(doc_id), F.col(text), F.col(source), F.col(source).isNull(), F.lit(seed))
+
+
 def mix(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken, source, copies, row_key): one row per row of ``docs``."""
-    key = F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed))
+    key = _row_key(doc_id, text, source, seed)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"), key.alias("row_key"))
     # rows that repeat are numbered, so that copies of one are dealt over all blocks
     rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
@@ -131,7 +136,9 @@ def mix(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", text: str =
 def mix_rows(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` that the mix takes, with size, source_size, target, taken and copies (1 or more)."""
     added = ["size", "source_size", "target", "taken", "copies"]
-    turn = Window.partitionBy("row_key").orderBy("row_key")
-    chosen = mix(docs, seed).where("copies > 0 and size > 0").select("row_key", *added).withColumn("turn", F.row_number().over(turn.orderBy(F.desc("copies"))))
-    keyed = docs.drop(*added).withColumn("row_key", F.xxhash64("doc_id", "text", F.lit(seed))).withColumn("turn", F.row_number().over(turn))
+    by_key = Window.partitionBy("row_key")
+    chosen = mix(docs, seed).where("copies > 0 and size > 0").select("row_key", *added).withColumn("turn", F.row_number().over(by_key.orderBy(F.desc("copies"))))
+    # rows that repeat id, text and source are told apart by all their columns
+    keyed = docs.drop(*added).withColumn("row_key", _row_key("doc_id", "text", "source", seed))
+    keyed = keyed.withColumn("turn", F.row_number().over(by_key.orderBy(*[c for c in docs.columns if c not in (*added, "text")])))
     return keyed.join(chosen, ["row_key", "turn"]).drop("row_key", "turn")

@@ -91,3 +91,17 @@ def test_rows_that_repeat_are_dealt_over_blocks(spark, frame):
         by[r["source"]] = (n + 1, taken + r["taken"], r["target"])
     assert {k: v[0] for k, v in by.items()} == {"a": 3000, "b": 6000}
     assert all(abs(taken - target) <= 6 for _, taken, target in by.values())
+
+
+def test_one_text_under_two_sources(spark, frame):
+    """Each row keeps its own source's numbers, and rows that differ in other columns alone are told apart."""
+    docs = frame([(1, "one two three", "en", "a"), (1, "one two three", "en", "b"), (1, "one two three", "de", None), (2, "w " * 30, "en", "b"), (3, "w " * 60, "en", None)])
+    sizes = {"a": 3, "b": 33, None: 63}
+    for seed in ("mix", "1", "2", "3"):
+        taken = {(r["doc_id"], r["source"]): r for r in mixing.mix(docs, seed).collect()}
+        rows = mixing.mix_rows(docs, seed).collect()
+        assert {(r["doc_id"], r["source"]): r["copies"] for r in rows} == {k: r["copies"] for k, r in taken.items() if r["copies"]}
+        assert all(r["source_size"] == sizes[r["source"]] and r["taken"] == r["size"] * r["copies"] and r["target"] == taken[r["doc_id"], r["source"]]["target"] for r in rows)
+    repeated = frame([(1, "a b c", lang, "s") for lang in ("en", "de", "fr")])
+    first = sorted(map(tuple, mixing.mix_rows(repeated).collect()))
+    assert len(first) == 3 and first == sorted(map(tuple, mixing.mix_rows(repeated.repartition(5)).collect()))

@@ -24,6 +24,7 @@ item_id where no other item has their text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ from folioforge.session import bound_batches, materialise
 
 Q, EDIT_SHARE, PART_CHARS = 8, 0.1, 4_000_000
 _TABLE_BITS = 21
+#: Postings that are met with a text's q-grams at once, about.
+HITS = 1 << 20
 
 
 def normalise(text: str) -> str:
@@ -66,7 +69,7 @@ class Index:
         named = [(i, normalise(t)) for i, t in items if t]
         self.items = [(i, t) for i, t in named if t]
         self.codes = [_codes(t) for _, t in self.items]
-        lengths = np.array([len(c) for c in self.codes], np.int64)
+        lengths = self.lengths = np.array([len(c) for c in self.codes], np.int64)
         self.short = [k for k, m in enumerate(lengths) if m < Q]
         self.edits = np.maximum(0, np.minimum(np.floor(share * lengths), (lengths - Q) // Q)).astype(np.int64)
         self.need = np.maximum(1, lengths + 1 - Q * (self.edits + 1))
@@ -84,16 +87,44 @@ class Index:
     def _cell(grams: np.ndarray) -> np.ndarray:
         return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in the codes, item, and place in the item of every shared q-gram."""
+    def lookup(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the codes whose q-gram some item has, and the q-gram's slot."""
         grams = _grams(codes)
         at = np.flatnonzero(self.table[self._cell(grams)])
         slot = np.minimum(np.searchsorted(self.grams, grams[at]), max(0, len(self.grams) - 1))
         same = self.grams[slot] == grams[at] if len(self.grams) else np.zeros(0, bool)
-        at, slot = at[same], slot[same]
+        return at[same], slot[same]
+
+    def bands(self, at: np.ndarray, slot: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+        """(item, band) of the bands of a text of ``size`` characters that reach their item's bound, per item in order.
+
+        Bands are twice as wide as the item's budget, each begun half a band after
+        the one before.  The text's q-grams are met with their postings some
+        ``HITS`` at a time; a band's hits are counted once the text is past it, so
+        what is held doesn't grow with how often text and item repeat a q-gram.
+        """
+        n_bands, wide = size + self.longest + 2, self.longest + 1
         count = self.count[slot]
-        place = np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(at) else np.zeros(0, np.int64)
-        return np.repeat(at, count), self.item[place], self.at[place]
+        ends = np.cumsum(count)
+        pending, first = np.zeros(0, np.int64), 0
+        while first < len(at):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + HITS, "right")))
+            n = count[first:last]
+            place = np.repeat(self.first[slot[first:last]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            item, own = self.item[place], self.at[place]
+            band = (np.repeat(at[first:last], n) - own + self.longest) // (self.edits[item] + 1)
+            # each place of an item counts once a band, so that a text's own repeats don't add up
+            pending = np.unique(np.concatenate([pending, *[(item * n_bands + b) * wide + own for b in (band, np.maximum(band - 1, 0))]]))
+            key = pending // wide
+            if last < len(at):
+                item, band = key // n_bands, key % n_bands
+                past = (band + 2) * (self.edits[item] + 1) - self.longest + self.lengths[item] <= at[last]
+            else:
+                past = np.ones(len(key), bool)
+            keys, counts = np.unique(key[past], return_counts=True)
+            keys = keys[counts >= self.need[keys // n_bands]]
+            yield from zip((keys // n_bands).tolist(), (keys % n_bands).tolist(), strict=True)
+            pending, first = pending[~past], last
 
 
 def align(item: np.ndarray, text: np.ndarray, first: int, width: int, edits: int) -> tuple[int, int, int] | None:
@@ -127,43 +158,34 @@ def align(item: np.ndarray, text: np.ndarray, first: int, width: int, edits: int
     return (int(cost[end]), min(max(0, int(begin[end])), len(text)), min(max(0, place), len(text))) if cost[end] <= edits else None
 
 
-def _find(index: Index, text: str, shift: np.ndarray, base: int, hits: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int]]:
+def _find(index: Index, text: str, shift: np.ndarray, base: int, at: np.ndarray, slot: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(item, distance, start, end) of the items found in one normalised text; offsets in the original."""
     found: dict[int, list[tuple[int, int, int]]] = {}
     codes = None
-    at, item, place = hits
-    if len(at):
-        # bands as wide as twice the item's budget, each begun half a band after the one before
-        half = index.edits[item] + 1
-        diagonal = at - place + index.longest
-        band = diagonal // half
-        bands = int(band.max()) + 1
-        # each place of an item counts once a band, so that a text's own repeats don't add up
-        places = np.unique(np.concatenate([(item * bands + b) * (index.longest + 1) + place for b in (band, np.maximum(band - 1, 0))]))
-        keys, counts = np.unique(places // (index.longest + 1), return_counts=True)
-        keys = keys[counts >= index.need[keys // bands]]
-        for k, b in zip((keys // bands).tolist(), (keys % bands).tolist(), strict=True):
-            m, e = len(index.codes[k]), int(index.edits[k])
-            first = b * (e + 1) - index.longest
-            low, high = max(0, first), min(len(text), first + 2 * (e + 1) + m)
-            if any(low <= s and t <= high and d == 0 for d, s, t in found.get(k, ())):
-                continue
-            exact = text.find(index.items[k][1], low, high)
-            if exact >= 0:
-                found.setdefault(k, []).append((0, exact, exact + m))
-                continue
-            codes = _codes(text) if codes is None else codes
-            if (got := align(index.codes[k], codes, first, 2 * (e + 1), e)) is not None:
-                found.setdefault(k, []).append(got)
+    for k, b in index.bands(at, slot, len(text)):
+        m, e = len(index.codes[k]), int(index.edits[k])
+        first = b * (e + 1) - index.longest
+        low, high = max(0, first), min(len(text), first + 2 * (e + 1) + m)
+        # bands come in order, so what lies in this one is among the last found
+        if any(low <= s and t <= high and d == 0 for d, s, t in found.get(k, [])[-4:]):
+            continue
+        exact = text.find(index.items[k][1], low, high)
+        if exact >= 0:
+            found.setdefault(k, []).append((0, exact, exact + m))
+            continue
+        codes = _codes(text) if codes is None else codes
+        if (got := align(index.codes[k], codes, first, 2 * (e + 1), e)) is not None:
+            found.setdefault(k, []).append(got)
     for k in index.short:
         if (exact := text.find(index.items[k][1])) >= 0:
             found.setdefault(k, []).append((0, exact, exact + len(index.items[k][1])))
     out = []
     for k, places in found.items():
-        taken: list[tuple[int, int]] = []
-        for d, s, t in sorted(places):
-            if all(t <= x or y <= s for x, y in taken):
-                taken.append((s, t))
+        taken: list[tuple[int, int]] = []  # in order, none over another
+        for d, s, t in sorted(set(places)):
+            i = bisect_left(taken, (s, t))
+            if (i == 0 or taken[i - 1][1] <= s) and (i == len(taken) or t <= taken[i][0]) and (s, t) not in taken[i : i + 1]:
+                taken.insert(i, (s, t))
                 out.append((k, d, int(shift[base + s]), int(shift[base + t - 1]) + 1 if t > s else int(shift[base + s])))
     return out
 
@@ -234,17 +256,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 rows: list[tuple] = []
                 for block in textcore.blocks(batch.column(1), lower=True):
                     codes, shift, row_first, texts = _normalised(block)
-                    at, item, place = index.hits(codes)
+                    at, slot = index.lookup(codes)
                     # a q-gram that reaches over a row's end is none
                     row = np.searchsorted(row_first, at, "right") - 1
                     inside = at + Q <= row_first[row + 1]
-                    at, item, place, row = at[inside], item[inside], place[inside], row[inside]
+                    at, slot, row = at[inside], slot[inside], row[inside]
                     bounds = np.searchsorted(row, np.arange(len(texts) + 1))
                     todo = range(len(texts)) if index.short else np.unique(row)
                     for r in todo:
                         s = slice(bounds[r], bounds[r + 1])
                         base = int(row_first[r])
-                        rows += [(ids[block.first + r], index.items[k][0], d, a, b) for k, d, a, b in _find(index, texts[r], shift, base, (at[s] - base, item[s], place[s]))]
+                        rows += [(ids[block.first + r], index.items[k][0], d, a, b) for k, d, a, b in _find(index, texts[r], shift, base, at[s] - base, slot[s])]
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())

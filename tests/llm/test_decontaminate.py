@@ -76,7 +76,7 @@ def test_alignment_takes_time_by_length_times_budget():
     index = dc.Index([(1, item)])
     began = time.perf_counter()
     at = np.arange(len(text) - 7)
-    got = dc._find(index, text, np.arange(len(text) + 1), 0, index.hits(dc._codes(text)))
+    got = dc._find(index, text, np.arange(len(text) + 1), 0, *index.lookup(dc._codes(text)))
     assert len(at) and [x[0] for x in got] == [0] and got[0][1] <= 300
     assert time.perf_counter() - began < 10
 

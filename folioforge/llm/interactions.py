@@ -62,8 +62,11 @@ def text_flags(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         "D": F.col("whole").rlike(SYMBOLS),
     }
     narrow = materialise(words.select("part", "id", F.unhex(F.sha2("whole", 256)).alias("digest"), *[c.alias(n) for n, c in flags.items()]), "flags", narrow=True)
+    # written before they are joined, so that a digest or id that many rows share can be split
     firsts = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    firsts = materialise(firsts, "firsts", narrow=True)
     marks = labels.groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
+    marks = materialise(marks, "marks", narrow=True)
     out = narrow.join(firsts, "digest", "left").withColumn("E", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
     return out.join(marks, "id", "left").select("part", *"ABCDE", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
 

@@ -10,7 +10,8 @@ much of them is links.  Menus,
 page headers and footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments are cut out of the tree beforehand, by element, role, or a
 name of class or id that consists of words for furniture alone; words that an
-article may be about count only on elements that hold less than half of the page's text.
+article may be about don't count on elements that hold an article's mark (its heading, element or name),
+nor on a page that has no paragraph elsewhere.
 
 Pages are read in time and memory in proportion to their length, however deep
 elements are nested.
@@ -61,6 +62,7 @@ _COMMON = set(
     "js id fixed sticky mobile desktop user users reader thread media posts articles stories news us this here footer header".split()
 )
 _OWN = {"article", "entry", "story", "post"}
+_MARKS = {"article", "content", "entry", "story", "post", "hentry"}
 _ARTICLE = set("article content entry post story main body text hentry page column".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}}
@@ -76,7 +78,7 @@ _ITEMS = _CLOSED_BY.keys() | set().union(*_SCOPES.values())
 class Node:
     """An element: kids are nodes and texts in page order; block and item are the nearest such elements, itself included."""
 
-    __slots__ = ("block", "chars", "commas", "drop", "inside", "item", "kids", "linked", "names", "own", "parent", "score", "tag")
+    __slots__ = ("block", "chars", "commas", "drop", "inside", "item", "kids", "linked", "marked", "names", "own", "parent", "score", "tag")
 
     def __init__(self, tag: str, parent: Node | None, names: tuple = (), drop: bool = False):
         self.tag, self.parent, self.kids, self.score, self.names, self.drop = tag, parent, [], 0.0, names, drop
@@ -84,6 +86,7 @@ class Node:
         self.item = self if tag in _ITEMS else parent and parent.item
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.own = self.chars = self.commas = self.linked = 0
+        self.marked = False
 
 
 def _attributes(page: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
@@ -235,6 +238,7 @@ def _counted(nodes: list[Node]) -> None:
     """Characters, commas and linked characters of every element; in reverse page order all below an element comes before it."""
     for node in nodes:
         node.own = node.chars = node.commas = node.linked = 0
+        node.marked = False
     for node in reversed(nodes):
         for k in node.kids:
             if isinstance(k, str):
@@ -245,9 +249,10 @@ def _counted(nodes: list[Node]) -> None:
             node.linked = node.chars
         if (up := node.parent) is not None:
             up.chars, up.commas, up.linked = up.chars + node.chars, up.commas + node.commas, up.linked + node.linked
+            up.marked |= node.marked or node.tag in ("article", "main", "h1") or any(w in _MARKS for words in node.names for w in words)
 
 
-def _is_furniture(node: Node, total: int) -> bool:
+def _is_furniture(node: Node, doubtful: bool) -> bool:
     if node.drop or node.tag in _CHROME:
         return True
     if node.tag == "header" and not node.parent.inside:
@@ -261,20 +266,19 @@ def _is_furniture(node: Node, total: int) -> bool:
             continue
         if not found <= _DOUBTFUL:
             return True
-        # doubtful words mean nothing in a name like article-header, nor on what holds most of the page's text
-        if not named & _OWN and 2 * node.chars <= total:
+        # doubtful words mean nothing in a name like article-header, nor on what holds an article's mark
+        if doubtful and not named & _OWN and not node.marked:
             return True
     return False
 
 
-def prune(nodes: list[Node]) -> list[Node]:
-    """Cut page furniture out of the tree; what stays, in page order."""
+def prune(nodes: list[Node], doubtful: bool = True) -> list[Node]:
+    """Cut page furniture out of the tree, by doubtful names too unless told; what stays, in page order."""
     _counted(nodes)
-    total = nodes[0].chars
     gone: set[int] = set()
     kept = []
     for node in nodes:
-        if node.parent is not None and (id(node.parent) in gone or _is_furniture(node, total)):
+        if node.parent is not None and (id(node.parent) in gone or _is_furniture(node, doubtful)):
             gone.add(id(node))
         else:
             kept.append(node)
@@ -333,7 +337,7 @@ def _lines(kept: list[Node | str]) -> list[str]:
 
 
 #: Siblings that belong to the kept ones they stand between or beside, however short.
-_MINOR = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "header", "ul", "ol", "dl", "table", "p", "blockquote", "pre", "figure"}
+_MINOR = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "header", "ul", "ol", "dl", "table", "p", "blockquote", "pre", "figure", "div", "section"}
 
 
 def _minor(sibling: Node) -> bool:
@@ -369,6 +373,9 @@ def extract(page: str | None) -> str:
         return ""
     nodes = prune(parse(page))
     score(nodes)
+    if not any(n.score > 0 for n in nodes):  # no paragraph is outside what bears a doubtful name
+        nodes = prune(parse(page), doubtful=False)
+        score(nodes)
     best = max(nodes, key=lambda n: n.score)  # the first, so the outermost, of equals
     if best.score <= 0:
         best = next((n for n in nodes if n.tag in ("article", "main")), nodes[0])

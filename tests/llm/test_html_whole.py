@@ -82,3 +82,20 @@ def test_made_pages_equal_plain_substitution():
         body = "".join(rng.choice(kinds)() for _ in range(rng.randint(1, 14)))
         page = f"<html><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>{words(1, 5)}</h1><p>{words(30, 60)}</p>{body}</article><footer>{words(5, 30)}</footer></body></html>"
         assert html_text.extract(page) == brute(page), page
+
+
+@pytest.mark.parametrize("words", [1, 3, 40, 400])
+def test_a_widget_goes_however_short_the_article(words):
+    article = "A line, of the article. " * words
+    for name in ("widget", "social share", "disclaimer", "header banner"):
+        page = f'<body><div class="{name}"><p>{"Text, of something else, that is long. " * 30}</p></div><div class="content"><h1>T</h1><p>{article}</p></div></body>'
+        assert html_text.extract(page) == "T\n" + article.strip()
+        alone = f'<body><div class="{name}"><p>{article}</p></div><p></p></body>'
+        if words > 1:
+            assert html_text.extract(alone) == article.strip()
+
+
+def test_short_siblings_of_the_container_stay():
+    long = "Some long, long paragraph of the article, with commas. " * 4
+    page = "<div id=wrap><div>An opening.</div><div class=text><p>" + long + "</p></div><section>Short closing line.</section><div><a href=x>links alone</a></div></div>"
+    assert html_text.extract(page) == "An opening.\n" + long.strip() + "\nShort closing line."

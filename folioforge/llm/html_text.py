@@ -373,7 +373,7 @@ def extract(page: str | None) -> str:
         return ""
     nodes = prune(parse(page))
     score(nodes)
-    if not any(n.score > 0 for n in nodes):  # no paragraph is outside what bears a doubtful name
+    if not nodes[0].marked and not any(n.score > 0 for n in nodes):  # no paragraph is outside what bears a doubtful name
         nodes = prune(parse(page), doubtful=False)
         score(nodes)
     best = max(nodes, key=lambda n: n.score)  # the first, so the outermost, of equals

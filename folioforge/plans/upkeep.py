@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioforge.functions import params
 from folioforge.functions import text as tx
 from folioforge.functions.vectors import cosine
-from folioforge.operators import lifecycle, relational, vectors
+from folioforge.operators import digests, lifecycle, relational, store, vectors
 from folioforge.plans.registry import query
 from folioforge.plans.retrieval import probe
+from folioforge.session import shared_dir
 from folioforge.sources import records
 from folioforge.tables import table
 
@@ -141,3 +144,42 @@ def m11_assign_tags(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("tag"), F.when(F.col("l_linenumber") == 1, "shelf").otherwise("reader").alias("origin")).distinct()
     fresh = rows.select("doc").distinct().select("doc", F.lit("N").alias("tag"))
     return relational.assign_tags(rows, fresh, "doc", "tag")
+
+
+_LINES = "select coalesce(source, '') as part, doc_id::varchar as key, doc_id || chr(9) || {} as line from {}"
+_NODE = "select part, {level}::int as level, node, n::bigint as n, digest from {table}"
+
+
+@query(f"""with l as ({_LINES.format("sha256(text)", "documents")}), c as (select part, left(md5(line), 2) as node, line, count(*) as k from l group by all),
+n2 as (select part, node, sum(k) as n, sha256(string_agg(line || chr(9) || k, chr(10) order by line || chr(9) || k)) as digest from c group by all),
+n1 as (select part, left(node, 1) as node, sum(n) as n, sha256(string_agg(n2.node || chr(9) || digest, chr(10) order by n2.node || chr(9) || digest)) as digest from n2 group by part, left(node, 1)),
+n0 as (select part, '' as node, sum(n) as n, sha256(string_agg(n1.node || chr(9) || digest, chr(10) order by n1.node || chr(9) || digest)) as digest from n1 group by part)
+{" union all ".join(_NODE.format(level=i, table=f"n{i}") for i in range(3))}""")
+def s13_digest_tree(spark, sf_dir):
+    """An export's manifest as a digest tree by source: every node of three levels."""
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
+    return digests.tree(rows, 8, part="source", key="doc_id", digest="h").select("part", "level", "node", "n", "digest")
+
+
+@query(f"""with a as ({_LINES.format("sha256(text)", "documents where source <> 'src3'")}), b as ({_LINES.format("sha256(case when doc_id % 97 = 5 then text || '.' else text end)", "documents where source <> 'src4'")}),
+m as (select part, key, string_agg(line, ';' order by line) as x from a group by all), o as (select part, key, string_agg(line, ';' order by line) as x from b group by all)
+select coalesce(m.part, o.part) as part, coalesce(m.key, o.key) as key, case when o.x is null then 'missing' when m.x is null then 'added' else 'changed' end as state
+from m full join o on m.part = o.part and m.key = o.key where m.x is distinct from o.x""")
+def s14_changed_rows(spark, sf_dir):
+    """The rows of an import that differ from what was sent, found by descent of two digest trees; here a source is missing, one isn't listed, and some texts were changed."""
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    changed = F.when(F.col("doc_id") % 97 == 5, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    sent, came = (df.select("source", "doc_id", F.sha2("text", 256).alias("h")) for df in (rows.where("source <> 'src3'"), rows.where("source <> 'src4'").withColumn("text", changed)))
+    return digests.changed_rows(sent, came, 8, part="source", key="doc_id", digest="h")
+
+
+@query("""with d as (select sha256(text) as h, length(text) as n from documents where text is not null), f as (select distinct h from d where h < '8')
+select h as hash, max(n)::bigint as n_chars, h in (select h from f) as first_run from d group by h""")
+def s12_write_once(spark, sf_dir):
+    """A store of texts' lengths by content, filled in two runs, the second of which writes what the first hasn't; what each run wrote."""
+    texts = table(spark, sf_dir, "documents").where("text is not null").select(F.sha2("text", 256).alias("hash"), F.length("text").cast("bigint").alias("n_chars"))
+    held = store.Store(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}", "hash string, n_chars bigint")
+    held.append(texts.where("hash < '8'"))
+    held.append(texts)
+    first = held.read(1).select("hash", F.lit(True).alias("first_run"))
+    return held.read().join(first, "hash", "left").select("hash", "n_chars", F.coalesce("first_run", F.lit(False)).alias("first_run"))

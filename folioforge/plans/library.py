@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioforge.operators import density, lifecycle, relational, vectors
+from folioforge.operators import closures, density, lifecycle, relational, vectors
 from folioforge.plans.registry import query
 from folioforge.tables import table
 
@@ -202,3 +202,35 @@ def p22_taxonomy_sane(spark, sf_dir):
     tree = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.lower("n_name").alias("name"), F.col("r_name").alias("top"))
     filler = F.max(F.col("name").rlike("^(other|misc|general|various)"))
     return tree.groupBy("top").agg(F.count("*").alias("subs"), F.count_distinct("name").alias("d"), filler.alias("f")).select("top", "subs", ((F.col("d") == F.col("subs")) & (F.col("subs") >= 2) & ~F.col("f")).alias("sane"))
+
+
+@query("""with recursive e as (select 'nation' as owner_kind, c_nationkey::bigint as owner_id, 'customer' as kind, c_custkey::bigint as id from customer
+union all select 'customer', o_custkey, 'orders', o_orderkey from orders union all select 'orders', l_orderkey, 'lineitem', l_orderkey * 10 + l_linenumber from lineitem),
+g(kind, id, depth) as (select 'nation', n_nationkey::bigint, 0 from nation where n_regionkey = 2 union select e.kind, e.id, depth + 1 from g join e on e.owner_kind = g.kind and e.owner_id = g.id)
+select kind, depth::int as depth, count(distinct id) as n, min(id) as least, max(id) as most from g group by all""")
+def m13_cascade(spark, sf_dir):
+    """All that goes with a region's nations, over three levels of owners of any kind: counts and ends of each."""
+    owned = lambda name, owner, of, kind, key: table(spark, sf_dir, name).select(F.lit(owner).alias("owner_kind"), F.col(of).cast("bigint").alias("owner_id"), F.lit(kind).alias("kind"), key.cast("bigint").alias("id"))
+    edges = owned("customer", "nation", "c_nationkey", "customer", F.col("c_custkey"))
+    edges = edges.unionByName(owned("orders", "customer", "o_custkey", "orders", F.col("o_orderkey")))
+    edges = edges.unionByName(owned("lineitem", "orders", "l_orderkey", "lineitem", F.col("l_orderkey") * 10 + F.col("l_linenumber")))
+    seeds = table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.lit("nation").alias("kind"), F.col("n_nationkey").cast("bigint").alias("id"))
+    gone = closures.cascade(edges, seeds)
+    return gone.groupBy("kind", "depth").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
+
+
+@query("""with recursive l as (select p_partkey as old, case when p_partkey % 60 = 30 then p_partkey + 4 else p_partkey - 1 end as now from part where p_partkey % 6 <> 0 or p_partkey % 60 = 30),
+w(old, now, steps) as (select old, now, 1 from l union all select w.old, l.now, steps + 1 from w join l on l.old = w.now where steps < 12),
+r as (select old, max(steps) as steps, max_by(now, steps) as now from w group by old)
+select old, case when steps < 12 then now end as now, case when steps < 12 then steps end::bigint as steps, steps = 12 as circular from r""")
+def m9_alias_chains(spark, sf_dir):
+    """What names came to be called over chains of merges, and those merged in a circle; here runs of six keys and some circles."""
+    key = F.col("p_partkey")
+    merged = table(spark, sf_dir, "part").where((key % 6 != 0) | (key % 60 == 30)).select(key.alias("old"), F.when(key % 60 == 30, key + 4).otherwise(key - 1).alias("now"))
+    return closures.resolved(merged)
+
+
+@query()
+def v3_plane(spark, sf_dir):
+    """§2.8: vectors drawn on a plane by their first two principal components, each stretched to 0 to 1."""
+    return closures.plane(table(spark, sf_dir, "embeddings")).select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

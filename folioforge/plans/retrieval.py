@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as tx
 from folioforge.functions.vectors import cosine
-from folioforge.operators import ranking, relational, vector_index
+from folioforge.operators import postings, ranking, relational, vector_index
 from folioforge.plans.registry import query
 from folioforge.session import shared_dir
 from folioforge.tables import table
@@ -41,10 +41,10 @@ def dense(spark: SparkSession, sf_dir: str, pool: int = POOL) -> DataFrame:
 
 
 def lexical(spark: SparkSession, sf_dir: str, terms: list[str] = TERMS, pool: int = POOL) -> DataFrame:
-    """(id, hits, rk): documents by the number of tokens that match a term."""
-    hits = F.size(F.filter(tx.tokens(F.col("text")), lambda w: w.isin(terms)))
-    scored = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), hits.alias("hits")).where("hits > 0")
-    return ranking.top_ranked(scored, [F.desc("hits"), F.asc("id")], pool)
+    """(id, hits, rk): documents by the number of tokens that match a term, from stored postings."""
+    index = postings.index_of(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    found = postings.search(index, terms, pool).select("id", F.col("hits").cast("int").alias("hits"))
+    return ranking.top_ranked(found, [F.desc("hits"), F.asc("id")], pool)
 
 
 @query(f"select id, round(sim, 6) as similarity, rk::int as rk from ({_DENSE}) where rk <= 100")

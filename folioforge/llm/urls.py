@@ -7,6 +7,9 @@ mostly block are blocked seeds; trust runs along the links from host to host
 distrust exceeds trust by ``THRESHOLD``.  A seed starts with 1, so the
 threshold means the same for any number of hosts.
 
+The mass of ``FOLD`` rounds at most lies in the shared folder, beside the links and the
+sum of the rounds before; what no round reads any more is deleted.
+
 Defined results: a null url, or one without ``://``, has an empty host and
 path, no rule, and is allowed; a null html has no links; with equal lengths the
 rule listed first wins; repeated rows get equal verdicts and count as pages of
@@ -15,14 +18,18 @@ their own; other columns don't matter.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.session import materialise
+from folioforge.session import discard, materialise
 
 DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.1
 #: Mass under way, over all hosts, at which propagation ends: no host's can change by more than six times that.
 TOLERANCE = 1e-9
+#: Rounds whose mass is kept apart before it is summed up, so that a round writes what moves and not all hosts.
+FOLD = 8
 #: (verdict, host, path) of the driver's contract.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -66,22 +73,30 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, mass): PageRank mass from the seeds (host) along edges (src, dst, n), a host's mass split by n; ``rounds`` None goes on until it has converged."""
-    start = materialise(seeds.select("host", F.lit(1.0).alias("mass")), "seeds")
+    start = materialise(seeds.select("host", F.lit(1.0).alias("mass")), "seeds", narrow=True)
     total = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    flow = materialise(edges.join(total, "src").select("src", "dst", (damping * F.col("n") / F.col("total")).alias("share")), "flow")
+    flow = materialise(edges.join(total, "src").select("src", "dst", (damping * F.col("n") / F.col("total")).alias("share")), "flow", narrow=True)
     if not flow.limit(1).count():
+        discard(flow)
         return start
-    mass = moving = start
-    done = 0
+    # what each round brought, and the sum of the rounds before; the sum is written anew every FOLD rounds
+    brought, used, moving, done = [start], [], start, 0
     while rounds is None or done < rounds:
         done += 1
         # each round moves on what the last one brought
         sent = moving.join(flow, moving["host"] == flow["src"]).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share")).alias("mass"))
-        moving = materialise(sent.groupBy("host").agg(F.sum("mass").alias("mass")), "moving")
-        mass = materialise(mass.unionByName(moving).groupBy("host").agg(F.sum("mass").alias("mass")), "mass")
-        if (moving.agg(F.sum("mass")).first()[0] or 0.0) <= tolerance:
+        moving = materialise(sent.groupBy("host").agg(F.sum("mass").alias("mass")), "moving", narrow=True)
+        # the whole mass that still moves bounds what any host can get from it
+        ended = (moving.agg(F.sum("mass")).first()[0] or 0.0) <= tolerance
+        brought.append(moving)
+        if len(brought) > FOLD or ended or done == rounds:
+            summed = materialise(reduce(DataFrame.unionByName, brought).groupBy("host").agg(F.sum("mass").alias("mass")), "mass", narrow=True)
+            discard(*[b for b in brought if b is not moving], *used)
+            used, brought = [moving], [summed]  # the next round still reads what this one brought
+        if ended:
             break
-    return mass
+    discard(flow, *used)
+    return brought[0]
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:

@@ -73,6 +73,16 @@ def s16_format_lines(spark, sf_dir):
     return rows.select("event_id", records.line(record, "{event_type|upper} by {user_id}: {event_type|trunc:3} {missing|default:none}").alias("line"))
 
 
+@query("""with r as (select user_id, row_number() over (partition by user_id order by ts, event_id) as n, count(*) over (partition by user_id) as total,
+upper(event_type) || ' {"k":' || regexp_extract(props, '[0-9]+') || '}' as line from events)
+select user_id, string_agg(line, chr(10) order by n) || case when max(total) > 3 then chr(10) || '… and ' || (max(total) - 3) || ' more' else '' end as rendered from r where n <= 3 group by user_id""")
+def s17_rendered_rows(spark, sf_dir):
+    """§2.8: each user's first three events as lines with a JSON field, and how many more there are."""
+    rows = table(spark, sf_dir, "events")
+    record = F.to_json(F.struct("event_type", F.from_json("props", "k int").alias("props")))
+    return records.render_rows(rows.withColumn("record", record), "user_id", "record", "{event_type|upper} {props|json}", 3, [F.asc("ts"), F.asc("event_id")])
+
+
 @query("""select event_id, (user_id % 3)::int as level, (user_id % 3) <= 1 and event_type <> 'purchase' as usable from events""")
 def c8_source_gating(spark, sf_dir):
     """Records usable under a ceiling and a clearance."""

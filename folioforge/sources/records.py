@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MIN_BYTES, SAMPLE_CHARS, FEW_LINES = 200, 6000, 12
@@ -59,7 +59,7 @@ def csv_rows(df: DataFrame, column: str, fields: list[str]) -> DataFrame:
 
 
 def line(record: Column, template: str) -> Column:
-    """A line from a template of ``{path|filter|...}`` parts: upper, lower, trunc:n, default:x, date, join, count."""
+    """A line from a template of ``{path|filter|...}`` parts: upper, lower, trunc:n, default:x, date, join, count, json (of the path's own value)."""
     out = []
     for literal, field in re.findall(r"([^{]+)|\{([^}]*)\}", template):
         if literal:
@@ -80,6 +80,9 @@ def line(record: Column, template: str) -> Column:
                 value = F.coalesce(F.array_join(items, arg or ", "), value)
             elif name == "count":
                 value = F.coalesce(F.size(items), F.lit(0)).cast("string")
+            elif name == "json":  # the value as JSON, strings in quotes, 300 characters at most
+                whole = F.try_variant_get(F.try_parse_json(record), f"$.{path.strip()}", "variant")
+                value = F.substring(F.coalesce(F.to_json(whole), F.lit("null")), 1, 300)
             elif name == "date":  # seconds, or milliseconds beyond 1e11
                 number = value.try_cast("double")
                 moment = F.when(number.isNotNull(), F.timestamp_millis(F.when(number > 1e11, number).otherwise(number * 1000).cast("bigint"))).otherwise(F.try_to_timestamp(value))
@@ -90,6 +93,22 @@ def line(record: Column, template: str) -> Column:
     return F.trim(F.regexp_replace(F.concat(*out), r"\s+", " "))
 
 
+def render_rows(df: DataFrame, key: str, record: str, template: str, limit: int, order: list[Column], empty: str = "") -> DataFrame:
+    """(key, rendered): the lines of each key's first ``limit`` records, and how many more there are; ``empty`` where no line says anything.
+
+    Only the first records of a key are brought together; the others are counted where they are.
+    """
+    first = df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= limit)
+    made = first.select(key, "_n", line(F.col(record), template).alias("_line"))
+    lines = F.array_sort(F.collect_list(F.when(F.col("_line") != "", F.struct("_n", "_line"))))
+    texts = made.groupBy(key).agg(F.array_join(F.transform(lines, lambda x: x["_line"]), "\n").alias("_text"))
+    counts = df.groupBy(key).agg(F.count("*").alias("_rows"))
+    more = F.when(F.col("_rows") > limit, F.concat(F.lit("\n… and "), (F.col("_rows") - limit).cast("string"), F.lit(" more"))).otherwise("")
+    whole = F.concat(F.coalesce("_text", F.lit("")), more)
+    held = counts.join(texts.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left")
+    return held.select(key, F.when(whole == "", F.lit(empty)).otherwise(whole).alias("rendered"))
+
+
 def summary(df: DataFrame, column: str, template: str) -> DataFrame:
     """One line over all records: ``{count}``, ``{distinct:path}``, ``{sum:path}``, ``{max:path}``."""
     out = []

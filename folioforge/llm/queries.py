@@ -108,6 +108,9 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
 
+ORACLES["op12_conversation_repair"] = repair.oracle()
+
+
 @query
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of 4,096: one row per piece, its ids as a checksum."""

@@ -288,3 +288,46 @@ def damaged_and_repaired(rows: DataFrame) -> DataFrame:
     whole = every.withColumnRenamed("conv_id", "_c").join(out, F.col("_c").eqNullSafe(F.col("conv_id")), "left").drop("conv_id").withColumnRenamed("_c", "conv_id")
     empty = {"audit": "", "signature": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()}
     return whole.select("conv_id", *[F.coalesce(F.col(c), F.lit(empty.get(c, 0)).cast(t)).alias(c) for c, t in out.dtypes if c != "conv_id"])
+
+
+def oracle() -> str:
+    """DuckDB SQL with the rows of ``op12_conversation_repair``: CRC-32 bit by bit, then the same states turn by turn, with whole edits as strings.
+
+    Turns of one number go by role alone here, which is enough where a conversation has no two.
+    """
+    key = "list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint)"
+    bit = "case when a & 1 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end"
+    crc = f"xor(list_reduce(list_concat([4294967295::bigint], {key}), lambda acc, b: list_reduce(list_concat([xor(acc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda a, z: {bit})), 4294967295::bigint)"
+    grown = lambda x, cost, edit: f"case when {x} is not null then {{'c': {x}.c + {cost}, 'a': {x}.a || '{edit}'}} end"
+    fault = f"(case when l between 'A' and 'Z' then {TRUNCATED} else 0 end)"
+    move = lambda x, role: f"case when l = '{GONE}' then null when lower(l) = '{role}' then {grown(x, f'{KEEP} + {fault}', 'K')} else {grown(x, f'{REROLE} + {fault}', 'R')} end"
+    state = "struct(c bigint, a varchar)"
+    return f"""
+    with recursive f as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc} % 20 as fate from conversations),
+    r as (select conv_id, turn, copy, case when fate = 4 then 'user' else role end as role,
+            case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+          from f join (values (0), (1)) c(copy) on copy = 0 or fate = 3 where fate <> 0),
+    p as (select *, row_number() over w as pos, lag(left(role, 1)) over w || left(role, 1) as pair, regexp_extract(text, '(?s)^.*([^\\x20\\x09-\\x0D])', 1) as last,
+            row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again from r window w as (partition by conv_id order by turn nulls first, role, copy)),
+    q as (select *, case when last = '' then 'blank' when again then 'duplicate' when last not in ('.', '!', '?') then 'truncated' end as fault,
+            case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'o' end as known from p),
+    s as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+            count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal,
+            string_agg(case when fault in ('blank', 'duplicate') then '{GONE}' when fault = 'truncated' then upper(known) else known end, '' order by pos) as sig,
+            list(role order by pos) as roles, list(text order by pos) as texts from q group by conv_id),
+    d(conv_id, i, l, b0, b1, b2, b3) as (
+        select conv_id, 0::bigint, sig[1], {{'c': 0, 'a': ''}}::{state}, null::{state}, null::{state}, null::{state} from s
+        union all
+        select conv_id, i + 1, sig[i + 2], {grown('e0', DELETE, 'D')}, least({grown('e1', DELETE, 'D')}, case when lower(l) = 's' then {grown('e0', f'{KEEP} + {fault}', 'K')} end),
+            least({grown('e2', DELETE, 'D')}, {move('e0', 'u')}, {move('e1', 'u')}, {move('e3', 'u')}), least({grown('e3', DELETE, 'D')}, {move('e2', 'a')})
+        from (select *, least(b3, {grown('e2', INSERT, 'I')}) as e3 from
+              (select d.*, sig, b0 as e0, b1 as e1, least(b2, {grown('b0', INSERT, 'I')}, {grown('b1', INSERT, 'I')}, {grown('b3', INSERT, 'I')}) as e2 from d join s using (conv_id) where i < length(sig)))),
+    best as (select conv_id, least(b0, b3, {grown('u', INSERT, 'I')}) as e from
+             (select d.*, least(b2, {grown('b0', INSERT, 'I')}, {grown('b1', INSERT, 'I')}, {grown('b3', INSERT, 'I')}) as u from d join s using (conv_id) where i = length(sig))),
+    k as (select conv_id, e.c as cost, e.a as audit, unnest(range(1, length(e.a) + 1)) as place from best),
+    m as (select *, audit[place] as edit, length(replace(audit[1:place], 'I', '')) as n, length(replace(audit[1:place], 'D', '')) as j from k),
+    o as (select m.*, roles[n] as role, texts[n] as text, max(case when j = 1 and edit = 'K' and left(roles[n], 1) = 's' then 1 else 0 end) over (partition by m.conv_id) as led from m join s using (conv_id)),
+    t as (select conv_id, string_agg((case when edit = 'K' then role when (j - led) % 2 = 1 then 'user' else 'assistant' end) || ':' || (case when edit = 'I' then '' else text end), chr(10) order by place) as whole from o where edit <> 'D' group by conv_id)
+    select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+           coalesce(e.c, 0)::bigint as cost, coalesce(e.a, '') as audit, sha256(coalesce(whole, '')) as repaired_sha256, coalesce(sig, '') as signature
+    from (select distinct conv_id from conversations) c left join s using (conv_id) left join best using (conv_id) left join t using (conv_id)"""

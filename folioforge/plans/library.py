@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from folioforge.operators import closures, density, lifecycle, relational, vectors
+from folioforge.operators import claims, closures, density, lifecycle, relational, vectors
 from folioforge.plans.registry import query
+from folioforge.session import shared_dir
 from folioforge.tables import table
 
 _SIM = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
@@ -89,6 +92,27 @@ def m8_fold_category(spark, sf_dir):
     return lifecycle.fold(rows, "part", [1, 2], 0)
 
 
+@query("""with s as (select conv_id as artifact, conv_id % 50 as cluster, turn, role, text, conv_id || chr(9) || text as line from conversations where text is not null and turn is not null),
+told as (select distinct cluster, text from s where role = 'user'), c as (select s.*, t.text is not null as said from s left join told t on t.cluster = s.cluster and t.text = s.text),
+k as (select cluster, cluster % 3 as turnout, string_agg(line, chr(10) order by line) as every, string_agg(line, chr(10) order by line) filter (where said) as stated,
+string_agg(line, chr(10) order by line) filter (where case cluster % 3 when 0 then true when 1 then said else turn > 0 end) as built, count(*) as n, count(*) filter (where said) as m from c group by cluster)
+select cluster, case when built is null then null when every = built then 'every' when stated = built then 'stated' else 'left' end as how, case when every = built then n when stated = built then m else 0 end as claims from k where built is not null""")
+def m6_backfill(spark, sf_dir):
+    """M6: claim rows of clusters built before they were kept, recomputed from their keys; here conversations are sections, a third of the clusters kept all claims, a third what users said, the rest lost their first turns."""
+    rows = table(spark, sf_dir, "conversations").where("text is not null and turn is not null")
+    said = rows.select(F.col("conv_id").alias("artifact"), F.col("turn").cast("int").alias("claim_index"), "text", "role", (F.col("conv_id") % 50).alias("cluster"))
+    listed = said.where("role = 'user'").select("cluster", "text").distinct()
+    marked = said.join(listed.withColumn("told", F.lit(True)), ["cluster", "text"], "left")
+    kept = F.when(F.col("cluster") % 3 == 0, F.lit(True)).when(F.col("cluster") % 3 == 1, F.coalesce("told", F.lit(False))).otherwise(F.col("claim_index") > 0)
+    built = marked.groupBy("cluster").agg(claims.set_key(F.col("artifact"), F.col("text"), kept).alias("member_key"))
+    clusters = built.join(listed.groupBy("cluster").agg(F.count("*").alias("size")), "cluster", "left")
+    members = said.select("cluster", "artifact", (F.col("artifact") % 7).alias("document")).distinct()
+    path = f"{shared_dir(spark).rstrip('/')}/claims-{uuid.uuid4().hex}"
+    filled = claims.backfill(clusters, members, said.select("artifact", "claim_index", "text"), listed, path)
+    written = claims.read(spark, path).groupBy("cluster").agg(F.count("*").alias("claims"))
+    return filled.join(written, "cluster", "left").select("cluster", "how", F.coalesce("claims", F.lit(0)).alias("claims"))
+
+
 @query("""with names(raw) as (values ('Asia'), ('EUROPA'), ('orient'), ('Nowhere')), alias(old, now) as (values ('orient', 'ASIA'), ('europa', 'EUROPE')), r as (select r_name from region)
 select raw, coalesce(a.r_name, b.now, raw) as resolved, case when a.r_name is not null then 'same' when b.now is not null then 'merged' else 'new' end as how
 from names left join r a on upper(raw) = a.r_name left join alias b on lower(raw) = b.old""")

@@ -45,6 +45,29 @@ def document_level(manual: Column, banner: Column, portion: Column, cleared: Col
     return F.coalesce(manual, marked, cleared, F.lit(DEFAULT))
 
 
+def within(docs: DataFrame, passages: DataFrame, ceiling: str, key: str = "doc_id") -> DataFrame:
+    """(key, highest, kept): each document at the highest of its own level and its passages' portion marks, and whether the ceiling admits it.
+
+    ``docs`` (key, level), ``passages`` (key, portion).  An unknown or null level is the default's, an unknown or null portion says nothing.
+    """
+    known = [s[0] for s in SCALE]
+    marks = passages.where(F.col("portion").isin(known)).groupBy(key).agg(F.max(rank(F.col("portion"))).alias("_mark"))
+    own = docs.groupBy(key).agg(F.max(rank(F.col("level"))).alias("_own"))
+    highest = F.greatest("_own", "_mark")  # nulls are passed over
+    return own.join(marks, key, "left").select(key, level_at(highest).alias("highest"), (highest <= rank(F.lit(ceiling))).alias("kept"))
+
+
+def cleared(operations: DataFrame, ceiling: str | None, remote: bool) -> DataFrame:
+    """``operations`` (.., level, local_only, clearance) with held: why an operation isn't offered to a question, null where it is.
+
+    A module above the ceiling is held as a whole (``level``); without a ceiling none is.  Where a model that reads the results is remote,
+    operations for local models are held (``local``): those whose clearance says so, or, having none, those of modules that are local only.
+    """
+    above = F.lit(False) if ceiling is None else rank(F.col("level")) > rank(F.lit(ceiling))
+    local = F.when(F.coalesce("clearance", F.lit("")) != "", F.col("clearance") == "local").otherwise(F.coalesce("local_only", F.lit(False)))
+    return operations.withColumn("held", F.when(above, "level").when(F.lit(remote) & local, "local"))
+
+
 def marked_fixture(docs: DataFrame) -> DataFrame:
     """Documents with markings put in by id."""
     turn = F.col("doc_id") % 4

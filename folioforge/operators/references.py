@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import DOI
@@ -69,3 +69,56 @@ def best_titles(refs: DataFrame, titles: DataFrame, least: float = MIN_TITLE) ->
     by_text = best.join(lines, "id").select(F.col("text").alias("reference"), "best")
     found = refs.join(by_text, "reference").groupBy("ref_id").agg(F.min("best").alias("best"))
     return found.select("ref_id", F.col("best.title_id").alias("title_id"), (-F.col("best.less")).alias("similarity"))
+
+
+#: Words of a title by which it is looked up, and characters below which a title names nothing.
+HEAD_WORDS, SHORTEST = 4, 10
+
+
+def _named(text: Column) -> Column:
+    """Letters and digits of a text in lower case, a space between words."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+
+
+def named_titles(questions: DataFrame, titles: DataFrame) -> DataFrame:
+    """(question_id, title_id): the titles that a question names as whole words, a leading article aside.
+
+    ``questions`` (question_id, question), ``titles`` (title_id, title).  Titles are met by their first words, up to
+    ``HEAD_WORDS``, with the runs of words of the questions, and the few that meet are looked for in full; so it is a join by equality,
+    and no title is compared with a question that lacks its first words.  Titles of fewer than ``SHORTEST`` characters, with or without
+    the article, name nothing; null is an empty text.
+    """
+    bare = F.regexp_replace(_named(F.col("title")), "^(the|a|an) ", "")
+    long_ = titles.where(F.length("title") >= SHORTEST).select("title_id", bare.alias("bare")).where(F.length("bare") >= SHORTEST)
+    keyed = long_.withColumn("head", F.array_join(F.slice(F.split("bare", " "), 1, HEAD_WORDS), " "))
+    asked = questions.select("question_id", _named(F.col("question")).alias("asked"))
+    words = F.split("asked", " ")
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+    heads = asked.withColumn("head", F.explode(F.array_distinct(F.flatten(F.array(*(runs(n) for n in range(1, HEAD_WORDS + 1)))))))
+    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return heads.join(keyed, "head").where(padded("asked").contains(padded("bare"))).select("question_id", "title_id").distinct()
+
+
+def same_source(title: Column, source: Column) -> Column:
+    """Whether a source, named as "title — what it is about" with the title perhaps cut short, is a volume's title."""
+    clean = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+\z", ""))
+    name, own = clean(F.split(F.coalesce(source, F.lit("")), " — ", 2)[0]), clean(title)
+    cut = (F.length(name) >= 12) & (own.startswith(name) | name.startswith(own))
+    return (name != "") & (own != "") & ((own == name) | cut)
+
+
+def closeness(text: Column, wanted: Column) -> Column:
+    """2 for texts that are equal but for white space, else the share of the words of both that they have in common, case aside."""
+    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
+    flat = lambda c: F.array_join(words(c), " ")
+    a, b = (F.array_distinct(words(F.lower(c))) for c in (text, wanted))
+    either = F.size(F.array_union(a, b))
+    return F.when(flat(text) == flat(wanted), 2.0).when(either == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / either)
+
+
+def evidence(rows: DataFrame, wanted: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, key, score): of each group's rows (group, key, title, text) whose title the wanted source (group, source, claim) is, the one closest to the claim; ties to the least key."""
+    met = rows.join(wanted.select(group, "source", "claim"), group).where(same_source(F.col("title"), F.col("source")))
+    score = F.round(closeness(F.col("text"), F.col("claim")), 9)
+    best = met.groupBy(group, "source", "claim").agg(F.min(F.struct((-score).alias("less"), key)).alias("_best"))
+    return best.select(group, F.col(f"_best.{key}").alias(key), (-F.col("_best.less")).alias("score"))

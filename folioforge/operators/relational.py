@@ -48,11 +48,19 @@ def mode(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return first_per_key(counts, group, [F.desc("n"), F.asc(value)])
 
 
-def co_members(df: DataFrame, group: str, member: str) -> DataFrame:
-    """(a, b, shared) with a < b: pairs of members by the number of groups they share."""
+def co_members(df: DataFrame, group: str, member: str, block: int = 2048) -> DataFrame:
+    """(a, b, shared) with a < b: pairs of members by the number of groups they share.
+
+    A group's members are dealt into blocks of about ``block``, and a pair of blocks is a key of the join: a group
+    that holds a third of all rows is met by many tasks.
+    """
     rows = df.select(group, member).distinct()
-    left, right = rows.withColumnRenamed(member, "a"), rows.withColumnRenamed(member, "b")
-    return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    held = rows.join(sizes, group)
+    own, every = F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = held.select(group, F.col(member).alias("a"), own.alias("_x"), every.alias("_y"))
+    right = held.select(group, F.col(member).alias("b"), every.alias("_x"), own.alias("_y"))
+    return left.join(right, [group, "_x", "_y"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:

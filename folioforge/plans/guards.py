@@ -66,24 +66,6 @@ def p20_json_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", (F.size(keys) > 0).alias("has_first"), F.array_contains(keys, "absent").alias("has_absent"))
 
 
-_VERDICTS = [
-    (1, "The claims directly conflict because A requires a majority and B one acknowledgement.", False, True, False),
-    (2, "They seem to conflict at first, but they describe different systems in practice.", False, False, False),
-    (3, "These sources do not directly contradict each other; they cover separate topics.", True, False, False),
-    (4, "Explain why the claims conflict or why they do not, in one sentence please.", False, True, True),
-    (5, "The content of this page has been moved elsewhere, and both pages say so now.", False, False, True),
-    (6, "short", False, False, True),
-]
-
-
-@query("select * from (values " + ", ".join(f"({i}, {d}, {a}, {j})" for i, _, d, a, j in _VERDICTS) + ") t(id, denies, affirms, junk)")
-def p24_explanations(spark, sf_dir):
-    """What explanations say, whatever verdict they come with."""
-    rows = spark.createDataFrame([(i, t) for i, t, *_ in _VERDICTS], "id int, text string")
-    text = F.col("text")
-    return rows.select("id", guards.denies(text).alias("denies"), guards.affirms(text).alias("affirms"), guards.is_junk(text).alias("junk"))
-
-
 @query("""with g as (select conv_id, list(text) as claims from conversations group by conv_id), q as (select conv_id, turn, text as bare, turn % 2 = 0 as own from conversations)
 select q.conv_id, q.turn, case when own and trim(bare) <> '' then trim(bare) else '' end as quoted from q""")
 def p25_quoted_claims(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as tx
 from folioforge.functions.vectors import cosine
-from folioforge.operators import postings, ranking, relational, vector_index
+from folioforge.operators import postings, ranking, references, relational, vector_index
 from folioforge.plans.registry import query
 from folioforge.session import shared_dir
 from folioforge.tables import table
@@ -238,8 +238,9 @@ n as (select question, trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', '
 t as (select distinct trim(regexp_replace(regexp_replace(lower(r_name), '[^a-z0-9]+', ' ', 'g'), '^(the|a|an) ', '')) as title from region union select 'supplier list')
 select question, title from n join t on contains(norm, title) and length(title) >= 10""")
 def p13_named_volumes(spark, sf_dir):
-    """Titles that a question names; titles are few and sent to every task behind a size check by the optimiser."""
+    """Titles that a question names."""
     asked = spark.createDataFrame([("Nation report on region five",), ("part of the SUPPLIER list",), ("nothing here",), ("a shelf on Middle East",)], "question string")
     clean = F.regexp_replace(tx.plain_words(F.col("r_name")), "^(the|a|an) ", "")
     titles = table(spark, sf_dir, "region").select(F.trim(clean).alias("title")).union(spark.createDataFrame([("supplier list",)], "title string")).distinct()
-    return asked.join(titles, tx.plain_words(F.col("question")).contains(F.col("title")) & (F.length("title") >= 10)).select("question", "title")
+    found = references.named_titles(asked.withColumn("question_id", F.col("question")), titles.withColumn("title_id", F.col("title")))
+    return found.select(F.col("question_id").alias("question"), F.col("title_id").alias("title"))

@@ -64,6 +64,14 @@ def m4_member_key(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("member_key"), F.count("*").alias("n"))
 
 
+@query(f"""with l as (select label, sha256(vec_id || chr(9) || (vec_id % 7)) as h from embeddings where label is not null)
+select label, sha256(count(*) || '.' || {" || '.' || ".join(f"sum(('0x' || substr(h, {1 + i * claims.DIGITS}, {claims.DIGITS}))::bigint)" for i in range(claims.LIMBS))}) as member_key, count(*) as n from l group by label""")
+def m4_set_key(spark, sf_dir):
+    """M4, M6: a cluster's key from its members in any order, added up by every task, so that no row holds a cluster's members."""
+    rows = table(spark, sf_dir, "embeddings").where("label is not null")
+    return rows.groupBy("label").agg(claims.set_key(F.col("vec_id"), (F.col("vec_id") % 7).cast("string")).alias("member_key"), F.count("*").alias("n"))
+
+
 @query("""with old as (select c_custkey as id, c_nationkey as key, case when c_custkey % 11 = 0 then null else 'm1' end as model from customer where c_custkey % 7 <> 0),
 new as (select c_custkey as id, case when c_custkey % 5 = 0 then c_nationkey + 1 else c_nationkey end as key from customer where c_custkey % 13 <> 0)
 select coalesce(old.id, new.id) as id, case when new.id is null then 'dead' when old.id is null then 'fresh' when old.key is distinct from new.key or old.model is distinct from 'm1' then 'redo' else 'keep' end as state from old full join new using (id)""")
@@ -76,13 +84,14 @@ def m2_staleness(spark, sf_dir):
     return lifecycle.rebuild_plan(old, new, "id", "key", F.col("model"), "m1")
 
 
-@query("""with base as (select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey % 3 <> 0), ch as (select o_orderkey, o_custkey, 'X' as o_orderstatus from orders where o_orderkey % 5 = 0)
+@query("""with base as (select o_orderkey, o_custkey, o_orderstatus from orders), ch as (select case when o_orderkey % 3 = 0 then -1 - o_orderkey else o_orderkey end as o_orderkey, o_custkey, 'X' as o_orderstatus from orders where o_orderkey % 5 = 0)
 select * from base where o_orderkey not in (select o_orderkey from ch) union all select * from ch""")
 def m1_upsert(spark, sf_dir):
-    """Rows replaced by key."""
+    """Rows replaced by key; a fifth of all orders changes, and a third of these comes under new keys."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    changes = rows.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X"))
-    return relational.upsert(rows.where("o_orderkey % 3 <> 0"), changes, ["o_orderkey"])
+    key = F.when(F.col("o_orderkey") % 3 == 0, -1 - F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
+    changes = rows.where("o_orderkey % 5 = 0").select(key.alias("o_orderkey"), "o_custkey", F.lit("X").alias("o_orderstatus"))
+    return relational.upsert(rows, changes, ["o_orderkey"])
 
 
 @query("""with m as (select distinct case when l_partkey in (1, 2) then 0 else l_partkey end as part, l_orderkey from lineitem) select part, l_orderkey from m""")
@@ -151,13 +160,13 @@ def m16_eject(spark, sf_dir):
     return lifecycle.ejected(rows, "coll", "doc", 3)
 
 
-@query("""with loc as (select sha256(text) as h, min(doc_id) as local_id from documents where doc_id % 2 = 0 group by 1), inc as (select doc_id, sha256(text) as h from documents where doc_id % 3 = 0)
+@query("""with loc as (select sha256(text) as h, min(doc_id) as local_id from documents where doc_id % 2 = 0 group by 1), inc as (select doc_id, sha256(text) as h from documents where doc_id % 2 <> 0)
 select doc_id, local_id, case when local_id is null then 'introduced' else 'joined' end as how from inc left join loc using (h)""")
 def m18b_import_match(spark, sf_dir):
-    """Incoming documents matched with local ones by content."""
+    """Incoming documents (the odd ones) matched with local ones (the even ones) by content."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     local = docs.where("doc_id % 2 = 0").groupBy("h").agg(F.min("doc_id").alias("local_id"))
-    matched = docs.where("doc_id % 3 = 0").join(local, "h", "left")
+    matched = docs.where("doc_id % 2 <> 0").join(local, "h", "left")
     return matched.select("doc_id", "local_id", F.when(F.col("local_id").isNull(), "introduced").otherwise("joined").alias("how"))
 
 

@@ -80,7 +80,7 @@ def m18a_upgrade(spark, sf_dir):
     return lifecycle.upgraded(rows, "doc", "coll", 3, rows.where("doc % 2 = 0"))
 
 
-@query("""with loc as (select sha256(text) as h, min(doc_id) as local_id from documents where doc_id % 2 = 0 group by 1), inc as (select doc_id, sha256(text) as h from documents where doc_id % 3 = 0),
+@query("""with loc as (select sha256(text) as h, min(doc_id) as local_id from documents where doc_id % 2 = 0 group by 1), inc as (select doc_id, sha256(text) as h from documents where doc_id % 2 <> 0),
 ids as (select doc_id, coalesce(local_id, 1000000 + doc_id) as new_doc from inc left join loc using (h)),
 v as (select vec_id, label, case when vec_id % 5 = 0 then 'other' else 'm1' end as model, len(embedding) as dims from embeddings)
 select vec_id, new_doc, case when model = 'm1' and dims = (select max(len(embedding)) from embeddings) then 'shipped' else 'queued' end as vector from v join ids on ids.doc_id = v.vec_id""")
@@ -88,7 +88,7 @@ def m18c_remap(spark, sf_dir):
     """Sections of imported documents under local ids; a shipped vector is used where model and dimension are the local ones, else it is queued."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     local = docs.where("doc_id % 2 = 0").groupBy("h").agg(F.min("doc_id").alias("local_id"))
-    ids = docs.where("doc_id % 3 = 0").join(local, "h", "left").select("doc_id", F.coalesce("local_id", 1_000_000 + F.col("doc_id")).alias("new_doc"))
+    ids = docs.where("doc_id % 2 <> 0").join(local, "h", "left").select("doc_id", F.coalesce("local_id", 1_000_000 + F.col("doc_id")).alias("new_doc"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 5 == 0, "other").otherwise("m1").alias("model"), F.size("embedding").alias("dims"))
     held = rows.join(table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding")).alias("own")), F.lit(True))  # one row
     vector = F.when((F.col("model") == "m1") & (F.col("dims") == F.col("own")), "shipped").otherwise("queued")
@@ -108,15 +108,15 @@ def m12_shelf_moves(spark, sf_dir):
     return lifecycle.shelf_moves(shelves, "shelf", "parent", ends[0], ends[1])
 
 
-@query(r"""with v as (select event_id, case event_id % 6 when 0 then value::varchar when 1 then ' 12 ' when 2 then 'red' when 3 then '' when 4 then '-3' else 'x9' end as raw from events where event_id % 6 <> 0)
-select event_id, case when raw in (' 12 ') then '12' end as number, case raw when ' 12 ' then null when '' then 'missing' when '-3' then 'too small' else 'not a integer' end as number_error,
-case when raw = '' then 'red' when raw = 'red' then 'red' end as colour, case when raw in ('', 'red') then null else 'not a choice' end as colour_error,
-case when raw = 'x9' then 'x9' end as code, case when raw in ('x9', '') then null else 'wrong form' end as code_error from v""")
+@query(r"""with v as (select event_id, nullif(trim(case event_id % 6 when 0 then user_id::varchar when 1 then ' 12 ' when 2 then 'red' when 3 then '' when 4 then '-3' else 'x9' end), '') as t from events),
+e as (select event_id, t, coalesce(t, 'red') as c, case when t is null then 'missing' when try_cast(t as integer) is null then 'not a integer' when t::integer < 0 then 'too small' when t::integer > 20 then 'too large' end as number_error,
+case when coalesce(t, 'red') not in ('red', 'blue') then 'not a choice' end as colour_error, case when not regexp_matches(t, '^(?:[a-z][0-9])$') then 'wrong form' end as code_error from v)
+select event_id, case when number_error is null then t end as number, number_error, case when colour_error is null then c end as colour, colour_error, case when code_error is null then t end as code, code_error from e""")
 def p28_parameters(spark, sf_dir):
-    """§2.8 parameter check: values as text against type, bounds, choices and pattern; the values are put in by id, as the tables hold none."""
-    kinds = F.array(*map(F.lit, (" 12 ", "red", "", "-3", "x9")))
-    rows = table(spark, sf_dir, "events").where("event_id % 6 <> 0").select("event_id", F.element_at(kinds, (F.col("event_id") % 6).cast("int")).alias("raw"))
-    number = params.checked(F.col("raw"), "integer", least=0, most=100, required=True)
+    """§2.8 parameter check: values as text against type, bounds, choices and pattern; a sixth are users' numbers, the others are put in by id, as the tables hold none."""
+    kinds = F.array(F.col("user_id").cast("string"), *map(F.lit, (" 12 ", "red", "", "-3", "x9")))
+    rows = table(spark, sf_dir, "events").select("event_id", F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")).alias("raw"))
+    number = params.checked(F.col("raw"), "integer", least=0, most=20, required=True)
     colour = params.checked(F.col("raw"), "string", choices=["red", "blue"], default="red")
     code = params.checked(F.col("raw"), "string", pattern="[a-z][0-9]")
     out = rows.select("event_id", number.alias("n"), colour.alias("c"), code.alias("k"))

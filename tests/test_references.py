@@ -9,12 +9,12 @@ def test_every_part_has_its_best_title(spark, sf):
     first = {}
     for k in sorted(names):
         first.setdefault(names[k], k)
-    want = {}
+    want, best = {}, {}
     for k, name in names.items():
-        if k % 3 == 0:
-            ranked = [(-round(references.word_similarity(t, f"Author X. {name}. Journal 2004"), 6), i) for t, i in first.items()]
-            less, title = min(ranked)
-            if -less >= references.MIN_TITLE:
-                want[k] = (title, -less)
+        if name not in best:
+            best[name] = min((-round(references.word_similarity(t, f"Author X. {name}. Journal 2004"), 6), i) for t, i in first.items())
+        less, title = best[name]
+        if -less >= references.MIN_TITLE:
+            want[k] = (title, -less)
     got = {r["ref_id"]: (r["title_id"], r["similarity"]) for r in catalogue.QUERIES["t23_word_similarity"](spark, sf).collect()}
     assert got == want and max(got) > 60

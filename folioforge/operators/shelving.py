@@ -57,3 +57,33 @@ def collections(volumes: DataFrame, held: DataFrame, fewest: int = FEWEST) -> Da
     placed = volumes.select("volume").distinct().join(first, "volume", "left")
     large = placed.groupBy("_key").agg(F.count("*").alias("_n")).where((F.col("_n") >= fewest) & F.col("_key").isNotNull()).select("_key", F.col("_key").alias("_large"))
     return placed.join(large, "_key", "left").select("volume", F.coalesce("_large", F.lit("local")).alias("collection"))
+
+
+#: What an answer says where a volume belongs on a sub-shelf that isn't there yet, and the lengths of a new one's name.
+NEW, NEW_NAME = "(a new sub-shelf)", (3, 40)
+
+
+def placements(answers: DataFrame, tree: DataFrame) -> DataFrame:
+    """(volume, shelf, parent, how): where answers (volume, top, sub, new_name) put volumes in ``tree`` (name, parent), tops without a parent.
+
+    A sub-shelf that is there is taken (``there``) if the answer names its top or names none that is there; a new name of a fitting
+    length comes under the top named (``new``), or is that top's own sub-shelf of the name, case aside (``there``).  All else is ``unresolved``:
+    a sub of another top, a top in place of a sub, a new name that is a top's or stands elsewhere.  Names in the tree are told apart by
+    case for answers that choose them; of names that repeat the least parent counts.
+    """
+    name = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    tops = tree.where("parent is null").select(F.col("name").alias("_top")).distinct()
+    subs = tree.where("parent is not null").join(tops, F.col("name") == F.col("_top"), "left_anti").groupBy("name").agg(F.min("parent").alias("_under"))
+    in_view = subs.join(tops.withColumnRenamed("_top", "_under"), "_under", "left_semi").withColumnRenamed("name", "_sub")
+    lower_tops = tops.select(F.lower("_top").alias("_clash")).distinct()
+    lower_subs = subs.groupBy(F.lower("name").alias("_key")).agg(F.min(F.struct("_under", "name")).alias("_held"))
+    asked = answers.withColumn("_key", name(F.col("new_name")))
+    met = asked.join(tops, F.col("top") == F.col("_top"), "left").join(in_view, F.col("sub") == F.col("_sub"), "left")
+    met = met.join(lower_subs, "_key", "left").join(lower_tops, F.col("_key") == F.col("_clash"), "left")
+    chosen = (F.col("sub") != NEW) & F.col("_sub").isNotNull() & (F.col("_top").isNull() | (F.col("_top") == F.col("_under")))
+    fits = (F.col("sub") == NEW) & F.col("_top").isNotNull() & F.length("_key").between(*NEW_NAME) & F.col("_clash").isNull()
+    own = fits & (F.col("_held._under") == F.col("_top"))
+    fresh = fits & F.col("_held").isNull()
+    how = F.when(chosen | own, "there").when(fresh, "new").otherwise("unresolved")
+    shelf = F.when(chosen, F.col("_sub")).when(own, F.col("_held.name")).when(fresh, F.trim(F.regexp_replace("new_name", r"\s+", " ")))
+    return met.select("volume", shelf.alias("shelf"), F.when(chosen, F.col("_under")).when(own | fresh, F.col("_top")).alias("parent"), how.alias("how"))

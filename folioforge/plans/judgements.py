@@ -171,3 +171,22 @@ def t34_passage_blocks(spark, sf_dir):
     note = F.when(F.col("turn") % 4 == 1, F.substring("text", 1, 30))
     block = tx.passage_block(F.col("turn") + 1, F.col("role"), F.col("text"), 80, section, F.col("turn"), note)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", block.alias("block"))
+
+
+@query("""with t as (select distinct p_type as name from part), b as (select p_brand as name, min(p_type) as parent from part group by 1),
+a as (select p_partkey as volume, case when p_partkey % 5 = 0 then 'Nowhere' else p_type end as top, case when p_partkey % 4 = 0 then '(a new sub-shelf)' when p_partkey % 7 = 0 then p_type else p_brand end as sub,
+case p_partkey % 16 when 0 then 'ab' when 4 then lower(p_type) when 8 then lower(p_brand) else p_name end as new_name from part),
+m as (select a.*, t.name as held_top, b.parent as under, k.name as key_name, k.parent as key_parent, c.name as clash from a left join t on t.name = top left join b on b.name = sub left join b k on lower(k.name) = new_name left join t c on lower(c.name) = new_name),
+w as (select *, case when sub <> '(a new sub-shelf)' then case when under is not null and (held_top is null or held_top = under) then 'chosen' end
+when held_top is not null and length(new_name) between 3 and 40 and clash is null then case when key_name is null then 'new' when key_parent = held_top then 'own' end end as way from m)
+select volume, case way when 'chosen' then sub when 'own' then key_name when 'new' then new_name end as shelf, case way when 'chosen' then under when 'own' then held_top when 'new' then held_top end as parent,
+case when way in ('chosen', 'own') then 'there' when way = 'new' then 'new' else 'unresolved' end as how from w""")
+def m12_placements(spark, sf_dir):
+    """Where answers put volumes among the shelves; types are tops and brands sub-shelves here, and some answers name what isn't there."""
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    tops = part.select(F.col("p_type").alias("name"), F.lit(None).cast("string").alias("parent")).distinct()
+    tree = tops.unionByName(part.groupBy(F.col("p_brand").alias("name")).agg(F.min("p_type").alias("parent")))
+    top = F.when(key % 5 == 0, "Nowhere").otherwise(F.col("p_type"))
+    sub = F.when(key % 4 == 0, shelving.NEW).when(key % 7 == 0, F.col("p_type")).otherwise(F.col("p_brand"))
+    new = F.when(key % 16 == 0, "ab").when(key % 16 == 4, F.lower("p_type")).when(key % 16 == 8, F.lower("p_brand")).otherwise(F.col("p_name"))
+    return shelving.placements(part.select(key.alias("volume"), top.alias("top"), sub.alias("sub"), new.alias("new_name")), tree)

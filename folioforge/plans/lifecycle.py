@@ -58,7 +58,7 @@ def st8_tumbling(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-@query()
+@query("""select count(*) || ' events of ' || count(distinct event_type) || ' kinds by ' || count(distinct user_id) || ' users' as summary from events""")
 def a22_summary_line(spark, sf_dir):
     """One line over JSON records from a template."""
     rows = table(spark, sf_dir, "events").select(F.to_json(F.struct("event_type", "value", "user_id")).alias("row"))

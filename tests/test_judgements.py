@@ -115,3 +115,15 @@ def test_pairs_of_a_large_group_are_met_block_by_block(spark):
     df = spark.createDataFrame(rows, "g int, m int")
     made = {(r["a"], r["b"]): r["shared"] for r in relational.co_members(df, "g", "m", block=7).collect()}
     assert made == {(a, b): 1 + (a % 3 == b % 3 == 0) for a in range(60) for b in range(a + 1, 60)}
+
+
+def test_answers_are_resolved_on_the_shelf(spark):
+    tree = spark.createDataFrame([("Science", None), ("Arts", None), ("Optics", "Science"), ("Music", "Arts"), ("Lost", "Gone"), ("Arts", "Science")], "name string, parent string")
+    new = shelving.NEW
+    answers = [
+        (1, "Science", "Optics", None), (2, "Nowhere", "Optics", None), (3, "Arts", "Optics", None), (4, None, "Music", None), (5, "Arts", "Arts", None), (6, "Gone", "Lost", None), (7, "Arts", "music", None),
+        (8, "Science", new, " Cell   biology "), (9, "Science", new, "OPTICS"), (10, "Arts", new, "Optics"), (11, "Arts", new, "science"), (12, "Arts", new, "ab"), (13, "Nowhere", new, "Law"), (14, "Arts", new, None), (15, "Arts", None, "Law"),
+    ]
+    made = {r["volume"]: (r["shelf"], r["parent"], r["how"]) for r in shelving.placements(spark.createDataFrame(answers, "volume int, top string, sub string, new_name string"), tree).collect()}
+    placed = {1: ("Optics", "Science", "there"), 2: ("Optics", "Science", "there"), 4: ("Music", "Arts", "there"), 8: ("Cell biology", "Science", "new"), 9: ("Optics", "Science", "there")}
+    assert made == {i: placed.get(i, (None, None, "unresolved")) for i in range(1, 16)}

@@ -71,7 +71,7 @@ def plain_label(text: Column) -> Column:
 def cited(text: Column) -> Column:
     """Numbers cited in ``[n, m]``, in order."""
     groups = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CITATION), F.lit(1))
-    return F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*,\s*"))), lambda n: n.cast("int"))
+    return F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*,\s*"))), lambda n: n.try_cast("int"))
 
 
 def valid_citations(text: Column, sources: int) -> Column:
@@ -80,7 +80,7 @@ def valid_citations(text: Column, sources: int) -> Column:
 
     def redo(piece: Column) -> Column:
         numbers = F.split(F.substring_index(piece, "\x02", 1), r"\s*,\s*")
-        kept = F.filter(numbers, lambda n: n.cast("int").between(1, sources))
+        kept = F.filter(numbers, lambda n: n.try_cast("int").between(1, sources))
         return F.concat(F.when(F.size(kept) > 0, F.concat(F.lit("["), F.array_join(kept, ", "), F.lit("]"))).otherwise(""), F.substring_index(piece, "\x02", -1))
 
     rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), redo)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions import guards
+
 #: The scale from low to high: level, patterns of its banner lines and of its portion marks.
 SCALE = [
     ("public", ["UNCLASSIFIED|PUBLIC"], ["U"]),
@@ -73,3 +75,45 @@ def marked_fixture(docs: DataFrame) -> DataFrame:
     turn = F.col("doc_id") % 4
     text = F.when(turn == 0, F.concat(F.lit("SECRET//NOFORN\n"), "text")).when(turn == 1, F.concat(F.lit("Classification: INTERNAL\n"), "text")).when(turn == 2, F.concat(F.lit("(S) "), "text"))
     return docs.select("doc_id", "source", F.coalesce(text, "text").alias("text"))
+
+
+#: The mark of each level before a paragraph; list items, and what stands as it is.
+SHORT = ("U", "I", "S", "TS")
+_ITEM = r"^(\s*(?:[-*+]|\d+\.)\s+)(.*)$"
+_AS_IS = r"^(#|\||```)"
+
+
+def marked_output(rows: DataFrame, strict: bool = True) -> DataFrame:
+    """Add marked and banner to ``rows`` (text, sources, context): a portion mark before each paragraph and list item, and the highest level.
+
+    ``sources`` maps the numbers of one answer's sources to levels.  A part is at the highest level among the sources it cites; one
+    that cites none known is at the context's level (``strict``) or at the default.  Headings, tables and code stay as they are and
+    don't count, quotations count without a mark.  A list is a paragraph that begins with an item and whose other lines are items,
+    blank or indented.  A null or blank text gives an empty one at the default.
+    """
+    beyond = F.coalesce(rank(F.col("context")), F.lit(0)) if strict else rank(F.lit(DEFAULT))
+
+    def place(part: Column) -> Column:
+        named = F.filter(F.transform(guards.cited(part), lambda n: F.try_element_at("sources", n)), lambda x: x.isNotNull() & (x != ""))
+        return F.coalesce(F.array_max(F.transform(named, rank)), beyond)
+
+    mark = lambda at: F.concat(F.lit("("), F.get(F.array(*map(F.lit, SHORT)), at), F.lit(") "))
+    out = lambda text, at: F.struct(text.alias("text"), at.cast("int").alias("at"))
+    plain = F.lit(None)
+
+    def item(line: Column) -> Column:
+        body = F.regexp_extract(line, _ITEM, 2)
+        return F.when(line.rlike(_ITEM), out(F.concat(F.regexp_extract(line, _ITEM, 1), mark(place(body)), body), place(body))).otherwise(out(line, plain))
+
+    def paragraph(p: Column) -> Column:
+        bare = F.regexp_replace(p, r"^\s+", "")
+        lines = F.split(p, r"\r\n|\n|\r")
+        listed = F.get(lines, F.lit(0)).rlike(_ITEM) & F.forall(lines, lambda x: x.rlike(_ITEM) | x.rlike(r"^[ \t]|^\s*$"))
+        whole = F.array(out(F.when(bare.startswith(">"), bare).otherwise(F.concat(mark(place(p)), bare)), place(p)))
+        return F.when(bare.rlike(_AS_IS), F.array(out(p, plain))).when(listed, F.transform(lines, item)).otherwise(whole)
+
+    paragraphs = F.filter(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n"), lambda p: p.rlike(r"\S"))
+    held = rows.withColumn("_parts", F.transform(paragraphs, paragraph))
+    text = F.array_join(F.transform("_parts", lambda p: F.array_join(p["text"], "\n")), "\n\n")
+    highest = F.array_max(F.flatten(F.transform("_parts", lambda p: p["at"])))
+    return held.withColumns({"marked": text, "banner": F.coalesce(level_at(highest), F.lit(DEFAULT))}).drop("_parts")

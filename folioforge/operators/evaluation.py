@@ -61,4 +61,4 @@ def citation_validity(rows: DataFrame, key: list[str], sources: int) -> DataFram
     """(key, validity): share of the numbers cited in ``[n, m]`` that name a source."""
     groups = rows.select(*key, F.explode(F.regexp_extract_all("text", F.lit(r"\[(\d+(?:\s*,\s*\d+)*)\]"), F.lit(1))).alias("g"))
     numbers = groups.select(*key, F.explode(F.split("g", r"\s*,\s*")).alias("n"))
-    return numbers.groupBy(*key).agg(F.round(F.count_if(F.col("n").cast("int").between(1, sources)) / F.count("*"), 4).alias("validity"))
+    return numbers.groupBy(*key).agg(F.round(F.count_if(F.col("n").try_cast("int").between(1, sources)) / F.count("*"), 4).alias("validity"))

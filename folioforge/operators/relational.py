@@ -82,3 +82,21 @@ def assign_tags(held: DataFrame, fresh: DataFrame, doc: str, tag: str) -> DataFr
     shelf = held.where("origin = 'shelf'").select(doc, tag).distinct()
     added = fresh.select(doc, tag).distinct().join(shelf, [doc, tag], "left_anti")
     return shelf.withColumn("origin", F.lit("shelf")).unionByName(added.withColumn("origin", F.lit("reader")))
+
+
+def borne_out(asked: DataFrame, known: DataFrame, generic: list[str]) -> DataFrame:
+    """``asked`` (.., command) with known: whether a generic tool's, or like a command of ``known`` (command), by the rule of ``guards.documented``.
+
+    What is known is reduced to its first two words and what may follow them before the join, which is by equality: a pair of
+    words that very many commands begin with is one row, and so is each third word after it.  Blank and null commands are false.
+    """
+    words = lambda: F.filter(F.split(F.coalesce("command", F.lit("")), r"\s+"), lambda w: w != "")
+    parts = lambda df: df.withColumn("_w", words()).withColumns({"_two": F.slice("_w", 1, 2), "_third": F.get("_w", F.lit(2))})
+    flag = F.col("_third").startswith("-")
+    held = parts(known).where(F.size("_w") > 0)
+    pairs = held.groupBy("_two").agg(F.bool_or(F.col("_third").isNull()).alias("_bare"), F.coalesce(F.bool_or(~flag), F.lit(False)).alias("_word"))
+    thirds = held.where("_third is not null").select("_two", "_third").distinct().withColumn("_same", F.lit(True))
+    rows = parts(asked).join(pairs, "_two", "left").join(thirds, ["_two", "_third"], "left")
+    like = F.col("_bare").isNotNull() & (F.col("_third").isNull() | F.col("_bare") | F.col("_same").isNotNull() | (F.col("_word") & ~flag))
+    verdict = (F.size("_w") > 0) & (F.coalesce(F.get("_w", F.lit(0)).isin(*generic), F.lit(False)) | F.coalesce(like, F.lit(False)))
+    return rows.select(*asked.columns, verdict.alias("known"))

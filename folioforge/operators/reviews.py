@@ -53,7 +53,7 @@ def answered(answers: DataFrame, items: DataFrame, cases: DataFrame, judge: str
     entry = F.struct("label", "chunk_id")
     labels = items.groupBy("id").agg(
         F.max("question").alias("question"), F.max("source").alias("source"),
-        F.array_sort(F.collect_list(F.struct(F.substring("label", 2, 9).cast("int").alias("at"), entry.alias("e")))).alias("_shown"),
+        F.array_sort(F.collect_list(F.struct(F.substring("label", 2, 9).try_cast("int").alias("at"), entry.alias("e")))).alias("_shown"),
     )
     last = F.max_by(F.struct("case_id", "judge", "model_marks"), "case_id").alias("_held")
     held = cases.groupBy(same_question(F.col("question")).alias("_q")).agg(last)

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from folioforge.plans import editions, evaluation, exchange, guards, judgements, library, lifecycle, relational, retrieval, text, upkeep  # noqa: F401
+from folioforge.plans import editions, evaluation, exchange, guards, judgements, library, lifecycle, relational, retrieval, rules, text, upkeep  # noqa: F401
 from folioforge.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.operators import reviews
 from folioforge.plans.registry import query
 from folioforge.session import materialise
-from folioforge.sources import paging, records
+from folioforge.sources import manifests, paging, records
 from folioforge.tables import table
 
 _CASES = r"""k as (select conv_id * 1000 + turn as case_id, conv_id, text as question, role from conversations where role = 'user'),
@@ -99,3 +99,41 @@ def s16_cursor_pages(spark, sf_dir):
     held = _answers(spark, sf_dir, 4).select("key", F.when(F.col("at") > 0, F.concat(F.lit("c"), F.col("at").cast("string"))).alias("token"), "body", F.lit(None).cast("string").alias("link"))
     got = paging.calls(_endpoints(spark, sf_dir), paging.stored(held), "cursor", "data.items", limit=1000, pages=5, cursor_path="next")
     return got.select("key", "page", records.dig(F.col("body"), "data.items[0].id").cast("bigint").alias("first"), "n")
+
+
+_ADDRESS = r"a as (select page_id, split_part(url, '#', 1) as u from pages), p as (select page_id, regexp_extract(u, '^https?://[^/?]*', 0) as base_url, regexp_extract(u, '^https?://[^/?]*([^?]*)', 1) as path, list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '') as q from a)"
+
+
+@query(rf"""with {_ADDRESS} select page_id, case when page_id % 5 = 4 then null else base_url end as base_url, case when page_id % 5 = 4 then null else coalesce(nullif(trim(regexp_replace(lower(regexp_extract(regexp_replace(path, '/+$', ''), '[^/]*$', 0)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'query') end as id,
+case page_id % 5 when 4 then null when 2 then 'POST' else 'GET' end as method, case when page_id % 5 = 4 then null else coalesce(nullif(path, ''), '/') end as path,
+case when page_id % 5 = 4 then null else list_transform(q, lambda x: split_part(x, '=', 1) || ':' || case when regexp_matches(split_part(x, '=', 2), '^[0-9]+$') then 'int' else 'string' end || ':' || split_part(x, '=', 2)) end as params,
+case page_id % 5 when 0 then 'none' when 1 then 'bearer' when 2 then 'basic' when 3 then 'query' end as auth, case when page_id % 5 = 4 then 'changes data' end as refused from p""")
+def s19_curl_drafts(spark, sf_dir):
+    """A draft of an operation for every page's address as a curl command, with credentials of several kinds, a fifth of them deleting."""
+    url = F.regexp_replace("url", "#.*$", "")
+    keyed = F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), F.lit("api_key=k1"))
+    forms = (
+        F.concat(F.lit("curl "), F.lit("'"), url, F.lit("' -H 'Accept: x'")), F.concat(F.lit('curl -s -H "Authorization: Bearer abc" --url "'), url, F.lit('"')),
+        F.concat(F.lit("curl -u me:pw --data '{\"a\": 1}' \\\n '"), url, F.lit("'")), F.concat(F.lit("curl '"), keyed, F.lit("'")), F.concat(F.lit("curl -X delete '"), url, F.lit("'")),
+    )
+    rows = table(spark, sf_dir, "pages").select("page_id", F.element_at(F.array(*forms), (F.col("page_id") % 5 + 1).cast("int")).alias("command"))
+    return manifests.from_curl(rows, "page_id", "command").withColumn("params", F.transform("params", lambda p: F.concat_ws(":", p["key"], p["type"], p["default"])))
+
+
+@query(rf"""with {_ADDRESS}, o as (select page_id, base_url || '/v1' as base_url, path, unnest(['GET', 'POST']) as method, list_filter(list_transform(q, lambda x: split_part(x, '=', 1)), lambda k: k <> 'token') as q from p)
+select page_id, base_url, case method when 'GET' then 'read_' || page_id else trim(regexp_replace(lower('post_' || path), '[^a-z0-9]+', '_', 'g'), '_') end as id, method, path, case method when 'GET' then list_transform(q, lambda k: k || ':int:false') || ['lang:string:true'] else ['lang:string:true'] end as params from o""")
+def s19_openapi_drafts(spark, sf_dir):
+    """The reading operations of an OpenAPI document for every page's address, its query's names as parameters; one that deletes, and credentials, are left out."""
+    url = F.regexp_replace("url", "#.*$", "")
+    keys = F.transform(F.filter(F.split(F.regexp_extract(url, r"\?(.*)$", 1), "&"), lambda x: x != ""), lambda x: F.substring_index(x, "=", 1))
+    number, word = F.lit("integer"), F.lit("string")
+    param = lambda k, where, kind: F.struct(k.alias("name"), F.lit(where).alias("in"), F.struct(kind.alias("type")).alias("schema"))
+    own = F.concat(F.transform(keys, lambda k: param(k, "query", number)), F.array(param(F.lit("token"), "query", word)), F.array(param(F.lit("X-A"), "header", word)))
+    verbs = F.struct(
+        F.struct(F.concat(F.lit("read "), F.col("page_id").cast("string")).alias("operationId"), own.alias("parameters")).alias("get"), F.struct(F.lit("s").alias("summary")).alias("post"),
+        F.struct(F.lit("gone").alias("operationId")).alias("delete"), F.array(param(F.lit("lang"), "path", word)).alias("parameters"),
+    )
+    path = F.regexp_extract(url, "^https?://[^/?]*([^?]*)", 1)
+    spec = F.to_json(F.struct(F.array(F.struct(F.concat(F.regexp_extract(url, "^https?://[^/?]*", 0), F.lit("/v1/")).alias("url"))).alias("servers"), F.create_map(path, verbs).alias("paths")))
+    drafts = manifests.from_openapi(table(spark, sf_dir, "pages").select("page_id", spec.alias("spec")), "page_id", "spec")
+    return drafts.withColumn("params", F.transform("params", lambda p: F.concat_ws(":", p["key"], p["type"], p["required"].cast("string")))).drop("summary")

@@ -83,20 +83,25 @@ def _named(text: Column) -> Column:
 def named_titles(questions: DataFrame, titles: DataFrame) -> DataFrame:
     """(question_id, title_id): the titles that a question names as whole words, a leading article aside.
 
-    ``questions`` (question_id, question), ``titles`` (title_id, title).  Titles are met by their first words, up to
+    ``questions`` (question_id, question), ``titles`` (title_id, title).  Titles are met by a hash of their first words, up to
     ``HEAD_WORDS``, with the runs of words of the questions, and the few that meet are looked for in full; so it is a join by equality,
-    and no title is compared with a question that lacks its first words.  Titles of fewer than ``SHORTEST`` characters, with or without
+    and no title is compared with a question that lacks its first words.  Equal titles are met once, and a question's text goes only
+    with what is to be looked for in it.  Titles of fewer than ``SHORTEST`` characters, with or without
     the article, name nothing; null is an empty text.
     """
     bare = F.regexp_replace(_named(F.col("title")), "^(the|a|an) ", "")
     long_ = titles.where(F.length("title") >= SHORTEST).select("title_id", bare.alias("bare")).where(F.length("bare") >= SHORTEST)
-    keyed = long_.withColumn("head", F.array_join(F.slice(F.split("bare", " "), 1, HEAD_WORDS), " "))
+    keyed = long_.select("bare").distinct().select("bare", F.xxhash64(F.slice(F.split("bare", " "), 1, HEAD_WORDS)).alias("head"))
     asked = questions.select("question_id", _named(F.col("question")).alias("asked"))
-    words = F.split("asked", " ")
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    heads = asked.withColumn("head", F.explode(F.array_distinct(F.flatten(F.array(*(runs(n) for n in range(1, HEAD_WORDS + 1)))))))
+    runs = lambda words, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, n)))
+    # the words are bound by a lambda: put into the inner ones as they are, they would be split anew for every run
+    every = F.transform(F.array(F.split("asked", " ")), lambda words: F.array_distinct(F.flatten(F.array(*(runs(words, n) for n in range(1, HEAD_WORDS + 1))))))
+    heads = asked.select("question_id", F.explode(every[0]).alias("head"))
+    # far more rows than their table's size tells, so they aren't to be broadcast
+    met = heads.join(keyed.hint("merge"), "head").select("question_id", "bare")
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    return heads.join(keyed, "head").where(padded("asked").contains(padded("bare"))).select("question_id", "title_id").distinct()
+    found = met.join(asked, "question_id").where(padded("asked").contains(padded("bare"))).select("question_id", "bare")
+    return found.join(long_, "bare").select("question_id", "title_id").distinct()
 
 
 def same_source(title: Column, source: Column) -> Column:

@@ -68,3 +68,14 @@ def test_index_is_built_once_a_table(spark, sf, tmp_path):
     again = postings.index_of(spark, path)
     assert again.inputFiles() != first.inputFiles()
     assert [tuple(r) for r in postings.search(again, ["two"], 2).collect()] == [(3, 3), (1, 1)]
+
+
+def test_blocks_shuffle_texts_and_not_words(spark):
+    """One row a text is dealt out, whatever its words; repeated ids, ids below 0 and texts without a word are as told."""
+    texts = [(-5, "One two"), (3, "one ONE"), (3, "two; one"), (4, ""), (5, None), (9000, "É one-two"), (None, "one")]
+    made = postings.blocks(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    got = sorted(tuple(r) for r in made.collect())
+    assert got == [("one", -1, 1, [-5], [1]), ("one", 0, 3, [3], [3]), ("one", 2, 1, [9000], [1]), ("two", -1, 1, [-5], [1]), ("two", 0, 1, [3], [1]), ("two", 2, 1, [9000], [1])]
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    assert postings.blocks(spark.createDataFrame([(1, ""), (2, "!")], "doc_id bigint, text string")).count() == 0

@@ -161,25 +161,51 @@ def search(index: Index, queries: DataFrame, k: int, probes: int = 8, least: flo
     return found.select("query_id", F.col("id").alias(index.key), "sim", "rk")
 
 
-def recall(index: Index, queries: DataFrame, k: int, probes: list[int], key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(probes, recall, share): of the true k nearest of all ``queries``, what that many probed cells find, and the share of points they hold."""
+def curve(index: Index, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> np.ndarray:
+    """Of the true k nearest of all ``queries``, by comparing all pairs, the share that each number of probed cells finds, from none to all.
+
+    A true neighbour is found as soon as its own cell is probed: what goes before it among all points is no more among fewer. So
+    the place of its cell among those near the query tells, and nothing is searched again for each number.
+    """
     spark = queries.sparkSession
-    truth = materialise(search(index, queries, k, exact=True, key=key, vector=vector), "truth", narrow=True)
-    total = truth.count()
-    out = []
-    for p in probes:
-        found = search(index, queries, k, p, exact=False, key=key, vector=vector)
-        hit = found.join(truth.select("query_id", index.key), ["query_id", index.key]).count()
-        share = float(np.sort(index.size)[::-1][:p].sum() / max(1, index.size.sum()))
-        out.append((p, hit / total if total else 1.0, share))
-    return spark.createDataFrame(out, "probes int, recall double, share double")
-
-
-def probes_for(index: Index, queries: DataFrame, k: int, least: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> int:
+    cells = len(index.centres)
+    if not cells:
+        return np.ones(1)
+    asked = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    stored = index.points(spark)
+    truth = vectors.nearest(stored, asked, k, key="id", vector="v").select("query_id", "id").join(stored.select("id", "cell"), "id")
+    held = truth.groupBy("query_id").agg(F.collect_list("cell").alias("cells"))  # k a query
+    met = asked.withColumnRenamed("id", "query_id").join(held, "query_id").select("v", "cells")
+    centres = index.centres
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            angles = np.arccos(np.clip(_unit(_matrix(batch.column(0))) @ centres.T, -1, 1))
+            place = np.argsort(np.argsort(angles, axis=1, kind="stable"), axis=1)
+            own = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(place[own, batch.column(1).flatten().to_numpy()], pa.int64())], names=["place"])
+
+    counts = np.zeros(cells)
+    for r in met.mapInArrow(places, "place bigint").groupBy("place").agg(F.count("*").alias("n")).collect():  # a row a cell at most
+        counts[r["place"]] = r["n"]
+    total = counts.sum()
+    return np.append(0.0, counts.cumsum() / total) if total else np.ones(cells + 1)
+
+
+def recall(index: Index, queries: DataFrame, k: int, probes: list[int], key: str = "vec_id", vector: str = "embedding", known: np.ndarray | None = None) -> DataFrame:
+    """(probes, recall, share): of the true k nearest of all ``queries``, what that many probed cells find, and the share of points they hold; ``known`` is their ``curve``."""
+    found = curve(index, queries, k, key, vector) if known is None else known
+    share = lambda p: float(np.sort(index.size)[::-1][:p].sum() / max(1, index.size.sum()))
+    out = [(p, float(found[min(p, len(found) - 1)]), share(p)) for p in probes]
+    return queries.sparkSession.createDataFrame(out, "probes int, recall double, share double")
+
+
+def probes_for(index: Index, queries: DataFrame, k: int, least: float = 0.9, key: str = "vec_id", vector: str = "embedding", known: np.ndarray | None = None) -> int:
     """The least power of two of probed cells that finds the share ``least`` of the true neighbours of ``queries``."""
+    found = curve(index, queries, k, key, vector) if known is None else known
     probes = 1
-    while probes < len(index.centres):
-        if recall(index, queries, k, [probes], key, vector).head()["recall"] >= least:
-            break
+    while probes < len(index.centres) and found[probes] < least:
         probes *= 2
     return min(probes, max(1, len(index.centres)))

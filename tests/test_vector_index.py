@@ -58,6 +58,17 @@ def test_recall_grows_with_probes(index, points):
     assert vector_index.probes_for(index, queries, 5, 0.9) <= 4
 
 
+def test_curve_is_what_searches_find(index, points, monkeypatch):
+    """Each number of probes finds in fact what the curve says, and the curve searches nothing."""
+    queries = points.where("vec_id % 7 = 0")
+    truth = vectors.nearest(points, queries, 5).select("query_id", "vec_id")
+    total = truth.count()
+    want = {p: vector_index.search(index, queries, 5, p, exact=False).join(truth, ["query_id", "vec_id"]).count() / total for p in (1, 2, 5, 20)}
+    monkeypatch.setattr(vector_index, "search", None)
+    got = vector_index.curve(index, queries, 5)
+    assert {p: got[p] for p in want} == pytest.approx(want) and got[0] == 0
+
+
 def test_empty_index(spark, tmp_path):
     none = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     made = vector_index.build(none, str(tmp_path / "none"))

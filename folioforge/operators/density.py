@@ -33,8 +33,9 @@ from folioforge.operators import vectors
 from folioforge.operators.lifecycle import connected
 from folioforge.session import discard, materialise
 
-#: Points of a block, about: a pair of blocks is one task's matrix of distances.
-BLOCK_POINTS = 1024
+#: Points of a block, about: a pair of blocks is one task, which holds its points and no matrix of distances. A point is dealt to as
+#: many pairs as there are blocks, so large ones make few copies; fewer points than these are dealt into up to ``LEAST_BLOCKS`` of ``SMALL_POINTS``.
+BLOCK_POINTS, SMALL_POINTS, LEAST_BLOCKS = 8192, 1024, 8
 
 
 def _tree(ids: np.ndarray, unit: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,25 +43,31 @@ def _tree(ids: np.ndarray, unit: np.ndarray, core: np.ndarray) -> tuple[np.ndarr
     n = len(ids)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    outside = np.arange(1, n)
-    best, lo, hi = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
     a, b, length = np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64), np.zeros(n - 1)
-    last = 0
+    # the points outside the tree lie at the front; those taken are marked, and now and then the others move up
+    own, at, far, best, lo, hi = ids[1:].copy(), unit[1:].copy(), core[1:].copy(), np.full(n - 1, np.inf), np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64)
+    open_, taken = np.ones(n - 1, bool), 0
+    last, point, reach = ids[0], unit[0], core[0]
     for step in range(n - 1):
-        d = lengths(unit[outside] @ unit[last])
-        d = np.maximum(np.maximum(d, core[outside]), core[last])
-        l2, h2 = np.minimum(ids[outside], ids[last]), np.maximum(ids[outside], ids[last])
-        b0, l0, h0 = best[outside], lo[outside], hi[outside]
+        d = lengths(at @ point)
+        np.maximum(d, far, out=d)
+        np.maximum(d, reach, out=d)
+        near = np.flatnonzero((d <= best) & open_)
+        l2, h2 = np.minimum(own[near], last), np.maximum(own[near], last)
+        d, b0, l0, h0 = d[near], best[near], lo[near], hi[near]
         nearer = (d < b0) | ((d == b0) & ((l2 < l0) | ((l2 == l0) & (h2 < h0))))
-        at = outside[nearer]
-        best[at], lo[at], hi[at] = d[nearer], l2[nearer], h2[nearer]
-        held = best[outside]
-        least = np.flatnonzero(held == held.min())
+        near = near[nearer]
+        best[near], lo[near], hi[near] = d[nearer], l2[nearer], h2[nearer]
+        i = best.argmin()
+        least = np.flatnonzero(best == best[i])
         if len(least) > 1:
-            least = least[np.lexsort((hi[outside[least]], lo[outside[least]]))]
-        last = outside[least[0]]
-        a[step], b[step], length[step] = lo[last], hi[last], best[last]
-        outside = np.delete(outside, least[0])
+            i = least[np.lexsort((hi[least], lo[least]))[0]]
+        a[step], b[step], length[step] = lo[i], hi[i], best[i]
+        last, point, reach = own[i], at[i].copy(), far[i]
+        best[i], open_[i], taken = np.inf, False, taken + 1
+        if 8 * taken > len(own) and taken < len(own):
+            own, at, far, best, lo, hi = (x[open_] for x in (own, at, far, best, lo, hi))
+            open_, taken = np.ones(len(own), bool), 0
     return a, b, length
 
 
@@ -76,10 +83,15 @@ def _unit_points(points: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.withColumn("n", norm).where("n > 0").dropDuplicates(["id"]).select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
 
 
+def _blocks(n: int, block_points: int) -> int:
+    """Blocks of ``n`` points, which is how often a point is dealt."""
+    return max(2, -(-n // block_points), min(LEAST_BLOCKS, -(-n // SMALL_POINTS)))
+
+
 def links(points: DataFrame, block_points: int = BLOCK_POINTS) -> DataFrame:
     """(a, b, length), a < b: the union of the spanning trees of all pairs of blocks of ``points`` (id, v, core)."""
     n = points.count()
-    blocks = max(2, -(-n // block_points))
+    blocks = _blocks(n, block_points)
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     # a point meets its own block's pairs: (block, other), the lesser first
     others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))

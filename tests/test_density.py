@@ -104,3 +104,25 @@ def test_query_equals_the_whole_hierarchy(spark, sf):
     want = hierarchy([r[0] for r in rows], [list(r[1]) for r in rows], 3)
     assert {r["vec_id"]: r["cluster"] for r in library.m5_clusters(spark, sf).collect()} == want
     assert len(set(want.values())) > 2
+
+
+def test_large_tables_make_few_copies():
+    """A point goes to as many pairs as there are blocks; with blocks of 1,024 these were 98 and 587."""
+    assert density._blocks(100_000, density.BLOCK_POINTS) <= 13 and density._blocks(600_000, density.BLOCK_POINTS) <= 74
+    assert density._blocks(10_000, density.BLOCK_POINTS) == 8 and density._blocks(3, density.BLOCK_POINTS) == 2
+
+
+def test_tree_of_one_block_equals_all_pairs():
+    """Equal points, equal lengths and core distances; the points are moved up many times."""
+    rng = np.random.default_rng(4)
+    unit = rng.integers(-2, 3, (300, 3)).astype(float) + [0.5, 0, 0]
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    ids, core = rng.permutation(3000)[:300], rng.integers(0, 3, 300) / 10
+    d = np.maximum(np.maximum(density.lengths(unit @ unit.T), core[:, None]), core[None, :])
+    part, want = {i: i for i in ids.tolist()}, []
+    for length, x, y in sorted((d[i, j], min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(300) for j in range(i)):
+        if part[x] != part[y]:
+            want.append((x, y, round(length, 9)))
+            old, new = part[x], part[y]
+            part = {k: new if v == old else v for k, v in part.items()}
+    assert sorted((x, y, round(n, 9)) for x, y, n in zip(*density._tree(ids, unit, core))) == sorted(want)

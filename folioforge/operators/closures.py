@@ -53,18 +53,21 @@ def resolved(aliases: DataFrame) -> DataFrame:
     """
     links = aliases.where("old is not null and now is not null").groupBy("old").agg(F.min("now").alias("now"))
     step = materialise(links.withColumn("steps", F.lit(1).cast("bigint")), "aliases", narrow=True)
-    size, reach = step.count(), 1
+    before = None
     while True:
         ahead = step.select(F.col("old").alias("now"), F.col("now").alias("then"), F.col("steps").alias("more"))
-        moved = step.join(ahead, "now", "left").select("old", F.coalesce("then", "now").alias("now"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("then").isNotNull().alias("open"))
+        # joined by sorting, as a broadcast goes by the driver
+        moved = step.join(ahead.hint("merge"), "now", "left").select("old", F.coalesce("then", "now").alias("now"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("then").isNotNull().alias("open"))
         new = materialise(moved, "aliases", narrow=True)
-        unfinished = new.where("open").limit(1).count()
+        unfinished = new.where("open").count()
         discard(step)
-        step, reach = new.drop("open"), 2 * reach
+        step = new.drop("open")
         step._folder = new._folder
-        if not unfinished or reach > 2 * size:  # no chain without a circle has more steps than there are names
+        # a chain that ends and is longer than the last round's reach has a name that this round finishes: if none was, all that are left run in circles
+        if unfinished in (0, before):
             break
-    ends = step.join(links.select(F.col("old").alias("now"), F.lit(True).alias("_on")), "now", "left")
+        before = unfinished
+    ends = step.join(links.select(F.col("old").alias("now"), F.lit(True).alias("_on")).hint("merge"), "now", "left")
     circular = F.coalesce("_on", F.lit(False))
     return ends.select("old", F.when(~circular, F.col("now")).alias("now"), F.when(~circular, F.col("steps")).alias("steps"), circular.alias("circular"))
 

@@ -65,3 +65,14 @@ def test_query_equals_singular_vectors(spark, sf):
     want = dict(zip((r[0] for r in rows), drawn(np.array([list(r[1]) for r in rows], float)).tolist()))
     got = {r["vec_id"]: (r["x"], r["y"]) for r in library.v3_plane(spark, sf).collect()}
     assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), atol=2e-6)
+
+
+def test_circles_take_no_more_rounds(spark, monkeypatch):
+    """Rounds go by the longest chain that ends, not by the number of names, and nothing is broadcast."""
+    written, plain = [], closures.materialise
+    monkeypatch.setattr(closures, "materialise", lambda df, *a, **b: (written.append(df), plain(df, *a, **b))[1])
+    pairs = [(i, i + 1 if i % 10 < 9 else i - 9) for i in range(3000)] + [(10_000 + i, 10_001 + i) for i in range(5)]
+    got = {r["old"]: (r["now"], r["steps"], r["circular"]) for r in closures.resolved(spark.createDataFrame(pairs, "old bigint, now bigint")).collect()}
+    assert len(written) <= 6
+    assert all("BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString() for df in written)
+    assert all(got[i] == (None, None, True) for i in range(3000)) and all(got[10_000 + i] == (10_005, 5 - i, False) for i in range(5))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.vectors import cosine
 
-#: Vectors of a block, about.
-BLOCK_VECTORS = 4096
+#: Vectors of a block, about, and queries of it that are multiplied at a time.
+BLOCK_VECTORS, STRIP = 4096, 256
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -35,13 +37,30 @@ def _met(points: DataFrame, queries: DataFrame, key: str, vector: str):
     return left.groupBy("x", "y").cogroup(right.groupBy("x", "y"))
 
 
-def _similar(points: pa.Table, queries: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of a block's points and queries, and their cosines (query by point), NaN for a vector of no length."""
-    ids = [t.column("id").to_numpy() for t in (points, queries)]
-    if not all(map(len, ids)):
-        return *ids, np.zeros((len(ids[1]), len(ids[0])))
-    p, q = (_unit(_matrix(t.column("v").combine_chunks())) for t in (points, queries))
-    return *ids, q @ p.T
+def _sides(points: pa.Table, queries: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and unit vectors (NaN for one of no length) of a block's points and queries."""
+    held = [(t.column("id").to_numpy(), _unit(_matrix(t.column("v").combine_chunks()))) for t in (points, queries)]
+    return *held[0], *held[1]
+
+
+def _strips(points: pa.Table, queries: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of a block's points and of some of its queries, and their cosines (query by point): a task holds a strip of the product, not all of it."""
+    own, p, ids, q = _sides(points, queries)
+    if len(own):
+        for n in range(0, len(ids), STRIP):
+            yield own, ids[n : n + STRIP], q[n : n + STRIP] @ p.T
+
+
+def _best(points: pa.Table, queries: pa.Table, k: int, least: float, earlier: bool, slack: float, name: str) -> pa.Table:
+    """(query_id, name, sim): each query's k best points of the block, and all that come within ``slack`` of the last of them."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for own, ids, sims in _strips(points, queries):
+        sims[np.isnan(sims) | (sims <= least)] = -np.inf
+        sims[(ids[:, None] <= own[None, :]) if earlier else (ids[:, None] == own[None, :])] = -np.inf
+        cut = np.partition(sims, -k, axis=1)[:, -k][:, None] if len(own) > k else np.full((len(ids), 1), -np.inf)
+        at, to = np.nonzero((sims >= cut - slack) & np.isfinite(sims))
+        out.append((ids[at], own[to], sims[at, to]))
+    return pa.table(dict(zip(("query_id", name, "sim"), map(np.concatenate, zip(*out)))))
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int, least: float = -1.0, key: str = "vec_id", vector: str = "embedding", earlier: bool = False) -> DataFrame:
@@ -52,15 +71,7 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, least: float = -1.0,
     candidates are ranked.  ``earlier`` admits lesser keys alone.
     """
 
-    def run(p: pa.Table, q: pa.Table) -> pa.Table:
-        own, ids, sims = _similar(p, q)
-        sims[np.isnan(sims) | (sims <= least)] = -np.inf
-        sims[(ids[:, None] <= own[None, :]) if earlier else (ids[:, None] == own[None, :])] = -np.inf
-        # k best of the block for each query, and all that equal the last of them
-        cut = np.partition(sims, -k, axis=1)[:, -k][:, None] if len(own) > k else np.full((len(ids), 1), -np.inf)
-        at, to = np.nonzero((sims >= cut - 1e-9) & np.isfinite(sims))
-        return pa.table({"query_id": ids[at], key: own[to], "sim": sims[at, to]})
-
+    run = lambda p, q: _best(p, q, k, least, earlier, 1e-9, key)
     found = _met(points, queries, key, vector).applyInArrow(run, f"query_id bigint, {key} bigint, sim double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), key)
     return found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
@@ -81,14 +92,7 @@ def nearest_within(points: DataFrame, queries: DataFrame, group: str, k: int, le
     left = points.join(sizes, group).select(*own, deal("np").alias("x"), every("nq").alias("y"))
     right = queries.join(sizes, group).select(*own, every("np").alias("x"), deal("nq").alias("y"))
 
-    def run(p: pa.Table, q: pa.Table) -> pa.Table:
-        own, ids, sims = _similar(p, q)
-        sims[np.isnan(sims) | (sims <= least)] = -np.inf
-        sims[(ids[:, None] <= own[None, :]) if earlier else (ids[:, None] == own[None, :])] = -np.inf
-        cut = np.partition(sims, -k, axis=1)[:, -k][:, None] if len(own) > k else np.full((len(ids), 1), -np.inf)
-        at, to = np.nonzero((sims >= cut - 1e-9) & np.isfinite(sims))
-        return pa.table({"query_id": ids[at], "id": own[to], "sim": sims[at, to]})
-
+    run = lambda p, q: _best(p, q, k, least, earlier, 0.0, "id")
     return left.groupBy(group, "x", "y").cogroup(right.groupBy(group, "x", "y")).applyInArrow(run, "query_id bigint, id bigint, sim double")
 
 
@@ -99,17 +103,27 @@ def pairs_above(points: DataFrame, least: float, key: str = "vec_id", vector: st
     """
 
     def run(p: pa.Table, q: pa.Table) -> pa.Table:
-        own, ids, sims = _similar(p, q)
-        names = np.unique(np.concatenate([own, ids]))
-        part = np.arange(len(names))
-        a, b = np.searchsorted(names, ids), np.searchsorted(names, own)
-        links = []
-        for i, j in np.argwhere((sims > least) & (ids[:, None] > own[None, :])).tolist():
-            x, y = part[a[i]], part[b[j]]
-            if x != y:
-                part[part == max(x, y)] = min(x, y)
-                links.append((int(own[j]), int(ids[i])))
-        return pa.table({c: pa.array([x[s] for x in links], pa.int64()) for s, c in enumerate("ab")})
+        names = np.unique(np.concatenate([p.column("id").to_numpy(), q.column("id").to_numpy()]))
+        part, a, b = np.arange(len(names)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for own, ids, sims in _strips(p, q):
+            i, j = np.nonzero((sims > least) & (ids[:, None] > own[None, :]))
+            x, y = np.searchsorted(names, ids[i]), np.searchsorted(names, own[j])
+            # links of points that are already in one part go at once; one of those left joins every two parts that meet
+            while len(x):
+                u, v = part[x], part[y]
+                apart = u != v
+                x, y, u, v = x[apart], y[apart], u[apart], v[apart]
+                low, high = np.minimum(u, v), np.maximum(u, v)
+                # each part is hung under a lesser one by a single link, so the links form no circle
+                hung, first = np.unique(high, return_index=True)
+                a.append(names[y[first]])
+                b.append(names[x[first]])
+                under = np.arange(len(names))
+                under[hung] = low[first]
+                while (under[under] != under).any():
+                    under = under[under]
+                part = under[part]
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return _met(points, points, key, vector).applyInArrow(run, "a bigint, b bigint")
 

@@ -48,19 +48,27 @@ def mode(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return first_per_key(counts, group, [F.desc("n"), F.asc(value)])
 
 
+#: Pairs that one task counts, about; their counts are some 100 MB of it.
+TASK_PAIRS = 500_000
+
+
 def co_members(df: DataFrame, group: str, member: str, block: int = 2048) -> DataFrame:
     """(a, b, shared) with a < b: pairs of members by the number of groups they share.
 
     A group's members are dealt into blocks of about ``block``, and a pair of blocks is a key of the join: a group
-    that holds a third of all rows is met by many tasks.
+    that holds a third of all rows is met by many tasks. Pairs are counted in as many tasks as their number asks for, whatever
+    the session's: a task's memory doesn't grow with the table.
     """
     rows = df.select(group, member).distinct()
     sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    n = rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()["pairs"] or 0
+    tasks = max(int(n // TASK_PAIRS) + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     held = rows.join(sizes, group)
     own, every = F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     left = held.select(group, F.col(member).alias("a"), own.alias("_x"), every.alias("_y"))
     right = held.select(group, F.col(member).alias("b"), every.alias("_x"), own.alias("_y"))
-    return left.join(right, [group, "_x", "_y"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = left.repartition(tasks, group, "_x", "_y").join(right.repartition(tasks, group, "_x", "_y"), [group, "_x", "_y"]).where("a < b").select("a", "b")
+    return pairs.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:

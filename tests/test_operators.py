@@ -168,3 +168,20 @@ def test_search_of_all_terms_by_brute_force(spark, tmp_path):
         assert [(r["doc_id"], -r["density"]) for r in lexical.search_all(rows, question, 100).collect()] == want
     assert held.count() == sum(len(set(lexemes(t)) & set(lexemes(question))) for t in texts)
     assert [tuple(r) for r in lexical.search(held, question, 9).collect()] == [tuple(r) for r in lexical.search(posted, question, 9).collect()]
+
+
+def test_pairs_are_counted_in_as_many_tasks_as_they_need(spark, monkeypatch):
+    from folioforge.operators import relational
+
+    monkeypatch.setattr(relational, "TASK_PAIRS", 100, raising=False)
+    rows = [(g, m) for g in range(60) for m in range(g % 5, 40, 4)]
+    want = {}
+    for g in range(60):
+        held = range(g % 5, 40, 4)
+        for a in held:
+            for b in held:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    made = relational.co_members(spark.createDataFrame(rows, "g int, m int"), "g", "m")
+    assert made.rdd.getNumPartitions() >= 20
+    assert {(r["a"], r["b"]): r["shared"] for r in made.collect()} == want

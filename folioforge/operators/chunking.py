@@ -305,6 +305,8 @@ def without_overlap(made: DataFrame) -> DataFrame:
     words = F.array_remove(F.split("text", r"\s+"), "")
     rows = made.select("doc_id", "order_index", words.alias("w")).withColumn("before", F.lag("w").over(order))
     sizes = F.sequence(F.least(F.lit(400), F.size("before"), F.size("w")), F.lit(8), F.lit(-1))
-    fits = F.filter(sizes, lambda n: F.slice("before", F.size("before") - n + 1, n) == F.slice("w", 1, n))
+    # the ends of a run are compared first: few runs are cut out and compared in full
+    ends = lambda n: (F.get("before", F.size("before") - n) == F.get("w", F.lit(0))) & (F.get("before", F.size("before") - 1) == F.get("w", n - 1))
+    fits = F.filter(sizes, lambda n: F.when(ends(n), F.slice("before", F.size("before") - n + 1, n) == F.slice("w", 1, n)).otherwise(False))
     cut = F.when(F.least(F.size("before"), F.size("w")) >= 8, F.coalesce(F.get(fits, F.lit(0)), F.lit(0))).otherwise(0)
     return rows.withColumn("cut", F.coalesce(cut, F.lit(0))).select("doc_id", "order_index", F.array_join(F.slice("w", F.col("cut") + 1, F.greatest(F.size("w"), F.lit(1))), " ").alias("text"))

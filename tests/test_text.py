@@ -181,3 +181,17 @@ def test_guards(spark):
     parts = spark.createDataFrame([(["aa", "bb", "c" * 9, "dd"],)], "p array<string>").select(guards.parts(F.col("p"), 6)).head()[0]
     assert parts == ["aa\n\nbb", "c" * 6, "dd"]
     assert spark.range(1).select(guards.echoes(F.lit("what each side claims and why they cannot both hold"), F.lit("Say What each side claims and why they cannot both hold."))).head()[0] is True
+
+
+def test_runs_are_cut_out_only_where_their_ends_meet(spark):
+    """The longest run of 8 to 400 words that ends the passage before; the ends are compared first."""
+    from folioforge.operators import chunking
+
+    a = [f"w{i}" for i in range(20)]
+    texts = [a, a[-10:] + ["new"], ["new", *["x"] * 9], ["x"] * 12, a[:7], a[:7] + ["more"]]
+    rows = spark.createDataFrame([(1, i, " ".join(t)) for i, t in enumerate(texts)], "doc_id int, order_index int, text string")
+    made = chunking.without_overlap(rows)
+    want = [" ".join(a), "new", " ".join(texts[2]), "x x x", " ".join(a[:7]), " ".join(texts[5])]
+    assert [r["text"] for r in made.orderBy("order_index").collect()] == want
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "THEN (slice(" in plan

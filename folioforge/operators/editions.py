@@ -90,8 +90,9 @@ def margins(docs: DataFrame, sections: DataFrame, passages: DataFrame, summaries
 
 
 def figures(passages: DataFrame) -> DataFrame:
-    """(doc_id, figure, text): what figures show, by their number; the last passage of a number counts, those without a number are left out."""
+    """(doc_id, figure, text): what figures show, by their number; the last passage of a number counts, at one place the greatest text, those without a number are left out."""
     number = F.regexp_extract("text", r"\AFigure (\d+),", 1)
     body = F.when(F.locate("\n\n", F.col("text")) > 0, F.substring(F.col("text"), F.locate("\n\n", F.col("text")) + 2, F.length("text"))).otherwise(F.col("text"))
     shown = passages.where("kind = 'figure'").select("doc_id", "order_index", number.alias("_n"), body.alias("_body")).where("_n <> ''")
-    return shown.groupBy("doc_id", F.col("_n").cast("int").alias("figure")).agg(F.max_by("_body", "order_index").alias("text"))
+    last = F.max(F.struct("order_index", "_body"))
+    return shown.groupBy("doc_id", F.col("_n").cast("int").alias("figure")).agg(last["_body"].alias("text"))

@@ -88,8 +88,10 @@ def t38_margins(spark, sf_dir):
 @query(f"""with {_LINES}, f as (select conv_id, turn, i % 10 as n, line from l where i % 5 = 4), r as (select *, row_number() over (partition by conv_id, n order by turn desc, n) as k from f where n = 4 and turn % 3 <> 2)
 select conv_id as doc_id, n::int as figure, line as text from r where k = 1""")
 def t38_figures(spark, sf_dir):
-    """What figures show by their number; every fifth line is a figure's, half of them without a number."""
+    """What figures show by their number; every fifth line is a figure's, half of them without a number.
+
+    Of a turn's numbered lines, which the SQL leaves tied, the earliest counts."""
     _, lines = _lines(spark, sf_dir)
     head = F.when((F.col("i") % 10 == 4) & (F.col("turn") % 3 != 2), F.concat(F.lit("Figure 4, p. "), F.col("turn").cast("string"), F.lit("\n\n"))).otherwise(F.lit("A figure\n\n"))
-    rows = lines.where("i % 5 = 4").select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 1000 - F.col("i")).alias("order_index"), F.lit("figure").alias("kind"), F.concat(head, "line").alias("text"))
+    rows = lines.where("i % 5 = 4").select(F.col("conv_id").alias("doc_id"), F.struct("turn", -F.col("i")).alias("order_index"), F.lit("figure").alias("kind"), F.concat(head, "line").alias("text"))
     return editions.figures(rows)

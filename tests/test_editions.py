@@ -1,5 +1,7 @@
+import duckdb
 import pytest
 from folioforge.operators import editions
+from folioforge.plans import catalogue
 
 ARTIFACT = "id string, kind string, target string, text string, cartridge string"
 
@@ -77,3 +79,26 @@ def test_figures_by_number(spark):
     rows = [(1, 0, "figure", "Figure 2, p. 1\n\nold"), (1, 1, "figure", "Figure 2, p. 1\n\nnew\n\nlines"), (1, 2, "figure", "Figure 3, alone"), (1, 3, "figure", "A figure\n\nx"), (1, 4, None, "Figure 4, p. 1\n\nx"), (1, 5, "figure", None)]
     made = editions.figures(spark.createDataFrame(rows, "doc_id int, order_index int, kind string, text string"))
     assert sorted(tuple(r) for r in made.collect()) == [(1, 2, "new\n\nlines"), (1, 3, "Figure 3, alone")]
+
+
+def test_figures_at_one_place_by_their_text(spark):
+    rows = [(1, 7, "figure", f"Figure 2, p. 1\n\n{text}") for text in ("b", "c", "a")]
+    for given in (rows, rows[::-1]):
+        made = editions.figures(spark.createDataFrame(given, "doc_id int, order_index int, kind string, text string").coalesce(1))
+        assert [tuple(r) for r in made.collect()] == [(1, 2, "c")]
+
+
+def test_figures_of_large_turns_and_long_ones(spark, tmp_path):
+    lines = lambda name, n: "\n".join(f"{name} {i}" for i in range(n))
+    rows = [(1, 3_000_000, lines("large", 6)), (1, 4, lines("small", 6)), (2, -1, lines("before", 6)), (2, -4, lines("earlier", 9)), (3, 3, lines("last", 9)), (3, 1, lines("long", 2500)), (3, None, lines("nowhere", 9)), (4, 0, "short")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    made = sorted(tuple(r) for r in catalogue.QUERIES["t38_figures"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert made == sorted(con.sql(catalogue.ORACLES["t38_figures"]).fetchall()) == [(1, 4, "large 4"), (2, 4, "before 4"), (3, 4, "last 4")]
+
+
+def test_earliest_of_a_turns_figures(spark, tmp_path):
+    rows = [(1, 1, "\n".join(f"line {i}" for i in range(40))), (1, 0, "\n".join(f"other {i}" for i in range(5)))]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [tuple(r) for r in catalogue.QUERIES["t38_figures"](spark, str(tmp_path)).collect()] == [(1, 4, "line 4")]
